@@ -11,11 +11,6 @@ from .common import Stage, attach_group
 PREFIX_CHARS = 128
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that more than one row has. The count is combined before its exchange, so a hot key is one row a task."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
-
-
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
@@ -38,8 +33,9 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
         *([full.alias("sha")] if digest_all else []),
     )
     narrow = stage.write(first, "narrow")
-    by_length = narrow.join(_repeated(narrow, ["n_bytes"]), "n_bytes")
-    survivors = _repeated(by_length, ["n_bytes", "prefix"])
+    pairs = narrow.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = pairs.groupBy("n_bytes").agg(F.sum("_n").alias("_rows")).filter("_rows > 1").select("n_bytes")
+    survivors = pairs.join(lengths, "n_bytes").filter("_n > 1").select("n_bytes", "prefix")
     if digest_all:
         hashed = narrow.join(survivors, ["n_bytes", "prefix"])
     else:
