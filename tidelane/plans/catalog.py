@@ -1,4 +1,6 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, by importing every module that registers some."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import interval_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
