@@ -88,7 +88,8 @@ def test_documents(spark, sf):
     assert got(minhash.link(df.repartition(4), shingle=4)) == brute(rows, 4, 80)
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_of_paths_stars_and_cycles(spark, one_task):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(7, 9), (9, 8), (8, 7), (3, 3)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Stage(spark)).collect()}
+    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Stage(spark), one_task=one_task).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)} | {7: 7, 8: 7, 9: 7}

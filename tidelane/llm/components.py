@@ -17,14 +17,43 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return salted.join(routed, ["u", "s"]).select("u", "v", "m")
 
 
-def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
+#: Links that one task joins up by itself (two numbers each); more go through the distributed steps.
+ONE_TASK = 2_000_000
+
+
+def _join_up(batches):
+    """Union-find over one task's links."""
+    import numpy as np
+    import pyarrow as pa
+
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    u, v = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while True:  # hook every root to the least root that it is linked with, then shorten all paths
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        if (low == high).all():
+            break
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], ["node", "component"])
+
+
+def components(edges: DataFrame, stage: Stage, name: str = "cc", one_task: int = ONE_TASK) -> DataFrame:
     """node, component: for every node of edges (u, v), numbers without null, the least number that it reaches.
+    An edge from a node to itself is none.
 
-    Every step makes at most as many edges as it got, and its table is written to the shared folder, so lost executors
-    cost one step. Steps go on until one changes nothing.
+    Up to one_task links are joined up by one task of an executor; more by steps that each make at most as many edges
+    as they got. Tables are written to the shared folder, so lost executors cost one step. Steps go on until one changes
+    nothing.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now, last, step = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), f"{name}0"), None, 0
+    now, last, step = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), f"{name}0"), None, 0
+    if now.count() <= one_task:
+        return stage.write(now.coalesce(1).mapInArrow(_join_up, "node long, component long"), f"{name}_joined")
+    now = now.distinct()
     while True:
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
         large = _least_neighbour(both(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -34,7 +63,7 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         step += 1
         small = stage.write(small, f"{name}{step}")
-        stage.drop(f"{name}{step - 1}", f"{name}{step - 1}l")
+        stage.drop(f"{name}{step - 1}l", *([f"{name}{step - 1}"] if step > 1 else []))
         n, total = small.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if (n, total) == last:
             return small.select(F.col("u").alias("node"), F.col("v").alias("component")).union(small.select("v", "v").distinct())

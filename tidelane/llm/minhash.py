@@ -5,8 +5,9 @@ least id; (3) each band of a signature is a bucket, whose members are paired wit
 confirmed on full sets, best first, and only while their ends are not yet known to be connected; (5) components.
 
 A bucket's hub is the member with the least hash of (member, bucket): other buckets of the same family have other hubs, so a
-text is compared with about as many members of its family as there are bands. Further rounds re-draw the hubs among
-members of different components, until a round confirms nothing new.
+text is compared with about as many members of its family as there are bands. A star can miss a link between two members
+that are both unlike the hub. So further rounds look at texts of different components in finer buckets (two bands each,
+other pairs of bands every round) with other hubs, until a round confirms nothing new.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE = 5
 PERCENT = 80
 #: BANDS x ROWS values: two texts of similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS = 1e-8.
 BANDS, ROWS = 60, 6
+#: Pairs of bands that each member of a bucket of the first round brings to a further round, in multiples of BANDS.
+PAIRINGS = 4
 #: Independent one-permutation hashes that a signature's values are dealt from. The rows of a band come from different
 #: ones, so that the few shingles of a short text don't fill a band twice.
 PERMUTATIONS = ROWS
@@ -148,6 +151,11 @@ def _local_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
     buckets, docs, parts = [], [], []
     for batch in batches:
         value, cuts = at.unpack(batch.column("bands"), np.uint64)
+        if turn:
+            value = value.reshape(-1, BANDS)
+            steps = [1 + (PAIRINGS * (turn - 1) + k) % (BANDS - 1) for k in range(PAIRINGS)]
+            value = at.mix(np.concatenate([value + np.roll(value, -k, axis=1) * np.uint64(0x9FB21C651E98DF25) for k in steps], axis=1).ravel())
+            cuts = cuts * PAIRINGS
         buckets.append(value)
         docs.append(np.repeat(batch.column("doc_id").to_numpy(), np.diff(cuts)))
         parts.append(np.repeat(batch.column("part").to_numpy(), np.diff(cuts)))
@@ -200,8 +208,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     bands = signed.select("doc_id", "set_key", "bands").join(classes, ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
     bands = stage.write(bands.withColumn("part", F.col("doc_id")), "bands0")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tested = texts = links = None
-    parts, turn = None, 0
+    tested = texts = parts = None
+    turn = 0
     while True:
         # candidate pairs of this round
         local = stage.write(bands.mapInArrow(partial(_local_stars, turn=turn), _STAR), f"local{turn}")
@@ -211,43 +219,45 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
             pairs = pairs.join(tested, ["x", "hub"], "left_anti")
         pairs = stage.write(pairs, f"pairs{turn}")
         stage.drop(f"local{turn}")
-        ends = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct()
-        ends = ends if texts is None else ends.join(texts.select("doc_id"), "doc_id", "left_anti")
-        fetched = source.join(classes.join(ends, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi")
-        fetched = stage.write(fetched, f"texts{turn}")
-        texts = fetched if texts is None else texts.unionByName(fetched)
-        free_shuffles(spark)
-        todo, grown, step = pairs, 0, 0
-        while True:
-            # first the best pair of each x, then all that still join different components
-            chosen = todo.groupBy("x").agg(F.max_by(F.struct("hub"), F.struct("shared", -F.col("hub"))).alias("best")).select("x", "best.hub") if step == 0 else todo.select("x", "hub")
-            pair = chosen.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-            held = stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), f"held{turn}_{step}")
+        if texts is None:
+            # every member of a bucket with others is in a pair: later rounds need no other texts, nor other bands
+            ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends")
+            texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
+            bands = stage.write(bands.drop("part").join(ends, "doc_id", "left_semi"), "met")
+            free_shuffles(spark)
+
+        def confirm(chosen: DataFrame, name: str, texts: DataFrame = texts) -> DataFrame:
+            pair = chosen.select("x", "hub").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
+            pair = pair.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
+            return stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name)
+
+        def join_up(held: DataFrame, name: str) -> int:
+            nonlocal parts, tested
             seen = held.select("x", "hub")
             tested = seen if tested is None else tested.union(seen)
             new = held.filter("linked").select(F.col("x").alias("u"), F.col("hub").alias("v"))
             count = new.count()
-            grown += count
             if count:
-                links = new if links is None else links.union(new)
-                parts = components(links, stage, f"cc{turn}_{step}_")
-                links = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u != v")
-            free_shuffles(spark)
-            if step:
-                break
-            step += 1
-            todo = todo.join(held, ["x", "hub"], "left_anti")
+                now = new if parts is None else new.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+                parts = components(now, stage, name)
+            return count
+
+        todo = pairs
+        if turn == 0:  # first the best pair of each x; what it connects needs no further test
+            best = pairs.groupBy("x").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+            held = confirm(best, "held")
+            join_up(held, "cc_best")
+            todo = pairs.join(held, ["x", "hub"], "left_anti")
             if parts is not None:
-                of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))  # noqa: B023, E731
-                todo = todo.join(of("x"), "x", "left").join(of("hub"), "hub", "left").filter("coalesce(x_part, x) != coalesce(hub_part, hub)").select("x", "hub", "shared")
-        if not grown:
+                todo = todo.join(parts.select(F.col("node").alias("x"), F.col("component").alias("_x")), "x", "left").join(parts.select(F.col("node").alias("hub"), F.col("component").alias("_hub")), "hub", "left")
+                todo = todo.filter("coalesce(_x, x) != coalesce(_hub, hub)")
+        grown = join_up(confirm(todo, f"held{turn}"), f"cc{turn}")
+        free_shuffles(spark)
+        if parts is None or turn and not grown:
             break
-        # texts whose buckets still join different components, with new hubs
         turn += 1
         near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
-        met = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct() if turn == 1 else None
-        bands = bands.drop("part") if met is None else bands.drop("part").join(met, "doc_id", "left_semi")
-        bands = stage.write(bands.join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}")
+        bands = stage.write(bands.select("doc_id", "bands").join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}")
     found = classes.withColumnRenamed("doc_id", "node")
     if parts is not None:
         found = found.join(parts, "node", "left")

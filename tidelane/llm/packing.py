@@ -7,6 +7,7 @@ rank among the rows of that length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -22,12 +23,12 @@ from .common import SALTS, Stage, arrow_limits
 CAPACITY = 4096
 #: Ends each document.
 END_ID = 1
-#: Pieces that a worker's cache holds before it is emptied.
+#: Words of each of the two generations in a worker's cache.
 WORDS = 300_000
 
 #: Fixed by the vocabulary file: what its pre-tokenizer takes as pieces (white space goes).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters only are normalised and cut here, with ids of the library for each piece; others go through the library whole.
+#: Texts of these characters only are normalised and cut here, with the library's ids for each word; others go through the library whole.
 _PLAIN = regex.compile(r"[^\t\n -~À-ÿ]")
 
 
@@ -35,28 +36,57 @@ class Tokens:
     """Ids of texts as the tokenizers library gives them, with a cache of pieces."""
 
     def __init__(self, text: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(text)
         self.library.no_truncation()
         self.library.no_padding()
+        # words of _PLAIN characters in lower case are normal already: the same without the normalizer
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(text) | {"normalizer": None}))
+        self.bare.no_truncation()
+        self.bare.no_padding()
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a piece
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new blank-free words, from the library in one text: blanks part pieces, and a piece ends with its one last token."""
+        counts = [len(_PIECE.findall(w)) for w in words]
+        ids = np.asarray(self.bare.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        bounds = ends[np.append(0, np.cumsum(counts))].tolist()
+        if bounds[-1] != len(ids):
+            raise ValueError("the vocabulary doesn't mark the ends of pieces")
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit little-endian ids."""
         if _PLAIN.search(text) or any(m in text for m in self.marks):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = _PIECE.findall(text.lower())
-        new = {p for p in pieces if p not in self.known}
-        if new:
-            if len(self.known) + len(new) > WORDS:
-                self.known.clear()
-                new = set(pieces)
-            order = list(new)
-            for piece, found in zip(order, self.library.encode_batch(order, add_special_tokens=False), strict=True):
-                self.known[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, pieces))
+        words = text.lower().split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) >= WORDS:  # words seen since the last change of generation outlive this one
+                self.known, self.older = {}, self.known
+                found = [None] * len(words)
+            missing = dict.fromkeys([w for w, ids in zip(words, found, strict=True) if ids is None])
+            new = []
+            for w in missing:
+                missing[w] = ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+            for lo in range(0, len(new), 5000):
+                missing.update(zip(new[lo : lo + 5000], self._learn(new[lo : lo + 5000]), strict=True))
+            self.known.update(missing)
+            found = [missing[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 _LOADED: dict[int, Tokens] = {}

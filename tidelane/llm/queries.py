@@ -22,7 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "carry")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from . import arrowtext as at
 from .common import Stage, arrow_limits, free_shuffles
@@ -197,28 +199,31 @@ def _finished(words: list[bytes]) -> str:
 _OPEN = "kind string, doc_id long, key binary, text string, n_words long, kept_sha256 string, " + _RUN
 
 
-def _open_or_done(batches, window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows done: texts without a shared anchor, finished. Rows open: the others, as they are. Rows run: their windows."""
+def _open_or_done(batches, window: int, gram: int, buckets: int, carried, with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Rows done: texts without a shared anchor, finished. Rows open: the others, as they are. Rows run: their windows.
+
+    carried is the Arrow type of the column carry, which goes along with its row.
+    """
     run = _Run()
-    names = [x.split()[0] for x in _OPEN.split(", ")]
+    names = [x.split()[0] for x in _OPEN.split(", ")] + ["carry"]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    types = {x.split()[0]: kinds[x.split()[1]] for x in _OPEN.split(", ")}
+    types = {x.split()[0]: kinds[x.split()[1]] for x in _OPEN.split(", ")} | {"carry": carried}
 
     def out(n: int, **cells) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cells[c], types[c]) if c in cells and not isinstance(cells[c], pa.Array) else cells.get(c, pa.nulls(n, types[c])) for c in names], names=names)
 
     for batch in batches:
-        ids, keys, texts, places = (batch.column(c) for c in ("doc_id", "key", "text", "places"))
+        ids, keys, texts, places, carry = (batch.column(c) for c in ("doc_id", "key", "text", "places", "carry"))
         alone = pa.compute.is_null(places)
         done = [x.as_py() for x in texts.filter(alone)]
         words = [(x or "").encode().split() for x in done]
         if done:
-            yield out(len(done), kind=["done"] * len(done), doc_id=ids.filter(alone), text=texts.filter(alone), n_words=[len(x) for x in words], kept_sha256=[_finished(x) for x in words])
+            yield out(len(done), kind=["done"] * len(done), doc_id=ids.filter(alone), **({"text": texts.filter(alone)} if with_text else {}), n_words=[len(x) for x in words], kept_sha256=[_finished(x) for x in words], carry=carry.filter(alone))
         shared = pa.compute.is_valid(places)
         if not pa.compute.any(shared).as_py():
             continue
-        ids, keys, texts, places = (x.filter(shared) for x in (ids, keys, texts, places))
-        yield out(len(ids), kind=["open"] * len(ids), doc_id=ids, key=keys, text=texts)
+        ids, keys, texts, places, carry = (x.filter(shared) for x in (ids, keys, texts, places, carry))
+        yield out(len(ids), kind=["open"] * len(ids), doc_id=ids, key=keys, text=texts, carry=carry)
         new = pa.array(run.fresh(keys.to_pylist()), pa.int32())
         owners = np.array([run.keys[k] for k in keys.take(new).to_pylist()], dtype=np.int64)
         shared_at, cuts = at.unpack(places.take(new), np.uint32)
@@ -257,11 +262,11 @@ def _remove(batches, window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
             n_removed.append(len(words) - len(kept))
             digests.append(_finished(kept))
             kept_texts.append((b" ".join(kept) if n_removed[-1] else (text.as_py() or "").encode()).decode() if with_text else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string()), batch.column("carry")], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "carry"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text): a row for each row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, history: DataFrame | None = None, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text (null unless with_text), carry (a struct of the columns named so, null without): a row for each row of docs.
 
     A word goes if a window of that many words covers it whose words also start anywhere else, in this or another text,
     or are in the history (fingerprint_history() of earlier batches). A null or empty text has no words; its digest is
@@ -272,20 +277,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     arrow_limits(spark)
     stage = Stage(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    along = F.struct(*carry) if carry else F.lit(None).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"), along.alias("carry"))
+    kind = source.schema["carry"].dataType
     runs = stage.write(source.select("key", "text").mapInArrow(partial(_anchor_run, window=window, gram=gram, buckets=buckets), _RUN), "anchors")
     shared = _repeats(stage, runs, None if history is None else _history_anchors(history), "shared")
     stage.drop("anchors")
     free_shuffles(spark)
-    second = source.join(shared, "key", "left").mapInArrow(partial(_open_or_done, window=window, gram=gram, buckets=buckets), _OPEN)
+    second = source.join(shared, "key", "left").mapInArrow(partial(_open_or_done, window=window, gram=gram, buckets=buckets, carried=to_arrow_type(kind), with_text=with_text), StructType.fromDDL(_OPEN).add("carry", kind))
     tables = stage.write(second, "windows", partition_by="kind")
     free_shuffles(spark)
     windows = tables.filter("kind = 'run'").select(*[x.split()[0] for x in _RUN.split(", ")])
     repeats = _repeats(stage, windows, None if history is None else history.filter("level = 2").drop("level"), "repeats")
     free_shuffles(spark)
-    done = tables.filter("kind = 'done'").selectExpr("doc_id", "n_words", "0L as n_removed", "kept_sha256", "text as kept_text" if with_text else "cast(null as string) as kept_text")
-    left = tables.filter("kind = 'open'").select("doc_id", "key", "text").join(repeats, "key", "left")
-    removed = left.select("doc_id", "text", "places").mapInArrow(partial(_remove, window=window, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    done = tables.filter("kind = 'done'").selectExpr("doc_id", "n_words", "0L as n_removed", "kept_sha256", "text as kept_text" if with_text else "cast(null as string) as kept_text", "carry")
+    left = tables.filter("kind = 'open'").select("doc_id", "key", "text", "carry").join(repeats, "key", "left")
+    removed = left.select("doc_id", "text", "places", "carry").mapInArrow(partial(_remove, window=window, with_text=with_text), StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").add("carry", kind))
     return done.unionByName(removed)
 
 
