@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables, by importing every module that registers some."""
 
-from . import interval_queries, join_queries, sequence_queries, stat_queries  # noqa: F401
+from . import event_queries, interval_queries, join_queries, sequence_queries, stat_queries, unit_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
