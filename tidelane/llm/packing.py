@@ -24,7 +24,7 @@ CAPACITY = 4096
 #: Ends each document.
 END_ID = 1
 #: Words of each of the two generations in a worker's cache.
-WORDS = 300_000
+WORDS = 400_000
 
 #: Fixed by the vocabulary file: what its pre-tokenizer takes as pieces (white space goes).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
