@@ -242,25 +242,34 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(partial(_encode, shared=share_vocabulary(docs, path)), "doc_id long, ids binary")
 
 
-def _decode(batches, shared, digests: bool) -> Iterator[pa.RecordBatch]:
+def _decode(batches, shared) -> Iterator[pa.RecordBatch]:
     v = _vocabulary(shared)
-    numeral = v.numerals
-    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for batch in batches:
         rows = [np.frombuffer(x.as_py() or b"", dtype="<u4").tolist() for x in batch.column(1)]
-        texts = [v.decode(x) for x in rows]
-        if digests:
-            cells = [pa.array([len(x) for x in rows], pa.int64()), pa.array([sha(",".join([numeral[i] for i in x])) for x in rows], pa.string()), pa.array(map(sha, texts), pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        else:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(v.decode, rows), pa.string())], ["doc_id", "text"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids give an empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, shared=share_vocabulary(encoded, path), digests=False), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, shared=share_vocabulary(encoded, path)), "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text)."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, shared=share_vocabulary(encoded, path), digests=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def _round_trip(batches, shared) -> Iterator[pa.RecordBatch]:
+    v = _vocabulary(shared)
+    numeral = v.numerals
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for batch in batches:
+        n, ids_sha, text_sha = [], [], []
+        for text in batch.column(1):
+            ids = np.frombuffer(v.encode_bytes(text.as_py() or ""), dtype="<u4").tolist()
+            n.append(len(ids))
+            ids_sha.append(sha(",".join([numeral[i] for i in ids])))
+            text_sha.append(sha(v.decode(ids)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the text that the ids decode to): encode() and decode() in one pass, for every row; the cases are encode()'s."""
+    arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(partial(_round_trip, shared=share_vocabulary(docs, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

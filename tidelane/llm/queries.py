@@ -46,8 +46,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.digests(bpe.encode(documents(spark, sf_dir), path), path)
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
