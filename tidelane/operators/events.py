@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import pair_on_off, periods, runs
-from .ordered import asof, previous, range_join, rank_of, running
+from .ordered import asof, checkpointed, previous, range_join, rank_of, running
 from .sequences import edges, fill_gaps, greedy_thin
 
 
@@ -113,7 +113,7 @@ def bursts(samples: DataFrame, keys: list[str], t: str, power: str, low: float,
 
     z = samples.groupBy(*keys).agg(F.avg(power).alias("_m"), F.stddev_samp(power).alias("_s"))
     scored = samples.join(z, keys).withColumn("z", (F.col(power) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
-    above = runs(scored.withColumn("_on", F.coalesce(F.col("z") > low, F.lit(False))), keys, t, "_on", width).filter("_on").select(*keys, "start", "stop")
+    above = checkpointed(runs(scored.withColumn("_on", F.coalesce(F.col("z") > low, F.lit(False))), keys, t, "_on", width).filter("_on").select(*keys, "start", "stop"))
     joined = merge_intervals(above, keys, max_gap, None, width).drop("n")
     inside = range_join(scored.select(*keys, t, "z"), joined, keys, t, "start", "stop", width or 1 << 40)
     out = inside.groupBy(*keys, "start", "stop").agg(F.max("z").alias("peak"), F.min_by(F.col(t), F.struct(-F.col("z"), F.col(t))).alias("peak_t"))

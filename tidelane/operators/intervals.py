@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import asof, previous, range_join, rank_of, running
+from .ordered import asof, checkpointed, previous, range_join, rank_of, running
 
 
 def in_intervals(points: DataFrame, spans: DataFrame, keys: list[str], t: str, width, flag: str = "inside") -> DataFrame:
     """O-INT-01: points with whether any span of the key holds them, both ends closed; spans may overlap."""
-    spans = merge_intervals(spans, keys, 0, None, width).select(*keys, F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    spans = checkpointed(merge_intervals(spans, keys, 0, None, width).select(*keys, F.col("start").alias("_a"), F.col("stop").alias("_b")))
     hit = asof(points, spans.withColumn(t, F.col("_a")), keys, t, ["_a", "_b"], width)
     return hit.withColumn(flag, F.coalesce(F.col(t) <= F.col("_b"), F.lit(False))).drop("_a", "_b")
 
@@ -48,9 +48,9 @@ def consolidate(spans: DataFrame, keys: list[str], epsilon, strict: bool = False
 def subtract_intervals(a: DataFrame, b: DataFrame, keys: list[str], width=None) -> DataFrame:
     """O-INT-04/05: what is left of the union of a outside the union of b, as (start, stop) with start < stop."""
     mark = lambda df, x, y: df.select(*keys, F.col("start").alias("t"), F.lit(x).alias("da"), F.lit(y).alias("db")).union(df.select(*keys, F.col("stop").alias("t"), F.lit(-x).alias("da"), F.lit(-y).alias("db")))
-    edges = mark(a, 1, 0).union(mark(b, 0, 1)).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    edges = checkpointed(mark(a, 1, 0).union(mark(b, 0, 1)).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db")))
     open_ = running(edges, keys, "t", [], {"na": F.col("da"), "nb": F.col("db")}, "sum", width)
-    parts = previous(open_, keys, "t", [], {"next_t": "t"}, width, backward=True).filter("na > 0 AND nb = 0 AND next_t IS NOT NULL")
+    parts = checkpointed(previous(open_, keys, "t", [], {"next_t": "t"}, width, backward=True).filter("na > 0 AND nb = 0 AND next_t IS NOT NULL"))
     return merge_intervals(parts.select(*keys, F.col("t").alias("start"), F.col("next_t").alias("stop")), keys, 0, None, width).drop("n")
 
 

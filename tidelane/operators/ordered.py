@@ -56,6 +56,21 @@ def running(df: DataFrame, keys: list[str], order: str, ties: list[str], values:
     return rows.withColumns(out).drop("_bucket", *[f"_{x}{i}" for i in range(len(cells)) for x in ("v", "in", "w", "b")])
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage in the session's checkpoint folder (spark.checkpoint.dir); in local mode a temporary one if that is unset.
+
+    Two-level operators read their input twice, so a chain of them doubles the plan at every step: cut it where chains meet."""
+    import tempfile
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidelane-"))
+    return df.checkpoint()
+
+
 def previous(df: DataFrame, keys: list[str], order: str, ties: list[str], values: dict[str, str], width=None, backward: bool = False) -> DataFrame:
     """df with the values of the row before (after, if backward): new name -> column. Null at the end of a key."""
     packed = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(values.values())])

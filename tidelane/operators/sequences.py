@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import previous, rank_of, running
+from .ordered import checkpointed, previous, rank_of, running
 
 
 def edges(samples: DataFrame, keys: list[str], t: str, bit: str, width=None) -> DataFrame:
@@ -196,7 +196,7 @@ def event_duration_states(states: DataFrame, keys: list[str], t: str, state: str
     for code, into in order:
         short = runs(rows.select(*keys, t, state), keys, t, state, width).filter((F.col(state) == code) & (F.col("n") < minimum[code])).select(*keys, "start", "stop")
         hit = range_join(rows.select(*keys, t), short, keys, t, "start", "stop", width or 1 << 40).select(*keys, t, F.lit(True).alias("_hit"))
-        rows = rows.join(hit, [*keys, t], "left").withColumn(state, F.when(F.col("_hit"), F.lit(into)).otherwise(F.col(state))).drop("_hit")
+        rows = checkpointed(rows.join(hit, [*keys, t], "left").withColumn(state, F.when(F.col("_hit"), F.lit(into)).otherwise(F.col(state))).drop("_hit"))
     return rows
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import in_intervals, merge_intervals, subtract_intervals
-from .ordered import range_join, running
+from .ordered import checkpointed, range_join, running
 
 
 def dip_statistic(x: np.ndarray) -> float:
@@ -105,6 +105,7 @@ def overwrite(samples: DataFrame, spans: DataFrame, keys: list[str], t: str, sta
 
 def episodes(spans: DataFrame, keys: list[str], packet: float, micro: float, width=None) -> dict[str, DataFrame]:
     """O-ST-12: of state intervals (state, start, stop): packets (NREM of at least `packet`), microarousals (WAKE up to `micro`), NREM episodes (packets joined over at most `micro`, without REM), WAKE episodes (longer WAKE)."""
+    spans = checkpointed(spans.select(*keys, "state", "start", "stop"))
     cut = lambda s: spans.filter(F.col("state") == s).select(*keys, "start", "stop")
     size = F.col("stop") - F.col("start")
     packets = cut("NREM").filter(size >= packet)

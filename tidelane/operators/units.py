@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import nearest, previous, range_join, rank_of, running
+from .ordered import checkpointed, nearest, previous, range_join, rank_of, running
 
 
 def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], t: str, within) -> DataFrame:
@@ -295,19 +295,6 @@ def merge_groups(edges: DataFrame, unit: str = "unit", other: str = "other") ->
             return labels.select(F.col("u").alias("node"), F.col("g").alias("group"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the session's checkpoint folder (spark.checkpoint.dir); in local mode a temporary one if that is unset."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidelane-"))
-    return df.checkpoint()
-
-
 def amplitude_weighted_depth(rows: DataFrame, keys: list[str], weight: str, depth: str) -> DataFrame:
     """O-SRT-05/16: depth weighted by the positive part of the weight; null without any."""
     w = F.greatest(F.col(weight), F.lit(0))
