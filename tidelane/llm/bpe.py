@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, lean
 
 #: Segments of each of the two generations in a worker's cache, and token pairs before that cache is emptied.
 SEGMENTS, PAIRS = 250_000, 500_000
@@ -226,6 +226,7 @@ def share_vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+@lean
 def _encode(batches, shared) -> Iterator[pa.RecordBatch]:
     v = _vocabulary(shared)
     for batch in batches:
@@ -242,6 +243,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(partial(_encode, shared=share_vocabulary(docs, path)), "doc_id long, ids binary")
 
 
+@lean
 def _decode(batches, shared) -> Iterator[pa.RecordBatch]:
     v = _vocabulary(shared)
     for batch in batches:
@@ -254,6 +256,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decode, shared=share_vocabulary(encoded, path)), "doc_id long, text string")
 
 
+@lean
 def _round_trip(batches, shared) -> Iterator[pa.RecordBatch]:
     v = _vocabulary(shared)
     numeral = v.numerals

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -30,12 +32,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Stages of this Python process that still hold tables.
+_LIVE: list[Stage] = []
+
+
 class Stage:
     """Tables of one run in the shared folder. They survive the loss of executors and cut the lineage; drop() removes one that nothing reads any more, the rest go when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidelane-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        _LIVE.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.option("compression", "zstd")
@@ -51,12 +57,47 @@ class Stage:
             _delete(self.spark, f"{self.root}/{name}")
 
     def close(self) -> None:
+        if self in _LIVE:
+            _LIVE.remove(self)
         try:
             _delete(self.spark, self.root)
         except Exception:  # the JVM may be gone already
             pass
 
 
+def sweep(*keep: Stage) -> None:
+    """Deletes the tables of all stages but `keep`: for a driver that has written every result which it still needs."""
+    for stage in [x for x in _LIVE if x not in keep]:
+        stage.close()
+
+
+atexit.register(sweep)
+
+
+def _trim() -> None:
+    """Gives memory that a finished task has freed back to the system: Python workers live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(batches_function):
+    """A function from batches to batches that gives freed memory back when its task ends."""
+
+    @functools.wraps(batches_function)
+    def run(*args, **kwargs):
+        try:
+            yield from batches_function(*args, **kwargs)
+        finally:
+            _trim()
+
+    return run
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that nobody holds any more."""
     import gc
@@ -67,8 +108,8 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes, so that very long texts don't pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def attach_group(rows: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], salt_on: list[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
             F.col(id_col).alias("doc_id"), text.alias("_text"), F.octet_length(text).cast("long").alias("n_bytes"),
             F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
         )
-        hashed = wide.join(survivors, ["n_bytes", "prefix"], "left_semi").select("doc_id", "n_bytes", "prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"))
+        hashed = wide.join(survivors.hint("merge"), ["n_bytes", "prefix"], "left_semi").select("doc_id", "n_bytes", "prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"))
     hashed = stage.write(hashed.select("doc_id", "n_bytes", "prefix", "sha"), "hashed")
     grouped = attach_group(
         hashed, ["n_bytes", "prefix", "sha"],
@@ -63,4 +63,4 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that refine() doesn't keep; ids must be unique, rows with a null id stay."""
     gone = refine(docs, id_col, text_col).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone.hint("merge"), id_col, "left_anti")

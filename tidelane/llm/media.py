@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits
+from .common import arrow_limits, lean
 
 #: Bytes of a row of the image; payloads are padded with zeros to a positive multiple of it.
 WIDTH = 64
@@ -153,6 +153,7 @@ MEDIA_SCHEMA = (
 )
 
 
+@lean
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         media, sizes = [], []
@@ -172,6 +173,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .common import Stage, arrow_limits, free_shuffles
+from .common import Stage, arrow_limits, free_shuffles, lean
 from .components import components
 
 SHINGLE = 5
@@ -110,6 +110,7 @@ def band_hashes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _signatures(batches, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, value, bounds in shingle_sets(batch.column(1), shingle):
@@ -146,6 +147,7 @@ def _star_batch(bucket=(), doc=(), part=(), x=(), hub=()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column(np.asarray(bucket, dtype=np.uint64).view(np.int64) if n else bucket, 0, m), column(doc, 0, m), column(part, 0, m), column(x, n, 0), column(hub, n, 0)], ["bucket", "doc_id", "part", "x", "hub"])
 
 
+@lean
 def _local_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
     """Stars within this task's rows; of each bucket only the hub goes on, so a bucket costs the exchange one row a task."""
     buckets, docs, parts = [], [], []
@@ -165,6 +167,7 @@ def _local_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
         yield _star_batch(bucket[hubs], doc[hubs], part[hubs], x, hub)
 
 
+@lean
 def _joined_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
     rows = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
     if rows:
@@ -173,6 +176,7 @@ def _joined_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(hub)], ["x", "hub"])
 
 
+@lean
 def _confirm(batches, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     for batch in batches:
@@ -203,10 +207,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     stage = Stage(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage.write(source.mapInArrow(partial(_signatures, shingle=shingle), "doc_id long, n_shingles long, set_key binary, bands binary"), "signed")
-    narrow = signed.filter("doc_id is not null and set_key is not null").select("doc_id", "set_key")
+    rows = stage.write(signed.select("doc_id", "n_shingles", "set_key"), "rows")
+    narrow = rows.filter("doc_id is not null and set_key is not null").select("doc_id", "set_key")
     classes = stage.write(narrow.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes")
     bands = signed.select("doc_id", "set_key", "bands").join(classes, ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
     bands = stage.write(bands.withColumn("part", F.col("doc_id")), "bands0")
+    stage.drop("signed")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tested = texts = parts = None
     turn = 0
@@ -224,6 +230,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
             ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends")
             texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
             bands = stage.write(bands.drop("part").join(ends, "doc_id", "left_semi"), "met")
+            stage.drop("bands0")
             free_shuffles(spark)
 
         def confirm(chosen: DataFrame, name: str, texts: DataFrame = texts) -> DataFrame:
@@ -262,8 +269,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     if parts is not None:
         found = found.join(parts, "node", "left")
     found = found.select("set_key", F.coalesce("component", "node").alias("component_id") if parts is not None else F.col("node").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "set_key")
     named = rows.filter("doc_id is not null and set_key is not null")
-    joined = named.join(stage.write(found, "found"), "set_key")  # two plain exchanges: Spark can split a hot set
+    found = stage.write(found, "found")
+    stage.drop("texts", "met", *[f"{n}{t}" for t in range(turn + 1) for n in ("bands", "pairs")])
+    joined = named.join(found, "set_key")  # two plain exchanges: Spark can split a hot set
     rest = rows.filter("doc_id is null or set_key is null").withColumn("component_id", F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id").union(rest.select("doc_id", "n_shingles", "component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

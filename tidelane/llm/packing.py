@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, Stage, arrow_limits
+from .common import SALTS, Stage, arrow_limits, lean
 
 CAPACITY = 4096
 #: Ends each document.
@@ -103,6 +103,7 @@ def _tokens(shared) -> Tokens:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lean
 def _cut(batches, shared, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens = _tokens(shared)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
@@ -199,6 +200,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
 
 
+@lean
 def _place(batches, runs) -> Iterator[pa.RecordBatch]:
     size, rank, each, first, offset = runs.value.T
     top = np.int64(1) << 50

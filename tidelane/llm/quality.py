@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .common import arrow_limits
+from .common import arrow_limits, lean
 
 #: Labelled texts of each class that the model is fitted on at most, chosen by a hash of their ids: this bounds the
 #: driver's matrix (2 x FIT_ROWS x (TERMS + REPEATS) numbers) and the broadcast vectors, whatever the input's size.
@@ -106,6 +106,7 @@ class Model:
         return np.round(np.clip(out, 0.0, 1.0), 5)  # matrix products of other shapes differ in the last digits
 
 
+@lean
 def _term_rows(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms = term_counts(batch.column(1))
@@ -140,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     return Model(model.mean, model.weight, model.axes, model.embed(terms).astype(np.float32), votes)
 
 
+@lean
 def _score_rows(batches, model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = np.concatenate([model.value.scores(term_counts(batch.column(1).slice(lo, BLOCK))) for lo in range(0, batch.num_rows, BLOCK)] or [np.zeros(0)])
@@ -163,6 +165,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     arrow_limits(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def good(batches):
         for batch in batches:
             texts = batch.column(text_col)

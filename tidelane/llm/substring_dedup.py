@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from . import arrowtext as at
-from .common import Stage, arrow_limits, free_shuffles
+from .common import Stage, arrow_limits, free_shuffles, lean
 
 WINDOW = 35
 #: Words of an anchor: 26 of them begin in a window of 35 words, so about 2 of 27 words begin an anchor.
@@ -110,6 +110,7 @@ def _block() -> int:
     return TaskContext.get().partitionId()
 
 
+@lean
 def _anchor_run(batches, window: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
     run = _Run()
     for batch in batches:
@@ -199,6 +200,7 @@ def _finished(words: list[bytes]) -> str:
 _OPEN = "kind string, doc_id long, key binary, text string, n_words long, kept_sha256 string, " + _RUN
 
 
+@lean
 def _open_or_done(batches, window: int, gram: int, buckets: int, carried, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Rows done: texts without a shared anchor, finished. Rows open: the others, as they are. Rows run: their windows.
 
@@ -251,6 +253,7 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+@lean
 def _remove(batches, window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_words, n_removed, digests, kept_texts = [], [], [], []
@@ -301,6 +304,7 @@ def _history_anchors(history: DataFrame) -> DataFrame:
     return history.filter("level = 1").drop("level")
 
 
+@lean
 def _all_windows_run(batches, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
     run = _Run()
     for batch in batches:
