@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's result as Parquet and reads it again as the next one's docs.
+As results are written before the next stage begins, a stage first deletes what earlier ones left in the shared folder.
 """
 
 from __future__ import annotations
@@ -10,24 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm import exact_dedup, minhash, packing, quality, substring_dedup
-from tidelane.llm.common import Stage
+from tidelane.llm.common import Stage, sweep
 from tidelane.llm.queries import tokenizer_path
 
 
+#: Tables that the next stage reads: run() keeps them here.
+RESULTS: list[Stage] = []
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that the classifier, fitted on the labels that aren't held out, scores 0.7 or more."""
+    sweep(*RESULTS)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    sweep(*RESULTS)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
+    sweep(*RESULTS)
     gone = minhash.link(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +43,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A text without words left stays as an empty one.
     """
+    sweep(*RESULTS)
     kept = substring_dedup.remove_repeats(docs, with_text=True, carry=tuple(docs.columns))
     new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carry.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("carry.n_chars"))}
     return kept.select(*[new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
@@ -42,6 +51,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences."""
+    sweep(*RESULTS)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -59,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark)
+    RESULTS.append(stage)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, apply) in enumerate(STAGES):
         docs = stage.write(apply(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            stage.drop(f"stage{k - 1}")
     return docs
