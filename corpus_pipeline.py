@@ -44,8 +44,9 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A text without words left stays as an empty one.
     """
     sweep(*RESULTS)
-    kept = substring_dedup.remove_repeats(docs, with_text=True, carry=tuple(docs.columns))
-    new = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carry.text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("carry.n_chars"))}
+    others = tuple(c for c in docs.columns if c != "text")
+    kept = substring_dedup.remove_repeats(docs.withColumn("_no_text", F.col("text").isNull()), with_text=True, carry=(*others, "_no_text"))
+    new = {"text": F.when(~F.col("carry._no_text"), F.col("kept_text")), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("carry.n_chars"))}
     return kept.select(*[new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
 
