@@ -115,6 +115,7 @@ def greedy_thin(events: DataFrame, keys: list[str], t: str, dead, width=None) ->
 
 def expand_runs_with_dead_time(spans: DataFrame, keys: list[str], dead: int, last: int | None = None) -> DataFrame:
     """O-WIN-14: accepted sample indices within runs (start, stop): from each run's start on, every one at least dead + 1 after the last accepted one, across runs. Runs must not overlap; a key's runs are a bounded table."""
+    import numpy as np
     import pandas as pd
 
     schema = spans.select(*keys).schema.add("t", "long")
@@ -126,8 +127,9 @@ def expand_runs_with_dead_time(spans: DataFrame, keys: list[str], dead: int, las
             while at <= b:
                 out.append(at)
                 held, at = at, at + dead + 1
-        head = {k: [pdf[k].iloc[0]] * len(out) for k in keys}
-        return pd.DataFrame(head | {"t": pd.Series(out, dtype="int64")})
+        # as arrays: some pandas string columns without rows don't convert to Arrow
+        head = {k: np.array([pdf[k].iloc[0]] * len(out), dtype=object) for k in keys}
+        return pd.DataFrame(head | {"t": np.array(out, dtype=np.int64)})
 
     return spans.groupBy(*keys).applyInPandas(expand, schema)
 
