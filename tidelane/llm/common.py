@@ -74,8 +74,8 @@ def sweep(*keep: Stage) -> None:
 atexit.register(sweep)
 
 
-def _trim() -> None:
-    """Gives memory that a finished task has freed back to the system: Python workers live on."""
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
@@ -93,7 +93,7 @@ def lean(batches_function):
         try:
             yield from batches_function(*args, **kwargs)
         finally:
-            _trim()
+            trim()
 
     return run
 

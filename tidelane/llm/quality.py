@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
-from .common import arrow_limits, lean
+from .common import arrow_limits, lean, trim
 
 #: Labelled texts of each class that the model is fitted on at most, chosen by a hash of their ids: this bounds the
 #: driver's matrix (2 x FIT_ROWS x (TERMS + REPEATS) numbers) and the broadcast vectors, whatever the input's size.
 FIT_ROWS = 1500
-TERMS, REPEATS = 2048, 8
+TERMS, REPEATS = 1024, 8
 LATENT = 48
 NEIGHBOURS = 25
 #: Weight of a neighbour: its similarity (0 if negative) to this power.
@@ -57,7 +57,7 @@ def term_counts(values: pa.Array) -> np.ndarray:
         gaps = np.flatnonzero(shape == 32)
         if len(shape) >= 3:
             code = (shape[:-2] * np.uint32(0x01000193) ^ shape[1:-1]) * np.uint32(0x01000193) ^ shape[2:]
-            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(21)
+            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - TERMS.bit_length() + 1)
             size = np.zeros(n, dtype=np.int64)
             size[:] = _sizes(values, w.lo, w.hi)
             owner = np.repeat(np.arange(n), size)
@@ -133,12 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     weight = np.log((1 + len(terms)) / (1 + found)) + 1  # rarer terms weigh more
     weight[TERMS:] *= 2.0
     mean = terms.mean(axis=0)
+    weight = weight.astype(np.float32)
     centred = (terms - mean) * weight
     # singular vectors of the terms through the smaller Gram matrix
-    values, axes = np.linalg.eigh((centred.T @ centred).astype(np.float64))
-    axes = axes[:, ::-1][:, : min(LATENT, size)]
+    _, axes = np.linalg.eigh((centred.T @ centred).astype(np.float64))
+    axes = axes[:, ::-1][:, : min(LATENT, size)].copy()
+    del centred
     model = Model(mean.astype(np.float32), weight.astype(np.float32), axes.astype(np.float32), np.zeros((0, axes.shape[1]), np.float32), votes)
-    return Model(model.mean, model.weight, model.axes, model.embed(terms).astype(np.float32), votes)
+    model = Model(model.mean, model.weight, model.axes, model.embed(terms).astype(np.float32), votes)
+    del terms, got
+    trim()  # the driver lives on
+    return model
 
 
 @lean
