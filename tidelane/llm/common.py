@@ -43,9 +43,11 @@ class Stage:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidelane-{uuid.uuid4().hex}"
         _LIVE.append(self)
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
+    def write(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """df as a table. few: in no more files than two for each core of the cluster, for narrow results of a shuffle with many small partitions; tasks then read several of them one after the other."""
+        if few:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

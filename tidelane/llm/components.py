@@ -50,19 +50,19 @@ def components(edges: DataFrame, stage: Stage, name: str = "cc", one_task: int =
     nothing.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now, last, step = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), f"{name}0"), None, 0
+    now, last, step = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), f"{name}0", few=True), None, 0
     if now.count() <= one_task:
         return stage.write(now.coalesce(1).mapInArrow(_join_up, "node long, component long"), f"{name}_joined")
     now = now.distinct()
     while True:
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
         large = _least_neighbour(both(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage.write(large, f"{name}{step}l")
+        large = stage.write(large, f"{name}{step}l", few=True)
         # small star: u and its smaller neighbours go to the least of them
         small = _least_neighbour(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         step += 1
-        small = stage.write(small, f"{name}{step}")
+        small = stage.write(small, f"{name}{step}", few=True)
         stage.drop(f"{name}{step - 1}l", *([f"{name}{step - 1}"] if step > 1 else []))
         n, total = small.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if (n, total) == last:

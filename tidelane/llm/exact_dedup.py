@@ -44,7 +44,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
             F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
         )
         hashed = wide.join(survivors.hint("merge"), ["n_bytes", "prefix"], "left_semi").select("doc_id", "n_bytes", "prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"))
-    hashed = stage.write(hashed.select("doc_id", "n_bytes", "prefix", "sha"), "hashed")
+    hashed = stage.write(hashed.select("doc_id", "n_bytes", "prefix", "sha"), "hashed", few=True)
     grouped = attach_group(
         hashed, ["n_bytes", "prefix", "sha"],
         {"_n": F.count(F.lit(1)), "_max": F.max("doc_id")}, {"group_size": F.sum("_n"), "keep_id": F.max("_max")}, ["doc_id"],

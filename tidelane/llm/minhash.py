@@ -207,11 +207,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     stage = Stage(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage.write(source.mapInArrow(partial(_signatures, shingle=shingle), "doc_id long, n_shingles long, set_key binary, bands binary"), "signed")
-    rows = stage.write(signed.select("doc_id", "n_shingles", "set_key"), "rows")
+    rows = stage.write(signed.select("doc_id", "n_shingles", "set_key"), "rows", few=True)
     narrow = rows.filter("doc_id is not null and set_key is not null").select("doc_id", "set_key")
-    classes = stage.write(narrow.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = stage.write(narrow.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes", few=True)
     bands = signed.select("doc_id", "set_key", "bands").join(classes, ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
-    bands = stage.write(bands.withColumn("part", F.col("doc_id")), "bands0")
+    bands = stage.write(bands.withColumn("part", F.col("doc_id")), "bands0", few=True)
     stage.drop("signed")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tested = texts = parts = None
@@ -223,20 +223,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         pairs = met.union(local.filter("x is not null").select("x", "hub")).groupBy(F.greatest("x", "hub").alias("x"), F.least("x", "hub").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
         if tested is not None:
             pairs = pairs.join(tested, ["x", "hub"], "left_anti")
-        pairs = stage.write(pairs, f"pairs{turn}")
+        pairs = stage.write(pairs, f"pairs{turn}", few=True)
         stage.drop(f"local{turn}")
         if texts is None:
             # every member of a bucket with others is in a pair: later rounds need no other texts, nor other bands
-            ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends")
-            texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
-            bands = stage.write(bands.drop("part").join(ends, "doc_id", "left_semi"), "met")
+            ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends", few=True)
+            texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts", few=True)
+            bands = stage.write(bands.drop("part").join(ends, "doc_id", "left_semi"), "met", few=True)
             stage.drop("bands0")
             free_shuffles(spark)
 
         def confirm(chosen: DataFrame, name: str, texts: DataFrame = texts) -> DataFrame:
             pair = chosen.select("x", "hub").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
             pair = pair.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
-            return stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name)
+            return stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name, few=True)
 
         def join_up(held: DataFrame, name: str) -> int:
             nonlocal parts, tested
@@ -264,13 +264,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
             break
         turn += 1
         near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
-        bands = stage.write(bands.select("doc_id", "bands").join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}")
+        bands = stage.write(bands.select("doc_id", "bands").join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}", few=True)
     found = classes.withColumnRenamed("doc_id", "node")
     if parts is not None:
         found = found.join(parts, "node", "left")
     found = found.select("set_key", F.coalesce("component", "node").alias("component_id") if parts is not None else F.col("node").alias("component_id"))
     named = rows.filter("doc_id is not null and set_key is not null")
-    found = stage.write(found, "found")
+    found = stage.write(found, "found", few=True)
     stage.drop("texts", "met", *[f"{n}{t}" for t in range(turn + 1) for n in ("bands", "pairs")])
     joined = named.join(found, "set_key")  # two plain exchanges: Spark can split a hot set
     rest = rows.filter("doc_id is null or set_key is null").withColumn("component_id", F.col("doc_id"))

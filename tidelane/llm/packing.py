@@ -221,7 +221,7 @@ def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY) -> DataFrame:
     """
     parts = stage.write(parts, "parts")
     salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = stage.write(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts")  # at most capacity x SALTS rows
+    counts = stage.write(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts", few=True)  # at most capacity x SALTS rows
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
     if any(not 1 <= s <= capacity for s in histogram):
         raise ValueError("a length is out of range")

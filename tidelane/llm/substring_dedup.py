@@ -190,7 +190,7 @@ def _repeats(stage: Stage, runs: DataFrame, history: DataFrame | None, name: str
     hits = runs.select("block", "bucket", "prints", "n_refs", "refs").withColumn("prints", F.expr("if(bucket < 0, prints, null)"))
     hits = hits.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(_hits, "key binary, places binary")
     # the same text in other blocks has the same repeats
-    return stage.write(hits.groupBy("key").agg(F.first("places").alias("places")), name)
+    return stage.write(hits.groupBy("key").agg(F.first("places").alias("places")), name, few=True)
 
 
 def _finished(words: list[bytes]) -> str:
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stage.drop("anchors")
     free_shuffles(spark)
     second = source.join(shared, "key", "left").mapInArrow(partial(_open_or_done, window=window, gram=gram, buckets=buckets, carried=to_arrow_type(kind), with_text=with_text), StructType.fromDDL(_OPEN).add("carry", kind))
-    tables = stage.write(second, "windows", partition_by="kind")
+    tables = stage.write(second, "windows")
     free_shuffles(spark)
     windows = tables.filter("kind = 'run'").select(*[x.split()[0] for x in _RUN.split(", ")])
     repeats = _repeats(stage, windows, None if history is None else history.filter("level = 2").drop("level"), "repeats")

@@ -74,7 +74,7 @@ def write(pages: DataFrame, stage: Stage, date: str = DATE, id_col: str = "page_
     rows = attach_group(rows, ["digest"], {"_min": F.min("page_id"), "_n": F.count(F.lit(1))}, {"first_id": F.min("_min"), "n": F.sum("_n")}, ["page_id"])
     revisit = (F.col("n_bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    records = stage.write(rows.select("page_id", "digest", "n", "record_type", "refers_to", _headers(date).alias("header")), "records")
+    records = stage.write(rows.select("page_id", "digest", "n", "record_type", "refers_to", _headers(date).alias("header")), "records", few=True)
     free_shuffles(pages.sparkSession)
     return Archive(payloads, records)
 
