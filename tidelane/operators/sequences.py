@@ -55,16 +55,22 @@ def fill_gaps(samples: DataFrame, keys: list[str], t: str, value: str, max_gap,
     return rows.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_hi.t") - F.col("_lo.t") <= max_gap, line)).drop("_lo", "_hi")
 
 
-def moving_average(samples: DataFrame, keys: list[str], t: str, value: str, n: int, out: str = "smooth") -> DataFrame:
+def _around(samples: DataFrame, keys: list[str], t: str, value: str, back: int, ahead: int, width) -> DataFrame:
+    """samples with _sum and _n of the known values from `back` rows before to `ahead` rows after each: rows are numbered in two levels and added up by number, so no key is sorted whole."""
+    rows = checkpointed(rank_of(samples, keys, t, [], "_i", width))
+    spread = rows.select(*keys, value, F.explode(F.sequence(F.col("_i") - ahead, F.col("_i") + back)).alias("_i"))
+    return rows.join(spread.groupBy(*keys, "_i").agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), [*keys, "_i"]).drop("_i")
+
+
+def moving_average(samples: DataFrame, keys: list[str], t: str, value: str, n: int, out: str = "smooth", width=None) -> DataFrame:
     """O-WIN-09: zero-padded mean over n rows, always divided by n. An even window reaches one row further back than ahead."""
-    window = Window.partitionBy(*keys).orderBy(t).rowsBetween(-(n // 2), (n - 1) // 2)
-    return samples.withColumn(out, F.sum(value).over(window) / n)
+    return _around(samples, keys, t, value, n // 2, (n - 1) // 2, width).withColumn(out, F.col("_sum") / n).drop("_sum", "_n")
 
 
-def centred_mean(samples: DataFrame, keys: list[str], t: str, value: str, n: int, out: str = "smooth") -> DataFrame:
+def centred_mean(samples: DataFrame, keys: list[str], t: str, value: str, n: int, out: str = "smooth", width=None) -> DataFrame:
     """O-WIN-10: mean of the known values among n rows around each; the window shrinks at the ends. n is made odd by taking one off."""
     half = (n - 1) // 2
-    return samples.withColumn(out, F.avg(value).over(Window.partitionBy(*keys).orderBy(t).rowsBetween(-half, half)))
+    return _around(samples, keys, t, value, half, half, width).withColumn(out, F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n")
 
 
 def fill_states(samples: DataFrame, keys: list[str], t: str, state: str, width=None) -> DataFrame:

@@ -67,12 +67,12 @@ def o_win_07_fill_gaps(spark, sf):
 
 @query("WITH {spikes} SELECT unit, t, round(sum(v) OVER (PARTITION BY unit ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6, 6) AS smooth FROM spikes")
 def o_win_09_moving_average(spark, sf):
-    return sq.moving_average(spikes(spark, sf).select("unit", "t", "v"), ["unit"], "t", "v", 6).select("unit", "t", R6("smooth").alias("smooth"))
+    return sq.moving_average(spikes(spark, sf).select("unit", "t", "v"), ["unit"], "t", "v", 6, width=DAY).select("unit", "t", R6("smooth").alias("smooth"))
 
 
 @query("WITH {spikes}, " + GAPPED + " SELECT unit, t, round(avg(v) OVER (PARTITION BY unit ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM g")
 def o_win_10_centred_mean(spark, sf):
-    return sq.centred_mean(gapped(spark, sf), ["unit"], "t", "v", 5).select("unit", "t", R6("smooth").alias("smooth"))
+    return sq.centred_mean(gapped(spark, sf), ["unit"], "t", "v", 5, width=DAY).select("unit", "t", R6("smooth").alias("smooth"))
 
 
 @query("""WITH {spikes}, s AS (SELECT unit, t, CASE WHEN v < 10 THEN 0 ELSE 1 + id % 3 END AS state, row_number() OVER (PARTITION BY unit ORDER BY t) AS i FROM spikes),
