@@ -7,7 +7,7 @@ confirmed on full sets, best first, and only while their ends are not yet known
 A bucket's hub is the member with the least hash of (member, bucket): other buckets of the same family have other hubs, so a
 text is compared with about as many members of its family as there are bands. A star can miss a link between two members
 that are both unlike the hub. So further rounds look at texts of different components in finer buckets (two bands each,
-other pairs of bands every round) with other hubs, until a round confirms nothing new.
+other pairs of bands every round) with other hubs, until QUIET rounds in a row confirm nothing new.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE = 5
 PERCENT = 80
 #: BANDS x ROWS values: two texts of similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS = 1e-8.
 BANDS, ROWS = 60, 6
+#: Rounds without a new link after which the search ends.
+QUIET = 2
 #: Pairs of bands that each member of a bucket of the first round brings to a further round, in multiples of BANDS.
 PAIRINGS = 4
 #: Independent one-permutation hashes that a signature's values are dealt from. The rows of a band come from different
@@ -215,7 +217,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     stage.drop("signed")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tested = texts = parts = None
-    turn = 0
+    turn = quiet = 0
     while True:
         # candidate pairs of this round
         local = stage.write(bands.mapInArrow(partial(_local_stars, turn=turn), _STAR), f"local{turn}")
@@ -260,7 +262,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
                 todo = todo.filter("coalesce(_x, x) != coalesce(_hub, hub)")
         grown = join_up(confirm(todo, f"held{turn}"), f"cc{turn}")
         free_shuffles(spark)
-        if parts is None or turn and not grown:
+        quiet = 0 if grown or not turn else quiet + 1
+        if parts is None or quiet == QUIET:
             break
         turn += 1
         near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
