@@ -93,3 +93,17 @@ def test_components_of_paths_stars_and_cycles(spark, one_task):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(7, 9), (9, 8), (8, 7), (3, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Stage(spark), one_task=one_task).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)} | {7: 7, 8: 7, 9: 7}
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_exhaustive_search_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "COLUMNS", 50)
+    texts = family(3, 120, 40) + family(4, 60, 200)
+    rows = [(i, " ".join(t.split()[: len(t.split()) - i % 9])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = docs.select("doc_id", F.col("doc_id").alias("part"), F.unhex(F.lit("07" * 8)).alias("bands"))
+    stage = Stage(spark)
+    links = minhash.exhaustive(bands, docs, stage, 3, 80)
+    found = {r.node: r.component for r in components(links, stage).collect()}
+    assert {d: found.get(d, d) for d, _ in rows} == {r[0]: r[2] for r in brute(rows, 3, 80)}

@@ -7,7 +7,8 @@ confirmed on full sets, best first, and only while their ends are not yet known
 A bucket's hub is the member with the least hash of (member, bucket): other buckets of the same family have other hubs, so a
 text is compared with about as many members of its family as there are bands. A star can miss a link between two members
 that are both unlike the hub. So further rounds look at texts of different components in finer buckets (two bands each,
-other pairs of bands every round) with other hubs, until QUIET rounds in a row confirm nothing new.
+other pairs of bands every round) with other hubs, until QUIET rounds in a row confirm nothing new. What they leave is searched
+exhaustively: every two texts of a bucket of the first round that are still in different components are compared on full sets.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ SHINGLE = 5
 PERCENT = 80
 #: BANDS x ROWS values: two texts of similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS = 1e-8.
 BANDS, ROWS = 60, 6
-#: Rounds without a new link after which the search ends.
+#: Rounds without a new link after which the search by stars ends.
 QUIET = 2
 #: Pairs of bands that each member of a bucket of the first round brings to a further round, in multiples of BANDS.
 PAIRINGS = 4
+#: Texts of one family in a block of the exhaustive search; a task compares two blocks at a time.
+BLOCK = 512
+#: Distinct shingles that a comparison of two blocks takes at a time.
+COLUMNS = 4096
 #: Independent one-permutation hashes that a signature's values are dealt from. The rows of a band come from different
 #: ones, so that the few shingles of a short text don't fill a band twice.
 PERMUTATIONS = ROWS
@@ -195,6 +200,100 @@ def _confirm(batches, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("hub"), pa.array(good, pa.bool_())], ["x", "hub", "linked"])
 
 
+@lean
+def _entries(batches) -> Iterator[pa.RecordBatch]:
+    """bucket, doc_id, part of the first round's buckets."""
+    for batch in batches:
+        value, cuts = at.unpack(batch.column("bands"), np.uint64)
+        each = np.diff(cuts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(value.view(np.int64)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), each)), pa.array(np.repeat(batch.column("part").to_numpy(), each))],
+            ["bucket", "doc_id", "part"],
+        )
+
+
+@lean
+def _sets(batches, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets of texts. Sizes of sets that are similar enough are in the same class or in neighbouring ones."""
+    for batch in batches:
+        for lo, hi, value, bounds in shingle_sets(batch.column("text"), shingle):
+            sizes = np.diff(bounds)
+            kind = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent * 1.0001)).astype(np.int32)
+            columns = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "part", "family")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind), at.pack(value, bounds)], ["doc_id", "part", "family", "kind", "shingles"])
+
+
+def _unlinked(values: list[np.ndarray], part: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of components, as rows, with members x (side not 1) and y (side not 0) that are similar enough."""
+    sizes = np.array([len(v) for v in values])
+    token = np.concatenate(values) if len(values) else np.zeros(0, np.uint64)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], np.repeat(np.arange(len(values)), sizes)[order]
+    first = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
+    rank = np.cumsum(first) - 1
+    often = (np.bincount(rank) > 1)[rank] if len(rank) else np.zeros(0, bool)  # a shingle of one text adds nothing
+    owner, rank = owner[often], rank[often]
+    rank = np.cumsum(np.append(True, rank[1:] != rank[:-1])) - 1 if len(rank) else rank
+    x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    common = np.zeros((len(x), len(y)), dtype=np.float32)  # whole numbers below 2**24: exact
+    for c in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+        a, b = np.searchsorted(rank, (c, c + COLUMNS))
+        block = np.zeros((len(values), COLUMNS), dtype=np.float32)
+        block[owner[a:b], rank[a:b] - c] = 1
+        common += block[x] @ block[y].T
+    common = common.astype(np.int64)
+    good = (100 * common >= percent * (sizes[x][:, None] + sizes[y][None, :] - common)) & (common > 0) & (part[x][:, None] != part[y][None, :])
+    i, j = np.nonzero(good)
+    return np.unique(np.sort(np.stack([part[x[i]], part[y[j]]], axis=1), axis=1), axis=0)
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components of one cell: two blocks, or one with itself."""
+    values = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in table.column("shingles")]
+    found = _unlinked(values, table.column("part").to_numpy(), table.column("side").to_numpy(), percent)
+    return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
+
+
+def exhaustive(bands: DataFrame, texts: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
+    """u, v: links between components (part of bands' rows) that hold two similar texts of one bucket.
+
+    Texts that open buckets (three or more members, more than one component; of two members each is the other's hub) hold
+    together are a family. Within a family all texts of different components are compared, but none of its largest component with another of it.
+    """
+    spark = bands.sparkSession
+    percent = max(percent, 1)
+    entries = bands.mapInArrow(_entries, "bucket long, doc_id long, part long")
+    open_ = entries.groupBy("bucket").agg(F.min("doc_id").alias("v"), F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a != _b and _n > 2").select("bucket", "v")
+    edges = stage.write(entries.join(open_, "bucket").select(F.col("doc_id").alias("u"), "v").distinct(), "open", few=True)
+    families = components(edges, stage, "cc_open").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
+    members = bands.select("doc_id", "part").distinct().join(families, "doc_id")
+    owned = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("_n")).groupBy("family").agg(F.max_by("part", F.struct("_n", "part")).alias("core"))
+    sets = members.join(texts, "doc_id").mapInArrow(partial(_sets, shingle=shingle, percent=percent), "doc_id long, part long, family long, kind int, shingles binary")
+    sets = stage.write(sets, "sets", few=True)
+    # blocks of a family's kind: those of the core (at 0, 2, ...) hold only texts of its largest component, the others (1, 3, ...) no such text
+    counts = sets.join(owned, "family").groupBy("family", "kind").agg(F.count_if(F.col("part") == F.col("core")).alias("_core"), F.count_if(F.col("part") != F.col("core")).alias("_rest"))
+    of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    grid = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(of("_core").alias("core"), of("_rest").alias("rest"))))).alias("grid")).join(owned, "family")
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1))).cast("int")
+    numbers = lambda n, odd: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda i: i < F.coalesce(n, F.lit(0))), lambda i: 2 * i + odd)
+    rows = sets.join(grid, "family").withColumn("_core", F.col("part") == F.col("core"))
+    rows = rows.withColumn("own", F.when(F.col("_core"), 2 * deal(F.col("grid")[F.col("kind")]["core"])).otherwise(2 * deal(F.col("grid")[F.col("kind")]["rest"]) + 1))
+    others = []
+    for step in (-1, 0, 1):
+        there = F.element_at("grid", F.col("kind") + step)
+        blocks = F.concat(F.when(F.col("_core"), F.array().cast("array<int>")).otherwise(numbers(there["core"], 0)), numbers(there["rest"], 1))
+        there_kind = F.col("kind") + step
+        others.append(F.transform(blocks, lambda b: F.struct(there_kind.alias("kind"), b.alias("block"))))  # noqa: B023
+    rows = rows.withColumn("other", F.explode(F.concat(*others))).withColumn("mine", F.struct(F.col("kind").alias("kind"), F.col("own").alias("block")))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    cells = rows.select(F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "part", side.alias("side"), "shingles")
+    found = cells.groupBy("cell").applyInArrow(lambda table: _compare(table, percent), "u long, v long")
+    found = stage.write(found.distinct(), "late", few=True)
+    stage.drop("open", "sets")
+    free_shuffles(spark)
+    return found
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
@@ -268,6 +367,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
         turn += 1
         near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
         bands = stage.write(bands.select("doc_id", "bands").join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}", few=True)
+    if "part" not in bands.columns:
+        bands = bands.withColumn("part", F.col("doc_id"))
+    late = exhaustive(bands, texts, stage, shingle, percent)
+    if late.count():
+        parts = components(late if parts is None else late.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))), stage, "cc_late")
     found = classes.withColumnRenamed("doc_id", "node")
     if parts is not None:
         found = found.join(parts, "node", "left")
