@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,22 +89,74 @@ def test_documents(spark, sf):
     assert got(minhash.link(df.repartition(4), shingle=4)) == brute(rows, 4, 80)
 
 
-@pytest.mark.parametrize("one_task", [0, 10**6])
-def test_components_of_paths_stars_and_cycles(spark, one_task):
+def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(7, 9), (9, 8), (8, 7), (3, 3)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Stage(spark), one_task=one_task).collect()}
-    assert found == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)} | {7: 7, 8: 7, 9: 7}
+    want = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)} | {7: 7, 8: 7, 9: 7}
+    for tasks in (1, 7):
+        df = spark.createDataFrame(edges, "u long, v long").repartition(tasks)
+        assert {r.node: r.component for r in components(df, Stage(spark)).collect()} == want
+    assert components(spark.createDataFrame([], "u long, v long"), Stage(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 512])
-def test_exhaustive_search_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash, "BLOCK", block)
-    monkeypatch.setattr(minhash, "COLUMNS", 50)
+@pytest.mark.parametrize("part", [7, 4096])
+def test_search_of_what_stars_leave(spark, monkeypatch, part):
+    """One bucket for all texts, none of them linked yet: the search alone must find every component."""
+    monkeypatch.setattr(minhash, "LIST_PART", part)
     texts = family(3, 120, 40) + family(4, 60, 200)
     rows = [(i, " ".join(t.split()[: len(t.split()) - i % 9])) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bands = docs.select("doc_id", F.col("doc_id").alias("part"), F.unhex(F.lit("07" * 8)).alias("bands"))
+    want = {r[0]: r[2] for r in brute(rows, 3, 80)}
     stage = Stage(spark)
-    links = minhash.exhaustive(bands, docs, stage, 3, 80)
-    found = {r.node: r.component for r in components(links, stage).collect()}
-    assert {d: found.get(d, d) for d, _ in rows} == {r[0]: r[2] for r in brute(rows, 3, 80)}
+    pairs = {(r.x, r.hub) for r in minhash.leftovers(bands, docs, stage, 3, 80).collect()}
+    sets = [set(zip(*[t.split()[k:] for k in range(3)])) for _, t in rows]
+    links = {(x, y) for x in range(len(rows)) for y in range(x) if len(sets[x] & sets[y]) * 100 >= 80 * len(sets[x] | sets[y])}
+    assert links <= pairs and len(want) == len(rows)
+
+
+def near_copies(n, words):
+    """n copies of one text of that many words with up to three words changed: most pairs are not similar enough."""
+    return list(dict.fromkeys(family(11, n, words)))
+
+
+def by_matrix(texts, shingle, percent):
+    """Components of all pairs, by one product of the incidence matrix."""
+    number = {}
+    sets = [{number.setdefault(x, len(number)) for x in zip(*[t.split()[k:] for k in range(shingle)])} for t in texts]
+    m = np.zeros((len(sets), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, list(s)] = 1
+    common, size = m @ m.T, np.array([len(s) for s in sets])
+    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    label = np.arange(len(sets))
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_large_family_under_two_layouts(spark):
+    texts = near_copies(4300, 50)
+    assert len(texts) > 3000
+    want = by_matrix(texts, 4, 80)
+    assert len(set(want)) > 100  # the family isn't one component
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for layout in (docs.coalesce(1), docs.repartition(9, "text")):
+        assert {r.doc_id: r.component_id for r in minhash.link(layout, shingle=4).collect()} == dict(enumerate(want))
+
+
+def test_repeated_id_stands_for_all_its_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (9, a + " more"), (7, b + " more"), (8, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.link(docs, shingle=4).collect()) == [(5, 5), (5, 5), (7, 5), (8, 8), (9, 5)]
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    """A word of 4096 letters over {a, b} and its opposite (Thue-Morse) have equal polynomial hashes modulo 2**64 under any odd base."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate({97: 98, 98: 97})
+    opposite = word.translate({97: 98, 98: 97})
+    rows = [(1, word), (2, opposite), (3, f"one two three {word} five six"), (4, f"one two three {opposite} five six")]
+    assert got(minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)) == brute(rows, 4, 80)

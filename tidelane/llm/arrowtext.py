@@ -48,8 +48,8 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_BYTES_KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_PLACE, _SIZE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass
@@ -117,11 +117,27 @@ def words(values: pa.Array, lower: bool = False) -> Iterator[Words]:
 
 
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    up, down = _BYTE_POWERS.get(len(w.bytes) + 1)
-    total = np.zeros(len(w.bytes) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[w.bytes] * up[: len(w.bytes)], dtype=np.uint64, out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start])
+    """A 64-bit hash of each word's bytes: the sum of its 8-byte pieces, each spread together with its place, and the length.
+
+    No two words of at most 8 bytes share one. The spreading isn't linear, so words built from equal pieces in other
+    orders (which collide under any polynomial modulo 2**64) differ like any others.
+    """
+    if not len(w):
+        return np.zeros(0, dtype=np.uint64)
+    size = w.end - w.start
+    padded = np.concatenate([w.bytes, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(w.bytes) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    total = mix((eight[w.start] & _BYTES_KEPT[np.minimum(size, 8)]) + _PLACE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(first[-1] + more[-1]) - np.repeat(first, more) + 1
+        begin = np.repeat(w.start[long], more) + 8 * place
+        kept = _BYTES_KEPT[np.minimum(np.repeat(w.end[long], more) - begin, 8)]
+        spread = mix((eight[begin] & kept) + mix((place.astype(np.uint64) + np.uint64(1)) * _PLACE))
+        total[long] += np.add.reduceat(spread, first)
+    return mix(total ^ (size.astype(np.uint64) * _SIZE))
 
 
 def runs_of(hashes: np.ndarray, n: int, powers: Powers) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, Stage
+from .common import SALTS, Stage, lean
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -17,15 +19,9 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return salted.join(routed, ["u", "s"]).select("u", "v", "m")
 
 
-#: Links that one task joins up by itself (two numbers each); more go through the distributed steps.
-ONE_TASK = 2_000_000
-
-
-def _join_up(batches):
-    """Union-find over one task's links."""
-    import numpy as np
-    import pyarrow as pa
-
+@lean
+def _contract(batches):
+    """A task's links, joined up by themselves: each node with the least number that it reaches there. As many links as nodes, or fewer."""
     pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     u, v = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -38,22 +34,21 @@ def _join_up(batches):
         np.minimum.at(up, high, low)
         while (up[up] != up).any():
             up = up[up]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], ["node", "component"])
+    below = up != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[up][below])], ["u", "v"])
 
 
-def components(edges: DataFrame, stage: Stage, name: str = "cc", one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
     """node, component: for every node of edges (u, v), numbers without null, the least number that it reaches.
-    An edge from a node to itself is none.
+    An edge from a node to itself is none; without edges the result is empty.
 
-    Up to one_task links are joined up by one task of an executor; more by steps that each make at most as many edges
+    Each task first joins up the links that it holds. Then steps follow that each make at most as many edges
     as they got. Tables are written to the shared folder, so lost executors cost one step. Steps go on until one changes
     nothing.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now, last, step = stage.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), f"{name}0", few=True), None, 0
-    if now.count() <= one_task:
-        return stage.write(now.coalesce(1).mapInArrow(_join_up, "node long, component long"), f"{name}_joined")
-    now = now.distinct()
+    ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
+    now, last, step = stage.write(ordered.mapInArrow(_contract, "u long, v long").distinct(), f"{name}0", few=True), None, 0
     while True:
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
         large = _least_neighbour(both(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -5,10 +5,11 @@ least id; (3) each band of a signature is a bucket, whose members are paired wit
 confirmed on full sets, best first, and only while their ends are not yet known to be connected; (5) components.
 
 A bucket's hub is the member with the least hash of (member, bucket): other buckets of the same family have other hubs, so a
-text is compared with about as many members of its family as there are bands. A star can miss a link between two members
-that are both unlike the hub. So further rounds look at texts of different components in finer buckets (two bands each,
-other pairs of bands every round) with other hubs, until QUIET rounds in a row confirm nothing new. What they leave is searched
-exhaustively: every two texts of a bucket of the first round that are still in different components are compared on full sets.
+text is compared with about as many members of its family as there are bands. A star misses a link between two members
+that are both unlike the hub. So texts of buckets that end up in more than one component go through an exact search
+(leftovers): their shingles are put in one order, rarest first, and two texts of different components are compared if some
+shared shingle leaves room for enough others behind it in both. Every pair that is similar enough has such a shingle, its
+first common one, so nothing that the buckets brought together is lost, whatever the layout of the files.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrowtext as at
@@ -30,19 +31,14 @@ SHINGLE = 5
 PERCENT = 80
 #: BANDS x ROWS values: two texts of similarity 0.8 share no band with a chance of (1 - 0.8**ROWS)**BANDS = 1e-8.
 BANDS, ROWS = 60, 6
-#: Rounds without a new link after which the search by stars ends.
-QUIET = 2
-#: Pairs of bands that each member of a bucket of the first round brings to a further round, in multiples of BANDS.
-PAIRINGS = 4
-#: Texts of one family in a block of the exhaustive search; a task compares two blocks at a time.
-BLOCK = 512
-#: Distinct shingles that a comparison of two blocks takes at a time.
-COLUMNS = 4096
+#: Texts that hold one shingle, in a part of its list; a longer list is dealt into parts.
+LIST_PART = 4096
 #: Independent one-permutation hashes that a signature's values are dealt from. The rows of a band come from different
 #: ones, so that the few shingles of a short text don't fill a band twice.
 PERMUTATIONS = ROWS
 
-_SHINGLES = at.Powers(0xC2B2AE3D27D4EB4F)
+_SHINGLES, _SECOND = at.Powers(0xC2B2AE3D27D4EB4F), at.Powers(0x8EBC6AF09C88C6E3)
+_SALT = np.uint64(0x589965CC75374CC3)
 _SEEDS = at.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 _BAND_SEEDS = at.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,28 +71,36 @@ def _densify(bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(values: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """lo, hi, hashes, bounds: the distinct shingles of rows lo to hi as sorted 64-bit hashes."""
+def shingle_sets(values: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """lo, hi, hashes, others, bounds: the distinct shingles of rows lo to hi as sorted 64-bit hashes, and a second hash of each."""
     for w in at.words(values, lower=True):
         hashes = at.word_hashes(w)
+        other = at.mix(hashes ^ _SALT)
         count = np.diff(w.first)
         n = w.hi - w.lo
-        runs = at.runs_of(hashes, shingle, _SHINGLES)
-        starts = np.arange(len(runs))
         doc = w.doc()
+        runs, more = at.runs_of(hashes, shingle, _SHINGLES), at.runs_of(other, shingle, _SECOND)
+        starts = np.arange(len(runs))
         starts = starts[starts + shingle <= w.first[1:][doc[: len(runs)]]]
-        parts, owners = [runs[starts]], [doc[starts]]
+        parts, seconds, owners = [runs[starts]], [more[starts]], [doc[starts]]
         for i in np.flatnonzero((count > 0) & (count < shingle)):  # fewer words: the whole sequence is one shingle
-            own = hashes[w.first[i] : w.first[i + 1]]
-            parts.append(at.mix(at.runs_of(own, len(own), _SHINGLES) + np.uint64(len(own))))
+            own = slice(w.first[i], w.first[i + 1])
+            for found, numbers, powers in ((parts, hashes[own], _SHINGLES), (seconds, other[own], _SECOND)):
+                found.append(at.mix(at.runs_of(numbers, len(numbers), powers) + np.uint64(len(numbers))))
             owners.append(np.array([i]))
-        value, owner = np.concatenate(parts), np.concatenate(owners)
+        value, second, owner = np.concatenate(parts), np.concatenate(seconds), np.concatenate(owners)
         order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
+        value, second, owner = value[order], second[order], owner[order]
         keep = np.ones(len(value), dtype=bool)
         keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        value, owner = value[keep], owner[keep]
-        yield w.lo, w.hi, value, np.searchsorted(owner, np.arange(n + 1))
+        value, second, owner = value[keep], second[keep], owner[keep]
+        yield w.lo, w.hi, value, second, np.searchsorted(owner, np.arange(n + 1))
+
+
+def set_keys(value: np.ndarray, second: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit digest of each set's two hashes, null for empty sets."""
+    raw, more = value.tobytes(), second.tobytes()
+    return [hashlib.blake2b(raw[8 * a : 8 * b] + more[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def band_hashes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -120,89 +124,80 @@ def band_hashes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 @lean
 def _signatures(batches, shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, value, bounds in shingle_sets(batch.column(1), shingle):
+        for lo, hi, value, second, bounds in shingle_sets(batch.column(1), shingle):
             bands = band_hashes(value, bounds)
-            sizes = np.diff(bounds)
-            raw = value.tobytes()
-            keys = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), at.pack(bands.ravel(), np.arange(hi - lo + 1) * BANDS)],
+                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(set_keys(value, second, bounds), pa.binary()), at.pack(bands.ravel(), np.arange(hi - lo + 1) * BANDS)],
                 ["doc_id", "n_shingles", "set_key", "bands"],
             )
 
 
-def _hub_order(docs: np.ndarray, buckets: np.ndarray, turn: int) -> np.ndarray:
-    return at.mix(at.mix(docs.astype(np.uint64) + np.uint64(turn * 0x10001)) ^ buckets)
-
+def _hub_order(docs: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return at.mix(at.mix(docs.astype(np.uint64)) ^ buckets)
 
-def _stars(bucket: np.ndarray, doc: np.ndarray, part: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, hub of the members that aren't their bucket's hub nor in its component; and which members are hubs."""
-    order = np.lexsort((_hub_order(doc, bucket, turn), bucket))
-    b, d, p = bucket[order], doc[order], part[order]
-    first = np.append(True, b[1:] != b[:-1]) if len(b) else np.zeros(0, bool)
-    hub = np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(b))))
-    pair = p != p[hub]
-    return d[pair], d[hub][pair], order[first]
 
-
-_STAR = "bucket long, doc_id long, part long, x long, hub long"
-
-
-def _star_batch(bucket=(), doc=(), part=(), x=(), hub=()) -> pa.RecordBatch:
-    n, m = len(bucket), len(x)
-    column = lambda a, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(np.asarray(a, dtype=np.int64)), pa.nulls(after, pa.int64())])
-    return pa.RecordBatch.from_arrays([column(np.asarray(bucket, dtype=np.uint64).view(np.int64) if n else bucket, 0, m), column(doc, 0, m), column(part, 0, m), column(x, n, 0), column(hub, n, 0)], ["bucket", "doc_id", "part", "x", "hub"])
+_STAR = "bucket long, rank long, doc_id long, x long, hub long"
 
 
 @lean
-def _local_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
+def _local_stars(batches) -> Iterator[pa.RecordBatch]:
     """Stars within this task's rows; of each bucket only the hub goes on, so a bucket costs the exchange one row a task."""
-    buckets, docs, parts = [], [], []
+    buckets, docs = [], []
     for batch in batches:
         value, cuts = at.unpack(batch.column("bands"), np.uint64)
-        if turn:
-            value = value.reshape(-1, BANDS)
-            steps = [1 + (PAIRINGS * (turn - 1) + k) % (BANDS - 1) for k in range(PAIRINGS)]
-            value = at.mix(np.concatenate([value + np.roll(value, -k, axis=1) * np.uint64(0x9FB21C651E98DF25) for k in steps], axis=1).ravel())
-            cuts = cuts * PAIRINGS
         buckets.append(value)
         docs.append(np.repeat(batch.column("doc_id").to_numpy(), np.diff(cuts)))
-        parts.append(np.repeat(batch.column("part").to_numpy(), np.diff(cuts)))
-    if buckets:
-        bucket, doc, part = np.concatenate(buckets), np.concatenate(docs), np.concatenate(parts)
-        x, hub, hubs = _stars(bucket, doc, part, turn)
-        yield _star_batch(bucket[hubs], doc[hubs], part[hubs], x, hub)
+    if not buckets:
+        return
+    bucket, doc = np.concatenate(buckets), np.concatenate(docs)
+    rank = _hub_order(doc, bucket)
+    order = np.lexsort((rank, bucket))
+    bucket, doc, rank = bucket[order], doc[order], rank[order]
+    first = np.append(True, bucket[1:] != bucket[:-1])
+    starts = np.flatnonzero(first)
+    hub = doc[np.repeat(starts, np.diff(np.append(starts, len(bucket))))]
+    pair = doc != hub
+    n, m = len(starts), int(pair.sum())
+    column = lambda a, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(np.ascontiguousarray(a).view(np.int64)), pa.nulls(after, pa.int64())])
+    yield pa.RecordBatch.from_arrays([column(bucket[starts], 0, m), column(rank[starts], 0, m), column(doc[starts], 0, m), column(doc[pair], n, 0), column(hub[pair], n, 0)], ["bucket", "rank", "doc_id", "x", "hub"])
 
 
 @lean
-def _joined_stars(batches, turn: int) -> Iterator[pa.RecordBatch]:
-    rows = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
-    if rows:
-        bucket, doc, part = (np.concatenate(x) for x in zip(*rows, strict=True))
-        x, hub, _ = _stars(bucket.view(np.uint64), doc, part, turn)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(hub)], ["x", "hub"])
+def _joined_stars(batches) -> Iterator[pa.RecordBatch]:
+    """Pairs with the hub, of rows in order of (bucket, rank); a batch at a time."""
+    last = hub = None
+    for batch in batches:
+        bucket, doc = batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy()
+        if not len(bucket):
+            continue
+        first = np.append(bucket[0] != last if last is not None else True, bucket[1:] != bucket[:-1])
+        hubs = np.append(doc[:1] if hub is None else hub, doc[first])[np.cumsum(first)]
+        last, hub = bucket[-1], hubs[-1]
+        pair = doc != hubs
+        yield pa.RecordBatch.from_arrays([pa.array(doc[pair]), pa.array(hubs[pair])], ["x", "hub"])
 
 
 @lean
 def _confirm(batches, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
+    """Pairs whose full sets are similar enough; shingles are equal if both of their hashes are."""
     for batch in batches:
-        x_sets, hub_sets = ([] for _ in range(2))
+        x_sets, hub_sets = [], []
         for column, sets in ((batch.column("x_text"), x_sets), (batch.column("hub_text"), hub_sets)):
-            for _, _, value, bounds in shingle_sets(column, shingle):
-                sets += [value[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for _, _, value, second, bounds in shingle_sets(column, shingle):
+                sets += [(value[a:b], second[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         good = []
-        for a, b in zip(x_sets, hub_sets, strict=True):
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
+        for (a, a2), (b, b2) in zip(x_sets, hub_sets, strict=True):
+            both, second = np.concatenate([a, b]), np.concatenate([a2, b2])
+            order = np.argsort(both, kind="stable")
+            both, second = both[order], second[order]
+            common = int(((both[1:] == both[:-1]) & (second[1:] == second[:-1])).sum())
             good.append(100 * common >= percent * (len(a) + len(b) - common) and common > 0)
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("hub"), pa.array(good, pa.bool_())], ["x", "hub", "linked"])
 
 
 @lean
 def _entries(batches) -> Iterator[pa.RecordBatch]:
-    """bucket, doc_id, part of the first round's buckets."""
+    """bucket, doc_id, part."""
     for batch in batches:
         value, cuts = at.unpack(batch.column("bands"), np.uint64)
         each = np.diff(cuts)
@@ -213,85 +208,49 @@ def _entries(batches) -> Iterator[pa.RecordBatch]:
 
 
 @lean
-def _sets(batches, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets of texts. Sizes of sets that are similar enough are in the same class or in neighbouring ones."""
+def _tokens(batches, shingle: int) -> Iterator[pa.RecordBatch]:
+    """node (a number for each text), doc_id, part, size, and the text's shingles."""
     for batch in batches:
-        for lo, hi, value, bounds in shingle_sets(batch.column("text"), shingle):
-            sizes = np.diff(bounds)
-            kind = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent * 1.0001)).astype(np.int32)
-            columns = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "part", "family")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind), at.pack(value, bounds)], ["doc_id", "part", "family", "kind", "shingles"])
-
-
-def _unlinked(values: list[np.ndarray], part: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of components, as rows, with members x (side not 1) and y (side not 0) that are similar enough."""
-    sizes = np.array([len(v) for v in values])
-    token = np.concatenate(values) if len(values) else np.zeros(0, np.uint64)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], np.repeat(np.arange(len(values)), sizes)[order]
-    first = np.append(True, token[1:] != token[:-1]) if len(token) else np.zeros(0, bool)
-    rank = np.cumsum(first) - 1
-    often = (np.bincount(rank) > 1)[rank] if len(rank) else np.zeros(0, bool)  # a shingle of one text adds nothing
-    owner, rank = owner[often], rank[often]
-    rank = np.cumsum(np.append(True, rank[1:] != rank[:-1])) - 1 if len(rank) else rank
-    x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    common = np.zeros((len(x), len(y)), dtype=np.float32)  # whole numbers below 2**24: exact
-    for c in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
-        a, b = np.searchsorted(rank, (c, c + COLUMNS))
-        block = np.zeros((len(values), COLUMNS), dtype=np.float32)
-        block[owner[a:b], rank[a:b] - c] = 1
-        common += block[x] @ block[y].T
-    common = common.astype(np.int64)
-    good = (100 * common >= percent * (sizes[x][:, None] + sizes[y][None, :] - common)) & (common > 0) & (part[x][:, None] != part[y][None, :])
-    i, j = np.nonzero(good)
-    return np.unique(np.sort(np.stack([part[x[i]], part[y[j]]], axis=1), axis=1), axis=0)
-
-
-def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """Links between components of one cell: two blocks, or one with itself."""
-    values = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in table.column("shingles")]
-    found = _unlinked(values, table.column("part").to_numpy(), table.column("side").to_numpy(), percent)
-    return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
-
-
-def exhaustive(bands: DataFrame, texts: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
-    """u, v: links between components (part of bands' rows) that hold two similar texts of one bucket.
-
-    Texts that open buckets (three or more members, more than one component; of two members each is the other's hub) hold
-    together are a family. Within a family all texts of different components are compared, but none of its largest component with another of it.
+        for lo, hi, value, second, bounds in shingle_sets(batch.column("text"), shingle):
+            columns = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "part")]
+            ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
+            nodes = [int.from_bytes(hashlib.blake2b(b"%d " % i + (k or b""), digest_size=8).digest(), "little", signed=True) for i, k in zip(ids, set_keys(value, second, bounds), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), *columns, pa.array(np.diff(bounds), pa.int64()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value.view(np.int64)))],
+                ["node", "doc_id", "part", "size", "tokens"],
+            )
+
+
+def leftovers(bands: DataFrame, texts: DataFrame, stage: Stage, shingle: int, percent: int) -> DataFrame:
+    """x, hub: every two texts of different components (part of bands' rows) in buckets of more than one component that may be similar enough.
+
+    Sets A and B with at least percent of A | B in common share at least percent / (100 + percent) * (|A| + |B|) shingles. In one
+    order of all shingles their first common one has as many behind it in both, itself included. Rarest first,
+    texts of a family that differ in their own words reach shingles of the family too late for that. Of a shingle's texts,
+    those of its most frequent component are not compared with each other.
     """
-    spark = bands.sparkSession
     percent = max(percent, 1)
     entries = bands.mapInArrow(_entries, "bucket long, doc_id long, part long")
-    open_ = entries.groupBy("bucket").agg(F.min("doc_id").alias("v"), F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a != _b and _n > 2").select("bucket", "v")
-    edges = stage.write(entries.join(open_, "bucket").select(F.col("doc_id").alias("u"), "v").distinct(), "open", few=True)
-    families = components(edges, stage, "cc_open").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "family")
-    members = bands.select("doc_id", "part").distinct().join(families, "doc_id")
-    owned = members.groupBy("family", "part").agg(F.count(F.lit(1)).alias("_n")).groupBy("family").agg(F.max_by("part", F.struct("_n", "part")).alias("core"))
-    sets = members.join(texts, "doc_id").mapInArrow(partial(_sets, shingle=shingle, percent=percent), "doc_id long, part long, family long, kind int, shingles binary")
-    sets = stage.write(sets, "sets", few=True)
-    # blocks of a family's kind: those of the core (at 0, 2, ...) hold only texts of its largest component, the others (1, 3, ...) no such text
-    counts = sets.join(owned, "family").groupBy("family", "kind").agg(F.count_if(F.col("part") == F.col("core")).alias("_core"), F.count_if(F.col("part") != F.col("core")).alias("_rest"))
-    of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    grid = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(of("_core").alias("core"), of("_rest").alias("rest"))))).alias("grid")).join(owned, "family")
-    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1))).cast("int")
-    numbers = lambda n, odd: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda i: i < F.coalesce(n, F.lit(0))), lambda i: 2 * i + odd)
-    rows = sets.join(grid, "family").withColumn("_core", F.col("part") == F.col("core"))
-    rows = rows.withColumn("own", F.when(F.col("_core"), 2 * deal(F.col("grid")[F.col("kind")]["core"])).otherwise(2 * deal(F.col("grid")[F.col("kind")]["rest"]) + 1))
-    others = []
-    for step in (-1, 0, 1):
-        there = F.element_at("grid", F.col("kind") + step)
-        blocks = F.concat(F.when(F.col("_core"), F.array().cast("array<int>")).otherwise(numbers(there["core"], 0)), numbers(there["rest"], 1))
-        there_kind = F.col("kind") + step
-        others.append(F.transform(blocks, lambda b: F.struct(there_kind.alias("kind"), b.alias("block"))))  # noqa: B023
-    rows = rows.withColumn("other", F.explode(F.concat(*others))).withColumn("mine", F.struct(F.col("kind").alias("kind"), F.col("own").alias("block")))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    cells = rows.select(F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "part", side.alias("side"), "shingles")
-    found = cells.groupBy("cell").applyInArrow(lambda table: _compare(table, percent), "u long, v long")
-    found = stage.write(found.distinct(), "late", few=True)
-    stage.drop("open", "sets")
-    free_shuffles(spark)
-    return found
+    # of a bucket of two members each was compared with the other
+    open_ = entries.groupBy("bucket").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a != _b and _n > 2").select("bucket")
+    members = stage.write(entries.join(open_, "bucket", "left_semi").select("doc_id", "part").distinct(), "open", few=True)
+    sets = stage.write(members.join(texts, "doc_id").mapInArrow(partial(_tokens, shingle=shingle), "node long, doc_id long, part long, size long, tokens array<long>"), "sets", few=True)
+    single = sets.select("node", "size", F.explode("tokens").alias("token"))
+    often = single.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # behind: how many shingles of the text come no earlier than this one; those that no other text has come first of all
+    ranked = single.join(often, "token").withColumn("behind", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("token"))))
+    early = ranked.filter(f"100 * behind >= {percent} * size").select("node", "token", "behind").join(sets.select("node", "doc_id", "part", "size"), "node")
+    early = stage.write(early, "early", few=True)
+    lists = early.groupBy("token", "part").agg(F.count(F.lit(1)).alias("_n"))
+    lists = lists.groupBy("token").agg(F.sum("_n").alias("length"), F.max_by("part", F.struct("_n", "part")).alias("core"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").drop("_parts")
+    placed = early.join(lists, "token").withColumn("slices", F.ceil(F.col("length") / LIST_PART))
+    placed = stage.write(placed, "placed", few=True)
+    mine = placed.filter("part != core").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).alias("a")
+    theirs = placed.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices"))).alias("b")
+    room = F.least("a.behind", "b.behind") * (100 + percent) >= percent * (F.col("a.size") + F.col("b.size"))
+    once = (F.col("b.part") == F.col("b.core")) | (F.col("a.doc_id") < F.col("b.doc_id"))
+    pairs = mine.join(theirs, (F.col("a.token") == F.col("b.token")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.part") != F.col("b.part")) & once & room)
+    return pairs.select(F.greatest("a.doc_id", "b.doc_id").alias("x"), F.least("a.doc_id", "b.doc_id").alias("hub")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -312,73 +271,52 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     narrow = rows.filter("doc_id is not null and set_key is not null").select("doc_id", "set_key")
     classes = stage.write(narrow.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes", few=True)
     bands = signed.select("doc_id", "set_key", "bands").join(classes, ["doc_id", "set_key"], "left_semi").select("doc_id", "bands")
-    bands = stage.write(bands.withColumn("part", F.col("doc_id")), "bands0", few=True)
+    bands = stage.write(bands, "bands0", few=True)
     stage.drop("signed")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tested = texts = parts = None
-    turn = quiet = 0
-    while True:
-        # candidate pairs of this round
-        local = stage.write(bands.mapInArrow(partial(_local_stars, turn=turn), _STAR), f"local{turn}")
-        met = local.filter("x is null").select("bucket", "doc_id", "part").repartition(partitions, "bucket").mapInArrow(partial(_joined_stars, turn=turn), "x long, hub long")
-        pairs = met.union(local.filter("x is not null").select("x", "hub")).groupBy(F.greatest("x", "hub").alias("x"), F.least("x", "hub").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "hub"], "left_anti")
-        pairs = stage.write(pairs, f"pairs{turn}", few=True)
-        stage.drop(f"local{turn}")
-        if texts is None:
-            # every member of a bucket with others is in a pair: later rounds need no other texts, nor other bands
-            ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends", few=True)
-            texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts", few=True)
-            bands = stage.write(bands.drop("part").join(ends, "doc_id", "left_semi"), "met", few=True)
-            stage.drop("bands0")
-            free_shuffles(spark)
-
-        def confirm(chosen: DataFrame, name: str, texts: DataFrame = texts) -> DataFrame:
-            pair = chosen.select("x", "hub").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
-            pair = pair.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
-            return stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name, few=True)
-
-        def join_up(held: DataFrame, name: str) -> int:
-            nonlocal parts, tested
-            seen = held.select("x", "hub")
-            tested = seen if tested is None else tested.union(seen)
-            new = held.filter("linked").select(F.col("x").alias("u"), F.col("hub").alias("v"))
-            count = new.count()
-            if count:
-                now = new if parts is None else new.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
-                parts = components(now, stage, name)
-            return count
-
-        todo = pairs
-        if turn == 0:  # first the best pair of each x; what it connects needs no further test
-            best = pairs.groupBy("x").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-            held = confirm(best, "held")
-            join_up(held, "cc_best")
-            todo = pairs.join(held, ["x", "hub"], "left_anti")
-            if parts is not None:
-                todo = todo.join(parts.select(F.col("node").alias("x"), F.col("component").alias("_x")), "x", "left").join(parts.select(F.col("node").alias("hub"), F.col("component").alias("_hub")), "hub", "left")
-                todo = todo.filter("coalesce(_x, x) != coalesce(_hub, hub)")
-        grown = join_up(confirm(todo, f"held{turn}"), f"cc{turn}")
+    # candidate pairs: a star in each bucket
+    local = stage.write(bands.mapInArrow(_local_stars, _STAR), "local")
+    met = local.filter("x is null").select("bucket", "rank", "doc_id").repartition(partitions, "bucket").sortWithinPartitions("bucket", "rank").mapInArrow(_joined_stars, "x long, hub long")
+    pairs = met.union(local.filter("x is not null").select("x", "hub")).groupBy(F.greatest("x", "hub").alias("x"), F.least("x", "hub").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = stage.write(pairs, "pairs", few=True)
+    stage.drop("local")
+    # every member of a bucket with others is in a pair: no other text, nor its bands, is needed from here on
+    ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends", few=True)
+    texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts", few=True)
+    bands = stage.write(bands.join(ends, "doc_id", "left_semi"), "met", few=True)
+    stage.drop("bands0")
+    free_shuffles(spark)
+
+    def confirm(chosen: DataFrame, name: str) -> DataFrame:
+        pair = chosen.select("x", "hub").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
+        pair = pair.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
+        found = stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name, few=True)
         free_shuffles(spark)
-        quiet = 0 if grown or not turn else quiet + 1
-        if parts is None or quiet == QUIET:
-            break
-        turn += 1
-        near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
-        bands = stage.write(bands.select("doc_id", "bands").join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), f"bands{turn}", few=True)
-    if "part" not in bands.columns:
-        bands = bands.withColumn("part", F.col("doc_id"))
-    late = exhaustive(bands, texts, stage, shingle, percent)
-    if late.count():
-        parts = components(late if parts is None else late.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))), stage, "cc_late")
+        return found
+
+    def join_up(held: DataFrame, before: DataFrame | None, name: str) -> DataFrame:
+        new = held.filter("linked").select(F.col("x").alias("u"), F.col("hub").alias("v"))
+        return components(new if before is None else new.union(before.select(F.col("node").alias("u"), F.col("component").alias("v"))), stage, name)
+
+    # first the best pair of each x; what it connects needs no further test
+    best = confirm(pairs.groupBy("x").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")), "held_best")
+    parts = join_up(best, None, "cc_best")
+    todo = pairs.join(best, ["x", "hub"], "left_anti")
+    todo = todo.join(parts.select(F.col("node").alias("x"), F.col("component").alias("_x")), "x", "left").join(parts.select(F.col("node").alias("hub"), F.col("component").alias("_hub")), "hub", "left")
+    rest = confirm(todo.filter("coalesce(_x, x) != coalesce(_hub, hub)"), "held_rest")
+    parts = join_up(rest, parts, "cc_rest")
+    # what the stars leave
+    near = parts.select(F.col("node").alias("doc_id"), F.col("component"))
+    bands = stage.write(bands.join(near, "doc_id", "left").select("doc_id", "bands", F.coalesce("component", "doc_id").alias("part")), "bands1", few=True)
+    stage.drop("met")
+    late = leftovers(bands, texts, stage, shingle, percent).join(best.select("x", "hub").union(rest.select("x", "hub")), ["x", "hub"], "left_anti")
+    late = confirm(stage.write(late, "late", few=True), "held_late")
+    parts = join_up(late, parts, "cc_late")
     found = classes.withColumnRenamed("doc_id", "node")
-    if parts is not None:
-        found = found.join(parts, "node", "left")
-    found = found.select("set_key", F.coalesce("component", "node").alias("component_id") if parts is not None else F.col("node").alias("component_id"))
+    found = found.join(parts, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     named = rows.filter("doc_id is not null and set_key is not null")
     found = stage.write(found, "found", few=True)
-    stage.drop("texts", "met", *[f"{n}{t}" for t in range(turn + 1) for n in ("bands", "pairs")])
+    stage.drop("texts", "pairs", "bands1", "open", "sets", "early", "placed", "late")
     joined = named.join(found, "set_key")  # two plain exchanges: Spark can split a hot set
     rest = rows.filter("doc_id is null or set_key is null").withColumn("component_id", F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id").union(rest.select("doc_id", "n_shingles", "component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
