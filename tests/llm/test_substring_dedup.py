@@ -1,5 +1,8 @@
 import hashlib
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,5 +70,46 @@ def test_history_of_earlier_batches(spark):
     history = stage.write(substring_dedup.fingerprint_history(parts[0]), "h0")
     history = stage.write(substring_dedup.fingerprint_history(parts[1], history=history), "h1")
     assert history.filter("level = 2").count() == history.filter("level = 2").select("bucket").distinct().count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")  # the history brings its own number of buckets
+    try:
+        found = got(substring_dedup.remove_repeats(parts[2], history=history))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    mixed = history.unionByName(history.withColumn("buckets", F.lit(5).cast("long")))
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(parts[2], history=mixed)
     last = {r[0] for r in rows[2::3]}
-    assert got(substring_dedup.remove_repeats(parts[2], history=history)) == [r for r in brute(rows, 35) if r[0] in last]
+    assert found == [r for r in brute(rows, 35) if r[0] in last]
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    """Thue-Morse: two words that every polynomial hash modulo 2**64 takes for one. A window with either isn't a repeat."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate({97: 98, 98: 97})
+    opposite = word.translate({97: 98, 98: 97})
+    rest = [passage(17, 8), passage(17, 9)]
+    rows = [(1, f"{rest[0]} {word} {rest[1]}"), (2, f"{rest[0]} {opposite} {rest[1]}"), (3, f"{rest[0]} {opposite} {rest[1]}")]
+    found = got(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute(rows, 35) and [r[2] for r in found] == [0, 35, 35]
+
+
+def test_arrow_functions_in_a_new_process():
+    """Each Python worker must manage with this module's own imports."""
+    code = """
+import pyarrow as pa
+from tidelane.llm import substring_dedup as sd
+texts = pa.array(["w " * 50, "v " * 40, None])
+keys = pa.array([b"k" * 16, b"l" * 16, b"m" * 16])
+sd._block = lambda: 0
+runs = pa.Table.from_batches(list(sd._anchor_run(iter([pa.RecordBatch.from_arrays([keys, texts], ["key", "text"])]), 35, 10, 4)))
+found = runs.filter(sd.pc.greater_equal(runs["bucket"], 0)).select(["block", "bucket", "prints", "checks", "many"])
+for b in found["bucket"].unique().to_pylist():
+    part = found.filter(sd.pc.equal(found["bucket"], b))
+    assert sd._merge_masks(part).num_rows and sd._merge_history(part).num_rows
+batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), keys, texts, pa.array([bytes(4), None, None], pa.binary()), pa.nulls(3, pa.string())], ["doc_id", "key", "text", "places", "carry"])
+rows = pa.Table.from_batches(list(sd._open_or_done(iter([batch]), 35, 10, 4, pa.string(), False)))
+assert rows["kind"].to_pylist().count("done") == 2
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])

@@ -7,8 +7,9 @@ of all texts holds costs the merge one entry a block. Merged runs are what compa
 
 Two indexes of this kind follow each other. The first holds a sample of the windows' hashes: of the n-grams in a window
 the least by hash, its anchor. Equal windows have equal anchors, so windows with an anchor that nothing shares drop out
-and no repeat is lost. The second holds 64-bit fingerprints of the windows left, each verified by a second, independent
-64-bit hash of the same words: with 10**13 windows two different ones agree on both with a chance below 10**-12.
+and no repeat is lost; different grams with one hash only let more windows through. The second verifies the windows left by
+their very words: it holds the 128-bit BLAKE2 digest of a window's words joined by one space, the first half as fingerprint
+and the second as its check. Among 10**13 different windows two agree on both with a chance below 10**-12.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -31,8 +33,9 @@ WINDOW = 35
 #: Words of an anchor: 26 of them begin in a window of 35 words, so about 2 of 27 words begin an anchor.
 GRAM = 10
 
-_GRAMS, _PRINTS, _CHECKS = at.Powers(0xA0761D6478BD642F), at.Powers(0xE7037ED1A0B428DB), at.Powers(0x8EBC6AF09C88C6E3)
-_SALT = np.uint64(0x589965CC75374CC3)
+_GRAMS = at.Powers(0xA0761D6478BD642F)
+#: Text bytes for each bucket of the hash space; the merge of a bucket holds the fingerprints of about as much text.
+BUCKET_BYTES = 256 << 20
 
 _RUN = "block long, bucket int, prints binary, checks binary, many binary, n_refs binary, refs binary"
 
@@ -56,6 +59,27 @@ def _window_anchors(w: at.Words, hashes: np.ndarray, window: int, gram: int) ->
     return starts, (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), grams
 
 
+def _digests(w: at.Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows at these words: the two halves of the digest of their words joined by one space."""
+    if not len(starts):
+        return (np.zeros(0, dtype=np.uint64),) * 2
+    # every word followed by one space: a copy of the bytes without the other blanks
+    size = w.end - w.start
+    edge = np.concatenate([[0], np.cumsum(size + 1)])
+    joined = np.full(edge[-1], 0x20, dtype=np.uint8)
+    inside = np.ones(edge[-1], dtype=bool)
+    inside[edge[1:] - 1] = False
+    taken = np.zeros(len(w.bytes) + 1, dtype=np.int8)
+    taken[w.start] += 1
+    taken[w.end] -= 1  # a word may begin where the last text's word ends
+    joined[inside] = w.bytes[np.cumsum(taken[:-1], dtype=np.int8).view(bool)]
+    view = memoryview(joined.tobytes())
+    blake = hashlib.blake2b
+    found = b"".join([blake(view[a:b], digest_size=16).digest() for a, b in zip(edge[starts].tolist(), (edge[starts + window] - 1).tolist(), strict=True)])
+    halves = np.frombuffer(found, dtype="<u8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
 class _Run:
     """Collects one block's fingerprints and where they are."""
 
@@ -153,12 +177,12 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _merge_masks(table: pa.Table) -> pa.Table:
     merged = _merge(table)
-    return merged.filter(pa.compute.greater_equal(merged["block"], 0)).select(["block", "bucket", "many"])
+    return merged.filter(pc.greater_equal(merged["block"], 0)).select(["block", "bucket", "many"])
 
 
 def _merge_history(table: pa.Table) -> pa.Table:
     merged = _merge(table)
-    return merged.filter(pa.compute.less(merged["block"], 0)).select(["block", "bucket", "prints", "checks", "many"])
+    return merged.filter(pc.less(merged["block"], 0)).select(["block", "bucket", "prints", "checks", "many"])
 
 
 def _hits(run: pa.Table, masks: pa.Table) -> pa.Table:
@@ -216,13 +240,13 @@ def _open_or_done(batches, window: int, gram: int, buckets: int, carried, with_t
 
     for batch in batches:
         ids, keys, texts, places, carry = (batch.column(c) for c in ("doc_id", "key", "text", "places", "carry"))
-        alone = pa.compute.is_null(places)
+        alone = pc.is_null(places)
         done = [x.as_py() for x in texts.filter(alone)]
         words = [(x or "").encode().split() for x in done]
         if done:
             yield out(len(done), kind=["done"] * len(done), doc_id=ids.filter(alone), **({"text": texts.filter(alone)} if with_text else {}), n_words=[len(x) for x in words], kept_sha256=[_finished(x) for x in words], carry=carry.filter(alone))
-        shared = pa.compute.is_valid(places)
-        if not pa.compute.any(shared).as_py():
+        shared = pc.is_valid(places)
+        if not pc.any(shared).as_py():
             continue
         ids, keys, texts, places, carry = (x.filter(shared) for x in (ids, keys, texts, places, carry))
         yield out(len(ids), kind=["open"] * len(ids), doc_id=ids, key=keys, text=texts, carry=carry)
@@ -237,8 +261,9 @@ def _open_or_done(batches, window: int, gram: int, buckets: int, carried, with_t
             wanted[np.repeat(w.first[:-1], np.diff(cuts[w.lo : w.hi + 1])) + shared_at[lo:hi]] = True
             starts = starts[wanted[anchors]]
             doc = w.doc()[starts]
-            run.prints.append(at.runs_of(hashes, window, _PRINTS)[starts])
-            run.checks.append(at.runs_of(at.mix(hashes ^ _SALT), window, _CHECKS)[starts])
+            prints, checks = _digests(w, starts, window)
+            run.prints.append(prints)
+            run.checks.append(checks)
             run.owner.append(owners[w.lo + doc])
             run.place.append(starts - w.first[doc])
     for row in run.rows(_block(), buckets):
@@ -279,20 +304,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     arrow_limits(spark)
     stage = Stage(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(docs, text_col, history)
     text = F.coalesce(F.col(text_col), F.lit(""))
     along = F.struct(*carry) if carry else F.lit(None).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"), along.alias("carry"))
     kind = source.schema["carry"].dataType
     runs = stage.write(source.select("key", "text").mapInArrow(partial(_anchor_run, window=window, gram=gram, buckets=buckets), _RUN), "anchors")
-    shared = _repeats(stage, runs, None if history is None else _history_anchors(history), "shared")
+    shared = _repeats(stage, runs, None if history is None else _level(history, 1), "shared")
     stage.drop("anchors")
     free_shuffles(spark)
     second = source.join(shared, "key", "left").mapInArrow(partial(_open_or_done, window=window, gram=gram, buckets=buckets, carried=to_arrow_type(kind), with_text=with_text), StructType.fromDDL(_OPEN).add("carry", kind))
     tables = stage.write(second, "windows")
     free_shuffles(spark)
     windows = tables.filter("kind = 'run'").select(*[x.split()[0] for x in _RUN.split(", ")])
-    repeats = _repeats(stage, windows, None if history is None else history.filter("level = 2").drop("level"), "repeats")
+    repeats = _repeats(stage, windows, None if history is None else _level(history, 2), "repeats")
     free_shuffles(spark)
     done = tables.filter("kind = 'done'").selectExpr("doc_id", "n_words", "0L as n_removed", "kept_sha256", "text as kept_text" if with_text else "cast(null as string) as kept_text", "carry")
     left = tables.filter("kind = 'open'").select("doc_id", "key", "text", "carry").join(repeats, "key", "left")
@@ -300,8 +325,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.unionByName(removed)
 
 
-def _history_anchors(history: DataFrame) -> DataFrame:
-    return history.filter("level = 1").drop("level")
+def _buckets(docs: DataFrame, text_col: str, history: DataFrame | None) -> int:
+    """The history's number of buckets; without one, as many as the texts' bytes ask for."""
+    if history is not None and (kept := history.agg(F.min("buckets"), F.max("buckets")).first()) and kept[0] is not None:
+        if kept[0] != kept[1]:
+            raise ValueError(f"runs of {kept[0]} and of {kept[1]} buckets in one history: merge them by fingerprint_history first")
+        return kept[0]
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def _level(history: DataFrame, level: int) -> DataFrame:
+    return history.filter(F.col("level") == level).drop("level", "buckets")
 
 
 @lean
@@ -311,31 +346,30 @@ def _all_windows_run(batches, window: int, buckets: int) -> Iterator[pa.RecordBa
         new = pa.array(run.fresh(batch.column(0).to_pylist()), pa.int32())
         owners = np.array([run.keys[k] for k in batch.column(0).take(new).to_pylist()], dtype=np.int64)
         for w in at.words(batch.column(1).take(new)):
-            hashes = at.word_hashes(w)
-            prints = at.runs_of(hashes, window, _PRINTS)
-            starts = np.flatnonzero(_inside(w, window, len(prints)))
-            run.prints.append(prints[starts])
-            run.checks.append(at.runs_of(at.mix(hashes ^ _SALT), window, _CHECKS)[starts])
+            starts = np.flatnonzero(_inside(w, window, max(len(w) - window + 1, 0)))
+            prints, checks = _digests(w, starts, window)
+            run.prints.append(prints)
+            run.checks.append(checks)
             run.owner.append(owners[w.lo + w.doc()[starts]])
             run.place.append(starts)
     yield from run.rows(_block(), buckets)
 
 
-def fingerprint_history(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
-    """level, block (-1), bucket, prints, checks, many: the merged runs of docs and an earlier history, one a bucket.
+def fingerprint_history(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, history: DataFrame | None = None) -> DataFrame:
+    """level, buckets, block (-1), bucket, prints, checks, many: the merged runs of docs and an earlier history, one a bucket.
 
-    Write it as a table; it is what remove_repeats() takes as history. Every use must keep the number of buckets
-    (2 x spark.sql.shuffle.partitions unless given).
+    Write it as a table; it is what remove_repeats() takes as history. It carries its number of buckets, which later batches
+    and compactions take over whatever the session's settings are. Null and empty texts add nothing.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _buckets(docs, text_col, history)
     source = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     levels = []
     for level, build in ((1, partial(_anchor_run, window=window, gram=gram, buckets=buckets)), (2, partial(_all_windows_run, window=window, buckets=buckets))):
         runs = source.mapInArrow(build, _RUN).filter("bucket >= 0").select("block", "bucket", "prints", "checks", "many")
         if history is not None:
-            runs = runs.unionByName(history.filter(f"level = {level}").drop("level"))
+            runs = runs.unionByName(_level(history, level))
         merged = runs.groupBy("bucket").applyInArrow(_merge_history, "block long, bucket int, prints binary, checks binary, many binary")
-        levels.append(merged.select(F.lit(level).alias("level"), "*"))
+        levels.append(merged.select(F.lit(level).alias("level"), F.lit(buckets).cast("long").alias("buckets"), "*"))
     return levels[0].unionByName(levels[1])
