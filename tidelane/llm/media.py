@@ -32,17 +32,66 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """How many different bytes each row holds."""
+    ordered = np.sort(rows, axis=1)
+    return 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(axis=1)
+
+
 def encode_png(payload: bytes, width: int = WIDTH, level: int = 6) -> bytes:
-    """payload, a positive multiple of width bytes, as a greyscale PNG with unfiltered rows (text gains nothing from filters)."""
+    """payload, a positive multiple of width bytes, as a greyscale PNG.
+
+    Each row is stored as it is, less its left neighbours, or less the row above: whichever holds the fewest different
+    bytes, of equal ones the first. Text mostly stays as it is; runs of one letter and repeated rows don't.
+    """
     if not payload or len(payload) % width:
         raise ValueError("the payload must be a positive multiple of the width")
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
-    lines = np.zeros((len(rows), width + 1), dtype=np.uint8)
-    lines[:, 1:] = rows
+    lines = np.empty((len(rows), width + 1), dtype=np.uint8)
+    for lo in range(0, len(rows), BLOCK_ROWS):
+        part = rows[lo : lo + BLOCK_ROWS]
+        left, up = part.copy(), part.copy()
+        left[:, 1:] -= part[:, :-1]
+        up[1:] -= part[:-1]
+        if lo:
+            up[0] -= rows[lo - 1]
+        forms = (part, left, up)
+        kind = np.argmin(np.stack([_distinct(x) for x in forms]), axis=0)
+        lines[lo : lo + len(part), 0] = kind
+        for k, form in enumerate(forms):
+            lines[lo : lo + len(part), 1:][kind == k] = form[kind == k]
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
+def _summed(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Pixels of rows of filters 0 to 2: running sums along rows, then down each run of rows of filter 2."""
+    left = kinds == 1
+    rows[left] = np.cumsum(rows[left], axis=1, dtype=np.uint8)
+    up = kinds == 2
+    if not up.any():
+        return rows
+    total = np.concatenate([np.zeros((1, rows.shape[1]), dtype=np.uint8), np.cumsum(rows, axis=0, dtype=np.uint8)])
+    first = np.maximum.accumulate(np.where(up, -1, np.arange(len(rows))))  # the row that a run stands on, -1 for `above`
+    return total[1:] - total[np.maximum(first, 0)] + np.where(first[:, None] < 0, above, np.uint8(0))
+
+
+def _swept(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Pixels of rows of any filter: all pixels of an antidiagonal at once, as each needs only its left, upper and corner neighbours."""
+    n, width = rows.shape
+    out = np.zeros((n + 1, width + 1), dtype=np.int16)
+    out[0, 1:] = above
+    for d in range(n + width - 1):
+        y = np.arange(max(0, d - width + 1), min(n, d + 1))
+        x = d - y
+        left, up, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y]
+        near = left + up - corner
+        to_left, to_up, to_corner = abs(near - left), abs(near - up), abs(near - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[y + 1, x + 1] = (rows[y, x] + np.choose(kind, [np.zeros_like(left), left, up, (left + up) >> 1, paeth])) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def _unfilter(lines: np.ndarray) -> np.ndarray:
     """Pixels of rows that begin with their filter's number: 0 none, 1 left, 2 up, 3 average, 4 Paeth."""
     kinds, rows = lines[:, 0], lines[:, 1:].copy()
@@ -50,26 +99,15 @@ def _unfilter(lines: np.ndarray) -> np.ndarray:
         raise CorruptMedia("unknown row filter")
     if not kinds.any():
         return rows
-    if (kinds == 2).all():
-        return np.cumsum(rows, axis=0, dtype=np.uint8)
+    hard = np.flatnonzero(kinds > 2)
+    lo, hi = (hard[0], hard[-1] + 1) if len(hard) else (len(rows), len(rows))
     above = np.zeros(rows.shape[1], dtype=np.uint8)
-    for kind, row in zip(kinds, rows, strict=True):
-        if kind == 1:
-            np.cumsum(row, dtype=np.uint8, out=row)
-        elif kind == 2:
-            row += above
-        elif kind > 2:
-            left = corner = 0
-            for x, up in enumerate(map(int, above)):
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    near = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(near - v))
-                left = (int(row[x]) + guess) & 255
-                row[x], corner = left, up
-        above = row
-    return rows
+    parts = []
+    for part, undo in ((slice(0, lo), _summed), (slice(lo, hi), _swept), (slice(hi, len(rows)), _summed)):
+        if part.start < part.stop:
+            parts.append(undo(kinds[part], rows[part], above))
+            above = parts[-1][-1]
+    return np.concatenate(parts)
 
 
 def decode_png(media: bytes) -> np.ndarray:
