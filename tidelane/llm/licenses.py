@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 #: Spellings that license matching treats as equal, applied to lower-case text in this order.
 SPELLINGS = (
     ("licence", "license"), ("licencing", "licensing"), ("sub-license", "sublicense"),
@@ -45,6 +47,44 @@ Permission is granted to anyone to use this software for any purpose, including
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+LICENSES["BSD-3-Clause"] = LICENSES["BSD-2-Clause"].replace(
+    "\nTHIS SOFTWARE",
+    "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE",
+)
+LICENSES["Unlicense"] = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+
+#: Title lines that often head a license's text; its text matches with each of them and without.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (Expat)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD-0-Clause License", "Zero-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+#: Digests of the canonical forms of longer published texts (whole files, titles included; copyright lines never count).
+DIGESTS = {
+    "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184": "Apache-2.0",
+    "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e": "GFDL-1.2",
+    "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff": "GFDL-1.3",
+    "9afd2a0837407af373a8d2fd5fa246e7ab95ded1f8b20bde740e7c7c1525cd70": "GPL-1.0",
+    "39fd2d64822d059bba18173590e22f9d95d836209aef6efd30b983b346aa4354": "GPL-2.0",
+    "6fbe9ba081ea7329eeee78176dded7a73d43ee2eb9574a683988634e96aa3c31": "GPL-3.0",
+    "8e8ffd5752111302160e6ee7d7d229c3ff9fc6431363cfc44be8cfd0f64c24c6": "LGPL-2.0",
+    "5ce6fa0934cb8db1e96d36322f81fd98d11cc658ec86c71b9519d9c723a13041": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
+}
+
 #: One-line notices that name a license.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -57,8 +97,9 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
-#: A line that only claims rights; not part of any license's canonical form. For re, Java and RE2 alike, on lower-case text.
-RIGHTS = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9])|(c\)|©)[^a-z\n]*[0-9]|all rights reserved)[^\n]*"
+#: A line that only claims rights (one that begins with "copyright" and has a sign or a year, too); not part of any license's
+#: canonical form. For re, Java and RE2 alike, on lower-case text.
+RIGHTS = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9])|copyright [^\n]*[12][0-9][0-9][0-9]|(c\)|©)[^a-z\n]*[0-9]|all rights reserved)[^\n]*"
 
 
 def canonical(text: str) -> str:
@@ -81,8 +122,9 @@ def digest(text: str) -> str:
 
 
 def known_digests() -> dict[str, str]:
-    """License by digest, of full texts and notices."""
-    return {digest(t): name for name, t in [*LICENSES.items(), *NOTICES.items()]}
+    """License by digest, of full texts with and without a title line, longer published texts, and notices."""
+    texts = [(name, title + text) for name, text in LICENSES.items() for title in ("", *(f"{t}\n" for t in TITLES.get(name, ())))]
+    return {digest(t): name for name, t in [*texts, *NOTICES.items()]} | DIGESTS
 
 
 def _plain_column(text: Column) -> Column:
@@ -104,28 +146,30 @@ def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(known_digests().items()), "canonical_sha256 string, license_id string")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_known: int = 100_000) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, canonical_sha256, license_id, notices: a row for each row of docs.
 
     license_id is that of the license whose canonical text is the whole canonical text of the document, else null.
     notices has the licenses of lines with a known digest, distinct and in order, joined by commas ('' if none). Copyright
     lines, case, punctuation, blanks and the SPELLINGS don't count. A null text is empty, an empty one matches nothing.
-    known (canonical_sha256, license_id; of a repeated digest the least id counts) is collected for the lines' lookup
-    and refused above max_known rows. Ids pass through; other columns are not read.
+    known (canonical_sha256, license_id; of a repeated digest the least id counts, digests without a license are left out) may have any
+    size: texts and lines find it by joins, which Spark broadcasts only if its size allows. Ids pass through; other columns are not read.
     """
     spark = docs.sparkSession
-    known = (known_table(spark) if known is None else known).filter("canonical_sha256 is not null").groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
-    table = known.limit(max_known + 1).collect()
-    if len(table) > max_known:
-        raise ValueError("too many known digests to send to every task")
-    lookup = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in table], "canonical_sha256 string, license_id string"))
-    cells = [c for r in table for c in (F.lit(r[0]), F.lit(r[1]))] or [F.lit(""), F.lit("")]
-    by_digest = F.create_map(*cells)
+    stage = Stage(spark)
+    known = (known_table(spark) if known is None else known).filter("canonical_sha256 is not null and license_id is not null")
+    known = known.groupBy(F.unhex("canonical_sha256").alias("digest")).agg(F.min("license_id").alias("license_id"))
     plain = docs.select(F.col(id_col).alias("doc_id"), _plain_column(F.col(text_col)).alias("plain"))
-    lines = F.transform(F.split("plain", "\n"), lambda x: F.element_at(by_digest, _digest_column(x)))
-    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(lines, lambda x: x.isNotNull()))), ",")
-    rows = plain.select("doc_id", _digest_column(F.regexp_replace("plain", "[ \n]+", " ")).alias("canonical_sha256"), notices.alias("notices"))
-    return rows.join(lookup, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", "notices")
+    lines = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = plain.select(
+        "doc_id", F.unhex(_digest_column(F.regexp_replace("plain", "[ \n]+", " "))).alias("digest"),
+        F.unhex(F.sha2(F.col("plain").cast("binary"), 256)).alias("key"), F.transform(lines, lambda x: F.unhex(_digest_column(x))).alias("lines"),
+    )
+    rows = stage.write(rows, "digests")
+    found = rows.select("key", F.explode("lines").alias("digest")).join(known, "digest").groupBy("key", "license_id").agg(F.lit(1).alias("_one"))
+    found = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("license_id")), ",").alias("notices"))
+    whole = rows.select("doc_id", "digest", "key").join(known, "digest", "left").join(found, "key", "left")
+    return whole.select("doc_id", F.lower(F.hex("digest")).alias("canonical_sha256"), "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def scan_sql() -> str:
