@@ -35,8 +35,19 @@ class Archive:
 
 
 def _record_id(page_id) -> F.Column:
-    h = F.md5(F.concat(F.lit("record:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in ([F.lit("-")] * (a > 1) + [F.substring(h, a, n)])], F.lit(">"))
+    """A version 8 UUID that spells out the id: its 64 bits around the version and variant, then zeros; a null id ends in 1."""
+    h = F.lpad(F.hex(F.coalesce(page_id, F.lit(0).cast("long"))), 16, "0")
+    end = F.when(page_id.isNull(), "000000000001").otherwise("000000000000")
+    return F.lower(F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-8"), F.substring(h, 13, 3), F.lit("-8"), F.substring(h, 16, 1), F.lit("00-"), end, F.lit(">")))
+
+
+def page_of(record_id: str) -> int | None:
+    """The id that a record id spells out; raises CorruptRecord if it isn't one of write()'s."""
+    found = re.fullmatch("<urn:uuid:([0-9a-f]{8})-([0-9a-f]{4})-8([0-9a-f]{3})-8([0-9a-f])00-00000000000([01])>", record_id)
+    if not found:
+        raise CorruptRecord("a record id of another kind")
+    number = int("".join(found.groups()[:4]), 16)
+    return None if found[5] == "1" else number - (1 << 64) if number >> 63 else number
 
 
 def _headers(date: str) -> F.Column:
@@ -124,18 +135,19 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 def _read(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for page_id, refers_to, record, content in zip(*(batch.column(c) for c in ("page_id", "refers_to", "record", "content")), strict=True):
+        for record, content in zip(batch.column("record"), batch.column("content"), strict=True):
             fields, payload = parse(record.as_py())
             if fields["warc-type"] == "revisit":
                 payload = content.as_py()
                 if "sha256:" + hashlib.sha256(payload).hexdigest() != fields["warc-payload-digest"]:
                     raise CorruptRecord("the payload that a revisit refers to fails its digest")
-            rows.append((page_id.as_py(), len(payload), fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"], refers_to.as_py(), len(record.as_py())))
+            refers_to = page_of(fields["warc-refers-to"]) if fields["warc-type"] == "revisit" else None
+            rows.append((page_of(fields["warc-record-id"]), len(payload), fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-type"], refers_to, len(record.as_py())))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes"])
 
 
 def read(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_bytes, from the rebuilt and tested records."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_bytes, all taken from the rebuilt and tested records' bytes."""
     arrow_limits(archive.records.sparkSession)
-    return rebuild(archive).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_bytes long")
+    return rebuild(archive).select("record", "content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_bytes long")
