@@ -14,10 +14,10 @@ PREFIX_CHARS = 128
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical; null counts as empty. Of equal texts the row with the largest id stays. The
-    content is hashed in full only for texts whose length and prefix hash another text shares; with digest_all it is
-    hashed for every row in the first scan, as then each row's digest is part of the result (else text_sha256 is null
-    for texts that are unique by length and prefix).
+    Texts are equal when identical; null counts as empty. Of equal texts the row with the largest id stays. Rows are
+    grouped by length, then groups by prefix hash, then what survives by the full hash; only narrow rows are exchanged.
+    With digest_all the digest is a column of the result: a scan of its own gives it for every row, and only those of survivors
+    take part in the grouping. Else the content is read in full for survivors only and text_sha256 is null for the others.
 
     Rows that repeat the kept id are marked kept too (ids are expected to be unique). A null id never stays unless all
     ids of its group are null; then all of that group's rows stay. An empty table gives an empty result. Other columns
@@ -25,24 +25,17 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     """
     stage = Stage(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    full = F.sha2(text.cast("binary"), 256)
-    first = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
-        *([full.alias("sha")] if digest_all else []),
-    )
-    narrow = stage.write(first, "narrow")
-    pairs = narrow.groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("_n"))
+    shape = (F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"))
+    pairs = stage.write(docs.select(*shape).groupBy("n_bytes", "prefix").agg(F.count(F.lit(1)).alias("_n")), "pairs", few=True)
     lengths = pairs.groupBy("n_bytes").agg(F.sum("_n").alias("_rows")).filter("_rows > 1").select("n_bytes")
     survivors = pairs.join(lengths, "n_bytes").filter("_n > 1").select("n_bytes", "prefix")
+    full = F.sha2(text.cast("binary"), 256).alias("sha")
     if digest_all:
+        narrow = stage.write(docs.select(F.col(id_col).alias("doc_id"), *shape, full), "narrow")
         hashed = narrow.join(survivors, ["n_bytes", "prefix"])
     else:
-        wide = docs.select(
-            F.col(id_col).alias("doc_id"), text.alias("_text"), F.octet_length(text).cast("long").alias("n_bytes"),
-            F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"),
-        )
+        narrow = docs.select(F.col(id_col).alias("doc_id"), *shape, F.lit(None).cast("string").alias("sha"))
+        wide = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *shape)
         hashed = wide.join(survivors.hint("merge"), ["n_bytes", "prefix"], "left_semi").select("doc_id", "n_bytes", "prefix", F.sha2(F.col("_text").cast("binary"), 256).alias("sha"))
     hashed = stage.write(hashed.select("doc_id", "n_bytes", "prefix", "sha"), "hashed", few=True)
     grouped = attach_group(
@@ -55,7 +48,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     ).unionByName(
         alone.select(
             "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
-            (F.col("sha") if digest_all else F.lit(None).cast("string")).alias("text_sha256"),
+            F.col("sha").alias("text_sha256"),
         )
     )
 
