@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are trigrams of character shapes, hashed into TERMS places, and how its words repeat. A truncated singular
-value decomposition of the labelled texts' weighted terms gives the latent space. Each document's vector is compared
+A text's terms are its words, letters A-Z lowered, hashed into WORDS places, trigrams of character shapes hashed into SHAPES
+places, and how its words repeat. A truncated singular value decomposition of the labelled texts' weighted terms gives the latent space. Each document's vector is compared
 with all labelled vectors in blocked matrix products, and its NEIGHBOURS most similar ones vote with their labels.
 """
 
@@ -20,9 +20,10 @@ from . import arrowtext as at
 from .common import arrow_limits, lean, trim
 
 #: Labelled texts of each class that the model is fitted on at most, chosen by a hash of their ids: this bounds the
-#: driver's matrix (2 x FIT_ROWS x (TERMS + REPEATS) numbers) and the broadcast vectors, whatever the input's size.
+#: driver's matrix (2 x FIT_ROWS x SIZE numbers) and the broadcast vectors, whatever the input's size.
 FIT_ROWS = 1500
-TERMS, REPEATS = 1024, 8
+WORDS, SHAPES, REPEATS = 1024, 512, 8
+SIZE = WORDS + SHAPES + REPEATS
 LATENT = 48
 NEIGHBOURS = 25
 #: Weight of a neighbour: its similarity (0 if negative) to this power.
@@ -44,31 +45,33 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _shares_of(owner: np.ndarray, code: np.ndarray, n: int, size: int) -> np.ndarray:
+    flat = np.bincount(owner * size + code.astype(np.int64), minlength=n * size).reshape(n, size)
+    return np.sqrt(flat / np.maximum(flat.sum(axis=1, keepdims=True), 1))
+
+
 def term_counts(values: pa.Array) -> np.ndarray:
-    """A row of TERMS + REPEATS weights for each text: square roots of the terms' shares, shape terms and repeats apart.
+    """A row of SIZE weights for each text: square roots of the terms' shares, words, shapes and repeats apart.
 
     The last REPEATS places say, for distances 1 to REPEATS, which share of the words equals the word so far back.
     A null or empty text has no terms and gives zeros.
     """
-    out = np.zeros((len(values), TERMS + REPEATS), dtype=np.float32)
-    for w in at.words(values):
-        n = w.hi - w.lo
+    out = np.zeros((len(values), SIZE), dtype=np.float32)
+    for w, low in zip(at.words(values), at.words(values, lower=True), strict=True):
+        n, rows = w.hi - w.lo, slice(w.lo, w.hi)
         shape = _SHAPE[w.bytes]
-        gaps = np.flatnonzero(shape == 32)
         if len(shape) >= 3:
             code = (shape[:-2] * np.uint32(0x01000193) ^ shape[1:-1]) * np.uint32(0x01000193) ^ shape[2:]
-            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - TERMS.bit_length() + 1)
-            size = np.zeros(n, dtype=np.int64)
-            size[:] = _sizes(values, w.lo, w.hi)
-            owner = np.repeat(np.arange(n), size)
+            code = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SHAPES.bit_length() + 1)
+            owner = np.repeat(np.arange(n), _sizes(values, w.lo, w.hi))
             inside = owner[:-2] == owner[2:]
-            flat = np.bincount(owner[:-2][inside] * TERMS + code[inside], minlength=n * TERMS).reshape(n, TERMS)
-            out[w.lo : w.hi, :TERMS] = np.sqrt(flat / np.maximum(flat.sum(axis=1, keepdims=True), 1))
-        if len(w) > 1 and len(gaps):
-            hashes, doc = at.word_hashes(w), w.doc()
+            out[rows, WORDS : WORDS + SHAPES] = _shares_of(owner[:-2][inside], code[inside], n, SHAPES)
+        if len(w):
+            hashes, doc = at.word_hashes(low), w.doc()
+            out[rows, :WORDS] = _shares_of(doc, hashes >> np.uint64(64 - WORDS.bit_length() + 1), n, WORDS)
             for back in range(1, min(REPEATS, len(w) - 1) + 1):
                 same = (hashes[back:] == hashes[:-back]) & (doc[back:] == doc[:-back])
-                out[w.lo : w.hi, TERMS + back - 1] = np.sqrt(np.bincount(doc[back:][same], minlength=n) / np.maximum(np.diff(w.first), 1))
+                out[rows, SIZE - REPEATS + back - 1] = np.sqrt(np.bincount(doc[back:][same], minlength=n) / np.maximum(np.diff(w.first), 1))
     return out
 
 
@@ -79,7 +82,7 @@ def _sizes(values: pa.Array, lo: int, hi: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """What is broadcast: its size depends on FIT_ROWS, TERMS and LATENT only."""
+    """What is broadcast: its size depends on FIT_ROWS, SIZE and LATENT only."""
 
     mean: np.ndarray
     weight: np.ndarray
@@ -92,18 +95,22 @@ class Model:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
-        if not len(self.labels):
+        """Weighted votes of the NEIGHBOURS most similar vectors. Similarities count to 6 digits; of equal ones the first vectors vote."""
+        n = len(self.labels)
+        if not n:
             return np.full(len(terms), 0.5)
         out = np.empty(len(terms))
-        k = min(NEIGHBOURS, len(self.labels))
+        k = min(NEIGHBOURS, n)
         for lo in range(0, len(terms), BLOCK):
-            similar = self.embed(terms[lo : lo + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0.0).astype(np.float64) ** SHARPNESS
-            votes = self.labels[near]
+            similar = self.embed(terms[lo : lo + BLOCK].astype(np.float64)) @ self.vectors.T
+            # whole numbers, no two of a row equal: which neighbours vote, and in which order, doesn't depend on the block
+            order = np.rint(similar * 1e6).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            best = -np.sort(np.partition(-order, k - 1, axis=1)[:, :k], axis=1)
+            weight = np.maximum(best // n / 1e6, 0.0) ** SHARPNESS
+            votes = self.labels[n - 1 - best % n]
             total = weight.sum(axis=1)
             out[lo : lo + BLOCK] = np.where(total > 0, (weight * votes).sum(axis=1) / np.maximum(total, 1e-30), votes.mean(axis=1))
-        return np.round(np.clip(out, 0.0, 1.0), 5)  # matrix products of other shapes differ in the last digits
+        return np.round(np.clip(out, 0.0, 1.0), 5)
 
 
 @lean
@@ -116,34 +123,34 @@ def _term_rows(batches) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model from at most FIT_ROWS texts of each class; held-out rows, null labels and labels without a text are left out.
 
-    An id that is labelled more than once counts with its greatest label. Without labelled texts every score is 0.5.
+    An id that is labelled more than once counts with its greatest label, one that docs repeat with its least text.
+    Without labelled texts every score is 0.5.
     """
     arrow_limits(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("label"))
     chosen = [known.filter(F.col("label") == v).orderBy(F.xxhash64("_id"), "_id").limit(FIT_ROWS) for v in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 x FIT_ROWS rows of two numbers
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sample, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "label")
     got = rows.mapInArrow(_term_rows, "doc_id long, terms binary, label int").orderBy("doc_id").toArrow()
-    size = TERMS + REPEATS
     terms, _ = at.unpack(got["terms"].combine_chunks(), np.float32)
-    terms, votes = terms.reshape(-1, size), got["label"].to_numpy().astype(np.float64)
+    terms, votes = terms.reshape(-1, SIZE), got["label"].to_numpy().astype(np.float64)
     if not len(votes):
-        return Model(np.zeros(size, np.float32), np.ones(size, np.float32), np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), votes)
+        return Model(np.zeros(SIZE), np.ones(SIZE), np.zeros((SIZE, 1)), np.zeros((0, 1)), votes)
     found = (terms > 0).sum(axis=0)
     weight = np.log((1 + len(terms)) / (1 + found)) + 1  # rarer terms weigh more
-    weight[TERMS:] *= 2.0
+    weight[-REPEATS:] *= 2.0
     mean = terms.mean(axis=0)
-    weight = weight.astype(np.float32)
-    centred = (terms - mean) * weight
-    # singular vectors of the terms through the smaller Gram matrix
+    centred = (terms - mean) * weight.astype(np.float32)
+    # singular vectors of the terms through the Gram matrix
     _, axes = np.linalg.eigh((centred.T @ centred).astype(np.float64))
-    axes = axes[:, ::-1][:, : min(LATENT, size)].copy()
+    axes = axes[:, ::-1][:, : min(LATENT, SIZE)].copy()
     del centred
-    model = Model(mean.astype(np.float32), weight.astype(np.float32), axes.astype(np.float32), np.zeros((0, axes.shape[1]), np.float32), votes)
-    model = Model(model.mean, model.weight, model.axes, model.embed(terms).astype(np.float32), votes)
+    empty = Model(mean.astype(np.float64), weight, axes, np.zeros((0, axes.shape[1])), votes)
+    vectors = np.concatenate([empty.embed(terms[lo : lo + BLOCK].astype(np.float64)) for lo in range(0, len(terms), BLOCK)])
     del terms, got
     trim()  # the driver lives on
-    return model
+    return Model(empty.mean, weight, axes, vectors, votes)
 
 
 @lean
