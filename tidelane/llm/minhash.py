@@ -234,7 +234,7 @@ def leftovers(bands: DataFrame, texts: DataFrame, stage: Stage, shingle: int, pe
     # of a bucket of two members each was compared with the other
     open_ = entries.groupBy("bucket").agg(F.min("part").alias("_a"), F.max("part").alias("_b"), F.count(F.lit(1)).alias("_n")).filter("_a != _b and _n > 2").select("bucket")
     members = stage.write(entries.join(open_, "bucket", "left_semi").select("doc_id", "part").distinct(), "open", few=True)
-    sets = stage.write(members.join(texts, "doc_id").mapInArrow(partial(_tokens, shingle=shingle), "node long, doc_id long, part long, size long, tokens array<long>"), "sets", few=True)
+    sets = stage.write(members.join(texts, "doc_id").mapInArrow(partial(_tokens, shingle=shingle), "node long, doc_id long, part long, size long, tokens array<long>"), "sets")
     single = sets.select("node", "size", F.explode("tokens").alias("token"))
     often = single.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # behind: how many shingles of the text come no earlier than this one; those that no other text has come first of all
@@ -282,7 +282,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     stage.drop("local")
     # every member of a bucket with others is in a pair: no other text, nor its bands, is needed from here on
     ends = stage.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("hub")).distinct(), "ends", few=True)
-    texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts", few=True)
+    texts = stage.write(source.join(ends.hint("merge"), "doc_id", "left_semi"), "texts")
     bands = stage.write(bands.join(ends, "doc_id", "left_semi"), "met", few=True)
     stage.drop("bands0")
     free_shuffles(spark)
@@ -290,7 +290,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     def confirm(chosen: DataFrame, name: str) -> DataFrame:
         pair = chosen.select("x", "hub").join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("x_text")).hint("merge"), "x")
         pair = pair.join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")).hint("merge"), "hub")
-        found = stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name, few=True)
+        found = stage.write(pair.select("x", "hub", "x_text", "hub_text").mapInArrow(partial(_confirm, shingle=shingle, percent=percent), "x long, hub long, linked boolean"), name)
         free_shuffles(spark)
         return found
 
