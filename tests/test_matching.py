@@ -50,10 +50,10 @@ def test_merging_joins_split_neurons(spark):
     rows = [(1 if i % 2 else 2, int(v)) for i, v in enumerate(t)] + [(3, int(v)) for v in rng.uniform(0, t[-1], 1500)]
     spikes = spark.createDataFrame(rows, "unit long, t long")
     templates = spark.createDataFrame([(1, [1.0, 2.0, 0.0]), (2, [1.1, 2.0, 0.0]), (3, [1.0, 1.9, 0.1])], "unit long, wave array<double>")
-    found = mt.merge_candidates(spikes, templates, "t", "wave", 0.9, 1, 100, 60, 4)
+    found = mt.merge_candidates(spikes, templates, "t", "wave", 0.9, 1, 100, (50, 100), (10, 50), 4)
     assert [(r.unit, r.other) for r in found.collect()] == [(1, 2)]
     assert {r.unit for r in mt.merged_units(spikes, found).select("unit").distinct().collect()} == {1, 3}
-    clean = un.refractory(mt.contamination_matrix(mt.merged_units(spikes, found), "t", 1, 100, 60, 4), 0.2, 0.2)
+    clean = un.refractory(mt.contamination_matrix(mt.merged_units(spikes, found), "t", 1, 100, (50, 100), (10, 50), 4), 0.2, 0.2)
     assert {r.unit: r.refractory for r in clean.select("unit", "refractory").collect()} == {1: True, 3: False}
 
 

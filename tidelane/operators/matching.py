@@ -110,21 +110,21 @@ def fit_acg(acg: DataFrame, keys: list[str], bin_ms: float, rounds: int = 60) ->
     return acg.select(*keys, "bin", "n").groupBy(*keys).applyInPandas(fit, schema)
 
 
-def merge_candidates(spikes: DataFrame, templates: DataFrame, t: str, vector: str, similar: float, bin_width, n_bins: int, shoulder: int, centre: int, r_limit: float = 0.25, q_limit: float = 0.2) -> DataFrame:
+def merge_candidates(spikes: DataFrame, templates: DataFrame, t: str, vector: str, similar: float, bin_width, n_bins: int, far: tuple[int, int], near: tuple[int, int], centres: int, r_limit: float = 0.25, q_limit: float = 0.05) -> DataFrame:
     """O-SRT-15/24, O-CL-06: unit, other, similarity, r, q of similar templates whose cross-correlogram has the dip of one neuron.
 
     Only spikes of similar pairs meet: each spike is copied to the pairs that its unit belongs to.
     """
-    near = template_similarity(templates, "unit", vector).filter(F.col("similarity") >= similar)
-    a = spikes.join(near.select("unit", "other"), "unit").select("unit", "other", t)
-    b = spikes.select(F.col("unit").alias("other"), t).join(near.select("unit", "other"), "other").select("unit", "other", t)
+    alike = template_similarity(templates, "unit", vector).filter(F.col("similarity") >= similar)
+    a = spikes.join(alike.select("unit", "other"), "unit").select("unit", "other", t)
+    b = spikes.select(F.col("unit").alias("other"), t).join(alike.select("unit", "other"), "other").select("unit", "other", t)
     met = close_pairs(a, b, ["unit", "other"], t, bin_width * n_bins + bin_width / 2)
     lag = F.rint((F.col(f"b_{t}") - F.col(t)) / bin_width).cast("long")
     counts = met.groupBy("unit", "other", lag.alias("bin")).agg(F.count(F.lit(1)).alias("n")).filter(F.abs("bin") <= n_bins)
-    grid = near.select("unit", "other").withColumn("bin", F.explode(F.sequence(F.lit(-n_bins).cast("long"), F.lit(n_bins).cast("long"))))
+    grid = alike.select("unit", "other").withColumn("bin", F.explode(F.sequence(F.lit(-n_bins).cast("long"), F.lit(n_bins).cast("long"))))
     dense = grid.join(counts, ["unit", "other", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    scored = correlogram_metrics(dense, ["unit", "other"], shoulder, centre)
-    return near.join(scored, ["unit", "other"]).filter(F.coalesce((F.col("r") < r_limit) & (F.col("q") < q_limit), F.lit(False)))
+    scored = correlogram_metrics(dense, ["unit", "other"], far, near, centres)
+    return alike.join(scored, ["unit", "other"]).filter(F.coalesce((F.col("r") < r_limit) & (F.col("q") < q_limit), F.lit(False)))
 
 
 def merged_units(spikes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -133,10 +133,10 @@ def merged_units(spikes: DataFrame, candidates: DataFrame) -> DataFrame:
     return spikes.join(groups.select(F.col("node").alias("unit"), F.col("group").alias("_g")), "unit", "left").withColumn("unit", F.coalesce("_g", "unit")).drop("_g")
 
 
-def contamination_matrix(spikes: DataFrame, t: str, bin_width, n_bins: int, shoulder: int, centre: int) -> DataFrame:
+def contamination_matrix(spikes: DataFrame, t: str, bin_width, n_bins: int, far: tuple[int, int], near: tuple[int, int], centres: int) -> DataFrame:
     """O-CCG-03/04: unit, r, q of each autocorrelogram, its zero lag left out."""
     acg = correlogram(spikes, spikes, t, bin_width, n_bins).filter("unit = other")
-    return correlogram_metrics(acg, ["unit"], shoulder, centre)
+    return correlogram_metrics(acg, ["unit"], far, near, centres)
 
 
 def depth_profile(samples: DataFrame, events: DataFrame, contacts: DataFrame, s: str, value: str, reach: int) -> DataFrame:

@@ -41,21 +41,44 @@ def _erf(x: Column) -> Column:
     return F.signum(x) * (1 - poly * F.exp(-a * a))
 
 
-def correlogram_metrics(ccg: DataFrame, keys: list[str], shoulder: int, centre: int) -> DataFrame:
-    """O-CCG-02: by pair, r (mean rate of bins 1..centre on both sides over that of the bins beyond shoulder) and q (probability of so few central counts, normal approximation). The zero bin is left out."""
-    k = F.abs("bin")
-    mean = lambda c: F.sum(F.when(c, F.col("n"))) / F.sum(F.when(c, F.lit(1)))
-    out = ccg.groupBy(*keys).agg(mean((k >= 1) & (k <= centre)).alias("_c"), mean(k > shoulder).alias("_s"), F.sum(F.when((k >= 1) & (k <= centre), F.col("n"))).alias("_n"), F.sum(F.when((k >= 1) & (k <= centre), F.lit(1))).alias("_m"))
-    expected = F.col("_s") * F.col("_m")
-    q = 0.5 * (1 + _erf((F.col("_n") - expected) / F.sqrt(2 * F.greatest(expected, F.lit(1e-10)))))
-    return out.select(*keys, (F.col("_c") / F.when(F.col("_s") > 0, F.col("_s"))).alias("r"), q.alias("q"))
+def correlogram_metrics(ccg: DataFrame, keys: list[str], far: tuple[int, int], near: tuple[int, int], centres: int) -> DataFrame:
+    """O-CCG-02: by pair, r and q of a dense correlogram, and shoulder, the greatest mean count of its shoulders.
+
+    Shoulders are the far bins of both sides together (a to b - 1 after the zero lag, a + 1 to b - 1 before) and the near
+    bins of each side (a to b - 1 after, a + 1 to b before). r is the least density within 1 to `centres` bins of the
+    zero lag, which itself is left out, over the greatest of the shoulders; q the least probability of so few counts there.
+    """
+    k, n = F.col("bin"), F.col("n")
+    over = lambda c, size: F.sum(F.when(c, n).otherwise(0)) / size
+    (f0, f1), (n0, n1) = far, near
+    sides = [
+        over(k.between(f0, f1 - 1) | k.between(1 - f1, -f0 - 1), 2 * (f1 - f0) - 1), over(k.between(n0, n1 - 1), n1 - n0), over(k.between(-n1, -n0 - 1), n1 - n0),
+    ]
+    inner = [over(k.between(-i, i) & (k != 0), 1.0).alias(f"_c{i}") for i in range(1, centres + 1)]
+    out = ccg.groupBy(*keys).agg(F.greatest(*sides).alias("shoulder"), *inner)
+    least = lambda cells: cells[0] if len(cells) == 1 else F.least(*cells)
+    r = least([F.col(f"_c{i}") / (2 * i) for i in range(1, centres + 1)]) / F.when(F.col("shoulder") > 0, F.col("shoulder"))
+    expected = lambda i: F.col("shoulder") * i
+    q = least([0.5 * (1 + _erf((F.col(f"_c{i}") / 2 - expected(i)) / F.sqrt(1e-10 + 2 * expected(i)))) for i in range(1, centres + 1)])
+    return out.select(*keys, r.alias("r"), q.alias("q"), "shoulder")
 
 
 def refractory(metrics: DataFrame, r_limit: float, q_limit: float) -> DataFrame:
-    """O-CCG-03: metrics with `refractory`: r and q below their limits; unknown counts as not."""
+    """O-CCG-03: metrics with `refractory`: r and q below their limits; unknown counts as not. Autocorrelograms have limits of 0.2 and 0.2, pairs of 0.25 and 0.05."""
     return metrics.withColumn("refractory", F.coalesce((F.col("r") < r_limit) & (F.col("q") < q_limit), F.lit(False)))
 
 
+def refractory_units(spikes: DataFrame, t: str, bin_width, n_bins: int, far: tuple[int, int], near: tuple[int, int], centres: int, r_limit: float = 0.2, q_limit: float = 0.2, least: int = 10) -> DataFrame:
+    """O-CCG-03: unit, r, refractory of each unit's autocorrelogram; units with no more than `least` spikes, or all at one time, are not."""
+    sized = spikes.groupBy("unit").agg(F.count(F.lit(1)).alias("_n"), (F.max(t) > F.min(t)).alias("_long"))
+    own = spikes.select("unit", F.col(t).alias("_t"), F.col("unit").alias("_own"))
+    pairs = close_pairs(own, own, ["_own"], "_t", bin_width * n_bins + bin_width / 2)
+    counts = pairs.groupBy("unit", F.rint((F.col("b__t") - F.col("_t")) / bin_width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    metrics = refractory(correlogram_metrics(counts, ["unit"], far, near, centres), r_limit, q_limit)
+    known = F.col("_n") > least
+    return sized.join(metrics, "unit", "left").select("unit", F.when(known & F.col("_long"), F.col("r")).alias("r"), (known & F.col("_long") & F.coalesce("refractory", F.lit(False))).alias("refractory"))
+
+
 def acg_metrics(acg: DataFrame, keys: list[str], inner: tuple[int, int], outer: tuple[int, int], trough: tuple[int, int], peak: tuple[int, int]) -> DataFrame:
     """O-CCG-06: burst index (mean of inner over mean of outer bins) and modulation index ((peak - trough) / (peak + trough)), bins by absolute lag."""
     mean = lambda r: F.avg(F.when(F.abs("bin").between(*r), F.col("n")))

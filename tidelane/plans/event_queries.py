@@ -134,11 +134,11 @@ def o_evt_14_bad_channels(spark, sf):
 
 # ---- unions and partitions
 
-EPOCHS = "ep AS (SELECT l_orderkey AS epoch, count(*) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)"
+EPOCHS = "ep AS (SELECT l_orderkey AS epoch, count(*) AS n FROM lineitem GROUP BY 1)"
 
 
 def epochs(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH {spikes}, a AS (SELECT row_number() OVER (ORDER BY t, id) - 1 AS s, v FROM spikes WHERE ch = 'click'), b AS (SELECT row_number() OVER (ORDER BY t, id) - 1 AS s, v FROM spikes WHERE ch = 'view') SELECT s, v, 0 AS epoch FROM a UNION ALL SELECT s + (SELECT count(*) FROM a), v, 1 FROM b")
@@ -155,13 +155,13 @@ def o_uni_02_mergepoints(spark, sf):
     return pt.mergepoints(epochs(spark, sf), [], "epoch", "n", 20.0, 500)
 
 
-@query("WITH " + EPOCHS + """, g AS (SELECT epoch, unnest(range(n)) AS i FROM ep), s AS (SELECT l_orderkey AS epoch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i, CAST(l_quantity AS BIGINT) AS word FROM lineitem WHERE l_orderkey < 2000 AND l_orderkey % 3 <> 0)
+@query("WITH " + EPOCHS + """, g AS (SELECT epoch, unnest(range(n)) AS i FROM ep), s AS (SELECT l_orderkey AS epoch, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i, CAST(l_quantity AS BIGINT) AS word FROM lineitem WHERE l_orderkey % 3 <> 0)
  SELECT epoch, i, coalesce(word, 0) AS word FROM g LEFT JOIN s USING (epoch, i)""")
 def o_uni_03_zero_filled_epochs(spark, sf):
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")) - 1
-    side = table(spark, sf, "lineitem").filter("l_orderkey < 2000 AND l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("epoch"), i.cast("long").alias("i"), F.col("l_quantity").cast("long").alias("word"))
+    side = table(spark, sf, "lineitem").filter("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("epoch"), i.cast("long").alias("i"), F.col("l_quantity").cast("long").alias("word"))
     return ev.zero_filled_epochs(epochs(spark, sf), side, ["epoch"], "n", "word")
 
 
@@ -170,10 +170,10 @@ def o_uni_04_synthesize_index(spark, sf):
     return pt.synthesize_index(epochs(spark, sf), ["epoch"], "n")
 
 
-@query("""WITH e AS (SELECT o_custkey AS session, o_orderkey AS epoch, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders WHERE o_custkey < 300)
+@query("""WITH e AS (SELECT o_custkey AS session, o_orderkey AS epoch, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number FROM orders)
  SELECT session, epoch, number, printf('%03d_%s', number, CAST(session AS VARCHAR)) AS name FROM e""")
 def o_uni_05_multi_session(spark, sf):
-    e = table(spark, sf, "orders").filter("o_custkey < 300").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("epoch"), F.col("o_orderdate").alias("d"), F.lit(20000).alias("rate"), F.lit(64).alias("channels"))
+    e = table(spark, sf, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("epoch"), F.col("o_orderdate").alias("d"), F.lit(20000).alias("rate"), F.lit(64).alias("channels"))
     return pt.multi_session(e, "session", ["d", "epoch"], "rate", "channels").select("session", "epoch", "number", "name")
 
 

@@ -11,12 +11,12 @@ from .registry import HOUR, query, spikes
 from .signal_queries import HOURS, contacts, hourly
 from .sorting_queries import vectors, waves
 from .stat_queries import R6
-from .unit_queries import BIN, BINS, few, templates
+from .unit_queries import BIN, BINS, CENTRES, FAR, NEAR, templates, trains
 
 
 @query()
 def o_srt_14_matching_pursuit(spark, sf):
-    t = waves(spark, sf).filter("unit < 4").select("unit", "ch", (F.col("lag") + 4).alias("lag"), F.col("mean").alias("value"))
+    t = waves(spark, sf).select("unit", "ch", (F.col("lag") + 4).alias("lag"), F.col("mean").alias("value"))
     return mt.matched(hourly(spark, sf), t, "s", "v", ["click", "error", "purchase", "view"], 11, 120.0, 256, 3)
 
 
@@ -28,13 +28,13 @@ def o_srt_11_seeds(spark, sf):
 
 @query()
 def o_ccg_07_fit_acg(spark, sf):
-    acg = un.correlogram(few(spark, sf), few(spark, sf), "t", BIN, BINS).filter("unit = other")
+    acg = un.correlogram(trains(spark, sf), trains(spark, sf), "t", BIN, BINS).filter("unit = other")
     return mt.fit_acg(acg, ["unit"], 1.0).select("unit", F.round("tau_decay", 3).alias("tau_decay"), F.round("tau_rise", 3).alias("tau_rise"), F.round("r2", 3).alias("r2"))
 
 
 @query()
 def o_srt_15_merge_candidates(spark, sf):
-    return mt.merge_candidates(few(spark, sf), templates(spark, sf), "t", "wave", -1.0, BIN, BINS, 6, 2, 0.5, 0.5).select("unit", "other", F.round("similarity", 4).alias("similarity"), R6("r").alias("r"), F.round("q", 4).alias("q"))
+    return mt.merge_candidates(trains(spark, sf), templates(spark, sf), "t", "wave", -1.0, BIN, BINS, FAR, NEAR, CENTRES, 0.5, 0.5).select("unit", "other", F.round("similarity", 4).alias("similarity"), R6("r").alias("r"), F.round("q", 4).alias("q"))
 
 
 @query("WITH {spikes}, " + HOURS + ", pk AS (SELECT DISTINCT t // 3600000000 - 473352 AS p, id FROM spikes WHERE ch = 'purchase'), m AS (SELECT ch, avg(v) AS mean FROM sm JOIN pk ON s BETWEEN p - 2 AND p + 2 GROUP BY ch), c AS (SELECT m.*, CASE ch WHEN 'click' THEN 0.0 WHEN 'error' THEN 20.0 WHEN 'purchase' THEN 40.0 WHEN 'view' THEN 60.0 ELSE 80.0 END AS y FROM m) SELECT ch, y::DOUBLE AS y, round(mean, 6) AS mean, sign(mean) <> sign(first_value(mean) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS deep FROM c")

@@ -22,11 +22,11 @@ def vectors(spark, sf, size=6):
 
 # ---- waveforms
 
-WAVES = "wf AS (SELECT p.unit, sm.ch, sm.s - p.s AS lag, avg(sm.v) AS mean, stddev_samp(sm.v) AS deviation, count(*) AS n FROM (SELECT unit, t // 3600000000 - 473352 AS s FROM spikes WHERE unit < 10) p JOIN sm ON sm.s BETWEEN p.s - 4 AND p.s + 6 GROUP BY 1, 2, 3)"
+WAVES = "wf AS (SELECT p.unit, sm.ch, sm.s - p.s AS lag, avg(sm.v) AS mean, stddev_samp(sm.v) AS deviation, count(*) AS n FROM (SELECT unit, t // 3600000000 - 473352 AS s FROM spikes) p JOIN sm ON sm.s BETWEEN p.s - 4 AND p.s + 6 GROUP BY 1, 2, 3)"
 
 
 def waves(spark, sf):
-    s = spikes(spark, sf).filter("unit < 10").select("unit", (F.floor(F.col("t") / HOUR) - 473352).alias("s"))
+    s = spikes(spark, sf).select("unit", (F.floor(F.col("t") / HOUR) - 473352).alias("s"))
     return wv.mean_waveforms(hourly(spark, sf), s, "s", "v", 4, 6)
 
 
@@ -123,7 +123,7 @@ def graph(spark, sf):
     """Users that act in the same quarter hour, weighted by how often."""
     from ..operators.units import close_pairs
 
-    s = spikes(spark, sf).filter("unit < 60").select("unit", "t")
+    s = spikes(spark, sf).select("unit", "t")
     p = close_pairs(s, s, [], "t", HOUR // 4).filter("unit != b_unit")
     return p.groupBy(F.col("unit").alias("src"), F.col("b_unit").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("_n")).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("_n").alias("w")).select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w")
 
@@ -139,7 +139,7 @@ def o_srt_12_cluster_links(spark, sf):
     return so.cluster_links(g, so.modularity_clusters(g, rounds=4))
 
 
-@query("""WITH {spikes}, f AS (SELECT unit, t FROM spikes WHERE unit < 60), p AS (SELECT least(a.unit, b.unit) AS x, greatest(a.unit, b.unit) AS y, CAST(count(*) AS DOUBLE) AS w FROM f a JOIN f b ON b.t - a.t >= -900000000 AND b.t - a.t < 900000000 AND a.unit <> b.unit GROUP BY 1, 2),
+@query("""WITH {spikes}, p AS (SELECT least(a.unit, b.unit) AS x, greatest(a.unit, b.unit) AS y, CAST(count(*) AS DOUBLE) AS w FROM spikes a JOIN spikes b ON b.t - a.t >= -900000000 AND b.t - a.t < 900000000 AND a.unit <> b.unit GROUP BY 1, 2),
  e AS (SELECT x AS src, y AS dst, w FROM p UNION ALL SELECT y, x, w FROM p), k AS (SELECT src % 5 AS c, sum(w) AS k FROM e GROUP BY 1)
  SELECT round((SELECT sum(w) FILTER (src % 5 = dst % 5) / sum(w) FROM e) - (SELECT sum(k * k) FROM k) / (SELECT sum(w) * sum(w) FROM e), 6) AS modularity""")
 def o_srt_12_modularity(spark, sf):
@@ -203,13 +203,13 @@ def o_sup_03_gathered_features(spark, sf):
     return su.gathered_features(f, "vec_id", "ch", "v", [0, 3], 2).select("vec_id", F.transform("gathered", lambda x: F.round(x, 5)).alias("gathered"))
 
 
-TREE = "(SELECT n_nationkey + 100 AS parent, 2 * n_nationkey + 101 AS \"left\", 2 * n_nationkey + 102 AS \"right\" FROM nation WHERE n_nationkey < 12)"
+TREE = "(SELECT n_nationkey + 100 AS parent, 2 * n_nationkey + 101 AS \"left\", 2 * n_nationkey + 102 AS \"right\" FROM nation)"
 
 
 @query(f"WITH RECURSIVE t AS {TREE}, c AS (SELECT parent, \"left\" AS node FROM t UNION ALL SELECT parent, \"right\" FROM t), r AS (SELECT parent, node FROM c UNION SELECT r.parent, c.node FROM r JOIN c ON c.parent = r.node) SELECT parent, node AS leaf FROM r WHERE node NOT IN (SELECT parent FROM t)")
 def o_sup_05_tree_leaves(spark, sf):
     n = F.col("n_nationkey")
-    tree = table(spark, sf, "nation").filter("n_nationkey < 12").select((n + 100).alias("parent"), (2 * n + 101).alias("left"), (2 * n + 102).alias("right"))
+    tree = table(spark, sf, "nation").select((n + 100).alias("parent"), (2 * n + 101).alias("left"), (2 * n + 102).alias("right"))
     return su.tree_leaves(tree)
 
 
@@ -224,11 +224,14 @@ def o_sup_08_lineage(spark, sf):
     return su.lineage([("first", s.withColumn("cluster", F.col("unit") % 7)), ("second", s.filter("v > 5").withColumn("cluster", F.col("unit") % 3))], "id", "cluster")
 
 
-@query("WITH a AS (SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation WHERE n_nationkey < 20), b AS (SELECT n_name AS key, CAST(CASE WHEN n_nationkey % 6 = 0 THEN 9 ELSE n_regionkey END AS VARCHAR) AS value FROM nation WHERE n_nationkey > 3) SELECT key, a.value AS a, b.value AS b FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value")
+@query("""WITH a AS (SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation UNION ALL SELECT 'first ' || r_name, r_name FROM region),
+ b AS (SELECT n_name AS key, CAST(CASE WHEN n_nationkey % 6 = 0 THEN 9 ELSE n_regionkey END AS VARCHAR) AS value FROM nation UNION ALL SELECT 'second ' || r_name, r_name FROM region)
+ SELECT key, a.value AS a, b.value AS b FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value""")
 def o_sup_09_settings_difference(spark, sf):
-    n = table(spark, sf, "nation")
-    a = n.filter("n_nationkey < 20").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
-    b = n.filter("n_nationkey > 3").select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 6 == 0, 9).otherwise(F.col("n_regionkey")).cast("string").alias("value"))
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    own = lambda name: r.select(F.concat(F.lit(name), "r_name").alias("key"), F.col("r_name").alias("value"))
+    a = n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")).union(own("first "))
+    b = n.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 6 == 0, 9).otherwise(F.col("n_regionkey")).cast("string").alias("value")).union(own("second "))
     return su.settings_difference(a, b)
 
 
@@ -263,13 +266,13 @@ def o_sup_24_interval_ends(spark, sf):
     return su.interval_ends(s.select("unit", "t"), e, ["unit"], "t", "event", DAY)
 
 
-SHANKS = [0, 1, 2, 3]
-PIVOT = "pv AS (SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS position, s_nationkey AS k, s_name AS l FROM supplier WHERE s_nationkey < 4)"
+SHANKS = list(range(25))
+PIVOT = "pv AS (SELECT row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS position, s_nationkey AS k, s_name AS l FROM supplier)"
 
 
 @query("WITH " + PIVOT + " SELECT position, " + ", ".join(f'max(l) FILTER (k = {k}) AS "{k}"' for k in SHANKS) + " FROM pv GROUP BY position")
 def o_snk_13_anatomical_pivot(spark, sf):
-    s = table(spark, sf, "supplier").filter("s_nationkey < 4").select(F.col("s_suppkey").alias("ch"), F.col("s_nationkey").alias("shank"), "s_name")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ch"), F.col("s_nationkey").alias("shank"), "s_name")
     return su.pivot_map(s, "shank", "s_name", SHANKS)
 
 
@@ -307,11 +310,11 @@ def f_math_bits(spark, sf):
     return spikes(spark, sf).select("id", text.has_bit(F.col("id"), 3).alias("bit3"), R6(F.log2(1 + F.col("v"))).alias("l"), F.rint("v").cast("long").alias("r"), R6(F.hypot(F.col("v"), F.lit(3.0))).alias("h"))
 
 
-@query("WITH c AS (SELECT s_nationkey AS shank, s_suppkey AS ch, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p FROM supplier WHERE s_nationkey < 6) SELECT ch, CAST(shank AS INT) AS shank, shank * 200.0 + p % 3 * 20.0 AS x, -20.0 * (p // 3) - CASE WHEN p % 3 = 1 THEN 10.0 ELSE 0.0 END AS y FROM c")
+@query("WITH c AS (SELECT s_nationkey AS shank, s_suppkey AS ch, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p FROM supplier) SELECT ch, CAST(shank AS INT) AS shank, shank * 200.0 + p % 3 * 20.0 AS x, -20.0 * (p // 3) - CASE WHEN p % 3 = 1 THEN 10.0 ELSE 0.0 END AS y FROM c")
 def f_geometry_poly3(spark, sf):
-    rows = table(spark, sf, "supplier").filter("s_nationkey < 6").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("c")).collect()  # a probe's channels
+    rows = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("c")).collect()  # a probe's channels
     groups = {r[0]: r[1] for r in rows}
-    return geometry.layout(spark, "poly3", [groups.get(i, []) for i in range(6)])
+    return geometry.layout(spark, "poly3", [groups.get(i, []) for i in range(25)])
 
 
 @query("SELECT conv_id, to_json({'n': count(*), 'roles': list_sort(list(DISTINCT role))}) AS manifest FROM conversations GROUP BY conv_id")

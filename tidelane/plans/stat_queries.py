@@ -11,11 +11,11 @@ from .registry import DAY, HOUR, query, spikes
 R6 = lambda c: F.round(c, 6)
 
 #: The labels table as cluster labels of units.
-LABELLED = "lab AS (SELECT doc_id AS unit, CASE WHEN quality = 1 THEN 'good' ELSE 'mua' END AS label FROM labels WHERE doc_id < 400)"
+LABELLED = "lab AS (SELECT doc_id AS unit, CASE WHEN quality = 1 THEN 'good' ELSE 'mua' END AS label FROM labels)"
 
 
 def labelled(spark, sf):
-    return table(spark, sf, "labels").filter("doc_id < 400").select(F.col("doc_id").alias("unit"), F.when(F.col("quality") == 1, "good").otherwise("mua").alias("label"))
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("unit"), F.when(F.col("quality") == 1, "good").otherwise("mua").alias("label"))
 
 
 @query("WITH {spikes}, " + LABELLED + """, tot AS (SELECT (max(t) - min(t)) / 86400000000.0 AS days FROM spikes), r AS (SELECT unit, count(*) AS n, count(*) / (SELECT days FROM tot) AS rate FROM spikes GROUP BY unit)

@@ -14,21 +14,25 @@ from .stat_queries import R6
 BIN, BINS = HOUR // 2, 12
 WINDOW = BIN * BINS + BIN / 2
 
-#: Correlograms of all pairs of units below 12.
-CCG = f"""few AS (SELECT unit, t FROM spikes WHERE unit < 12), pr AS (SELECT a.unit, b.unit AS other, CAST(round_even((b.t - a.t) / {BIN}.0, 0) AS BIGINT) AS bin FROM few a JOIN few b ON b.t - a.t >= -{WINDOW} AND b.t - a.t < {WINDOW}),
+#: Correlograms of all pairs of units that come within the window of each other.
+CCG = f"""pr AS (SELECT a.unit, b.unit AS other, CAST(round_even((b.t - a.t) / {BIN}.0, 0) AS BIGINT) AS bin FROM spikes a JOIN spikes b ON b.t - a.t >= -{WINDOW} AND b.t - a.t < {WINDOW}),
  cn AS (SELECT unit, other, bin, count(*) AS n FROM pr WHERE abs(bin) <= {BINS} GROUP BY 1, 2, 3), gd AS (SELECT unit, other, unnest(range(-{BINS}, {BINS + 1})) AS bin FROM (SELECT DISTINCT unit, other FROM cn)),
  ccg AS (SELECT unit, other, bin, coalesce(n, 0) AS n FROM gd LEFT JOIN cn USING (unit, other, bin))"""
 ERF = "(sign({x}) * (1 - ((1 / (1 + 0.3275911 * abs({x}))) * (0.254829592 + (1 / (1 + 0.3275911 * abs({x}))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs({x}))) * (1.421413741 + (1 / (1 + 0.3275911 * abs({x}))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs({x}))) * 1.061405429))))) * exp(-({x}) * ({x}))))"
-METRICS = f""", me AS (SELECT unit, other, avg(n) FILTER (abs(bin) BETWEEN 1 AND 2) AS c, avg(n) FILTER (abs(bin) > 6) AS s, sum(n) FILTER (abs(bin) BETWEEN 1 AND 2) AS nn, count(*) FILTER (abs(bin) BETWEEN 1 AND 2) AS m FROM ccg GROUP BY 1, 2),
- mx AS (SELECT *, (nn - s * m) / sqrt(2 * greatest(s * m, 1e-10)) AS x FROM me), met AS (SELECT unit, other, CASE WHEN s > 0 THEN c / s END AS r, 0.5 * (1 + {ERF.replace("{x}", "x")}) AS q FROM mx)"""
+FAR, NEAR, CENTRES = (6, 12), (3, 6), 3
+_I = range(1, CENTRES + 1)
+METRICS = f""", me AS (SELECT unit, other, greatest(sum(n) FILTER (bin BETWEEN 6 AND 11 OR bin BETWEEN -11 AND -7) / 11, sum(n) FILTER (bin BETWEEN 3 AND 5) / 3, sum(n) FILTER (bin BETWEEN -6 AND -4) / 3) AS s,
+ {", ".join(f"sum(n) FILTER (abs(bin) BETWEEN 1 AND {i}) AS c{i}" for i in _I)} FROM ccg GROUP BY 1, 2),
+ mx AS (SELECT unit, other, s, least({", ".join(f"c{i} / {2 * i}" for i in _I)}) AS c, {", ".join(f"(c{i} / 2 - s * {i}) / sqrt(1e-10 + 2 * s * {i}) AS x{i}" for i in _I)} FROM me),
+ met AS (SELECT unit, other, CASE WHEN s > 0 THEN c / s END AS r, least({", ".join(f"0.5 * (1 + {ERF.replace('{x}', f'x{i}')})" for i in _I)}) AS q FROM mx)"""
 
 
-def few(spark, sf):
-    return spikes(spark, sf).filter("unit < 12").select("unit", "t")
+def trains(spark, sf):
+    return spikes(spark, sf).select("unit", "t")
 
 
 def ccg(spark, sf):
-    return un.correlogram(few(spark, sf), few(spark, sf), "t", BIN, BINS)
+    return un.correlogram(trains(spark, sf), trains(spark, sf), "t", BIN, BINS)
 
 
 @query("WITH {spikes}, " + CCG + " SELECT unit, other, bin, n FROM ccg")
@@ -38,17 +42,23 @@ def o_ccg_01_correlogram(spark, sf):
 
 @query("WITH {spikes}, " + CCG + METRICS + " SELECT unit, other, round(r, 6) AS r, round(q, 5) AS q FROM met")
 def o_ccg_02_metrics(spark, sf):
-    return un.correlogram_metrics(ccg(spark, sf), ["unit", "other"], 6, 2).select("unit", "other", R6("r").alias("r"), F.round("q", 5).alias("q"))
+    return un.correlogram_metrics(ccg(spark, sf), ["unit", "other"], FAR, NEAR, CENTRES).select("unit", "other", R6("r").alias("r"), F.round("q", 5).alias("q"))
 
 
-@query("WITH {spikes}, " + CCG + METRICS + " SELECT unit, other, coalesce(r < 0.25 AND q < 0.2, false) AS refractory FROM met")
+@query("WITH {spikes}, " + CCG + METRICS + " SELECT unit, other, coalesce(r < 0.25 AND q < 0.05, false) AS refractory FROM met")
 def o_ccg_03_refractory(spark, sf):
-    return un.refractory(un.correlogram_metrics(ccg(spark, sf), ["unit", "other"], 6, 2), 0.25, 0.2).select("unit", "other", "refractory")
+    return un.refractory(un.correlogram_metrics(ccg(spark, sf), ["unit", "other"], FAR, NEAR, CENTRES), 0.25, 0.05).select("unit", "other", "refractory")
 
 
-@query("WITH {spikes}, " + CCG + ", rn AS (SELECT unit, count(*) AS total FROM few GROUP BY 1) SELECT unit, other, bin, round(n / total / 0.5, 6) AS rate FROM ccg JOIN rn USING (unit)")
+@query("WITH {spikes}, " + CCG + METRICS + """, z AS (SELECT unit, count(*) AS n, max(t) > min(t) AS long FROM spikes GROUP BY 1)
+ SELECT unit, round(CASE WHEN n > 10 AND long THEN r END, 6) AS r, n > 10 AND long AND coalesce(r < 0.2 AND q < 0.2, false) AS refractory FROM z LEFT JOIN (SELECT * FROM met WHERE unit = other) USING (unit)""")
+def o_ccg_03_refractory_units(spark, sf):
+    return un.refractory_units(trains(spark, sf), "t", BIN, BINS, FAR, NEAR, CENTRES).withColumn("r", R6("r"))
+
+
+@query("WITH {spikes}, " + CCG + ", rn AS (SELECT unit, count(*) AS total FROM spikes GROUP BY 1) SELECT unit, other, bin, round(n / total / 0.5, 6) AS rate FROM ccg JOIN rn USING (unit)")
 def o_ccg_05_rate_correlogram(spark, sf):
-    total = few(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("total"))
+    total = trains(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("total"))
     return ccg(spark, sf).join(total, "unit").select("unit", "other", "bin", R6(F.col("n") / F.col("total") / 0.5).alias("rate"))
 
 
@@ -89,7 +99,7 @@ def o_ccg_10_connections(spark, sf):
 
 @query()
 def o_ccg_11_transmission(spark, sf):
-    return un.transmission(excess(spark, sf), few(spark, sf), ["unit", "other"]).withColumn("probability", R6("probability"))
+    return un.transmission(excess(spark, sf), trains(spark, sf), ["unit", "other"]).withColumn("probability", R6("probability"))
 
 
 EDGES = "e AS (SELECT DISTINCT l_partkey % 50 AS pre, l_suppkey % 50 AS post FROM lineitem WHERE l_quantity > 48)"
@@ -105,14 +115,14 @@ def o_ccg_12_degrees(spark, sf):
 
 
 PBIN = HOUR
-PSTH = f"""ev AS (SELECT ch, t FROM spikes WHERE ch IN ('purchase', 'error')), sp AS (SELECT unit, t FROM spikes WHERE unit < 20), ne AS (SELECT ch, count(*) AS e FROM ev GROUP BY 1),
+PSTH = f"""ev AS (SELECT ch, t FROM spikes WHERE ch IN ('purchase', 'error')), sp AS (SELECT unit, t FROM spikes), ne AS (SELECT ch, count(*) AS e FROM ev GROUP BY 1),
  hit AS (SELECT ch, unit, CAST(floor((sp.t - ev.t) / {PBIN}.0) AS BIGINT) AS bin, count(*) AS n FROM ev JOIN sp ON sp.t - ev.t >= -{10 * PBIN} AND sp.t - ev.t < {10 * PBIN} GROUP BY 1, 2, 3),
  gr AS (SELECT ch, e, unit, unnest(range(-10, 10)) AS bin FROM ne, (SELECT DISTINCT unit FROM sp)), psth AS (SELECT ch, unit, bin, coalesce(n, 0) AS n, coalesce(n, 0) / e AS rate FROM gr LEFT JOIN hit USING (ch, unit, bin))"""
 
 
 def psth(spark, sf):
     s = spikes(spark, sf)
-    return un.psth(s.filter("ch IN ('purchase', 'error')").select("ch", "t"), s.filter("unit < 20").select("unit", "t"), "t", PBIN, 10, HOUR * 1.0, ["ch"])
+    return un.psth(s.filter("ch IN ('purchase', 'error')").select("ch", "t"), s.select("unit", "t"), "t", PBIN, 10, HOUR * 1.0, ["ch"])
 
 
 @query("WITH {spikes}, " + PSTH + " SELECT ch, unit, bin, n, round(rate, 6) AS rate FROM psth")
@@ -139,12 +149,12 @@ def o_ps_03_event_metrics(spark, sf):
     return wide.select("unit", F.col("error").alias("error_modulation"), F.col("purchase").alias("purchase_modulation"))
 
 
-@query("""WITH {spikes}, e AS (SELECT id AS event, t AS start, t + 21600000000 AS stop FROM spikes WHERE ch = 'purchase' AND unit % 5 = 0), h AS (SELECT unit, event, count(*) AS n FROM spikes JOIN e ON t BETWEEN start AND stop GROUP BY 1, 2),
+@query("""WITH {spikes}, e AS (SELECT id AS event, t AS start, t + 21600000000 AS stop FROM spikes WHERE ch = 'purchase'), h AS (SELECT unit, event, count(*) AS n FROM spikes JOIN e ON t BETWEEN start AND stop GROUP BY 1, 2),
  o AS (SELECT unit, count(*) AS k, sum(n) AS n FROM h GROUP BY 1), tt AS (SELECT count(*) AS e, sum(stop - start) / 3600000000.0 AS s FROM e)
  SELECT unit, round(coalesce(k, 0) / e, 6) AS participation, round(coalesce(n, 0) / e, 6) AS spikes_per_event, round(coalesce(n, 0) / s, 6) AS rate_inside FROM (SELECT DISTINCT unit FROM spikes) LEFT JOIN o USING (unit), tt""")
 def o_ps_05_participation(spark, sf):
     s = spikes(spark, sf)
-    e = s.filter("ch = 'purchase' AND unit % 5 = 0").select(F.col("id").alias("event"), F.col("t").alias("start"), (F.col("t") + 6 * HOUR).alias("stop"))
+    e = s.filter("ch = 'purchase'").select(F.col("id").alias("event"), F.col("t").alias("start"), (F.col("t") + 6 * HOUR).alias("stop"))
     return un.participation(s, e, "t", 6 * HOUR, HOUR * 1.0).select("unit", *[R6(c).alias(c) for c in ("participation", "spikes_per_event", "rate_inside")])
 
 
