@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import matching as mt
 from ..operators import units as un
 from ..session import table
-from .registry import HOUR, query, spikes
-from .signal_queries import HOURS, contacts, hourly
+from .registry import query, spikes
+from .signal_queries import BASE, HOURS, contacts, hourly, with_hours
 from .sorting_queries import vectors, waves
 from .stat_queries import R6
-from .unit_queries import BIN, BINS, CENTRES, FAR, NEAR, templates, trains
+from .unit_queries import BIN, BINS, CCG, CENTRES, FAR, METRICS, NEAR, SIMILAR, templates, trains
 
 
 @query()
@@ -32,14 +32,14 @@ def o_ccg_07_fit_acg(spark, sf):
     return mt.fit_acg(acg, ["unit"], 1.0).select("unit", F.round("tau_decay", 3).alias("tau_decay"), F.round("tau_rise", 3).alias("tau_rise"), F.round("r2", 3).alias("r2"))
 
 
-@query()
+@query("WITH {spikes}, " + CCG + METRICS + ", " + SIMILAR + " SELECT unit, other, round(similarity, 4) AS similarity, round(r, 6) AS r, round(q, 4) AS q FROM sim JOIN met USING (unit, other) WHERE r < 0.5 AND q < 0.5")
 def o_srt_15_merge_candidates(spark, sf):
     return mt.merge_candidates(trains(spark, sf), templates(spark, sf), "t", "wave", -1.0, BIN, BINS, FAR, NEAR, CENTRES, 0.5, 0.5).select("unit", "other", F.round("similarity", 4).alias("similarity"), R6("r").alias("r"), F.round("q", 4).alias("q"))
 
 
-@query("WITH {spikes}, " + HOURS + ", pk AS (SELECT DISTINCT t // 3600000000 - 473352 AS p, id FROM spikes WHERE ch = 'purchase'), m AS (SELECT ch, avg(v) AS mean FROM sm JOIN pk ON s BETWEEN p - 2 AND p + 2 GROUP BY ch), c AS (SELECT m.*, CASE ch WHEN 'click' THEN 0.0 WHEN 'error' THEN 20.0 WHEN 'purchase' THEN 40.0 WHEN 'view' THEN 60.0 ELSE 80.0 END AS y FROM m) SELECT ch, y::DOUBLE AS y, round(mean, 6) AS mean, sign(mean) <> sign(first_value(mean) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS deep FROM c")
+@query("WITH {spikes}, " + HOURS + ", pk AS (SELECT DISTINCT t // 3600000000 - " + BASE + " AS p, id FROM spikes WHERE ch = 'purchase'), m AS (SELECT ch, avg(v) AS mean FROM sm JOIN pk ON s BETWEEN p - 2 AND p + 2 GROUP BY ch), c AS (SELECT m.*, CASE ch WHEN 'click' THEN 0.0 WHEN 'error' THEN 20.0 WHEN 'purchase' THEN 40.0 WHEN 'view' THEN 60.0 ELSE 80.0 END AS y FROM m) SELECT ch, y::DOUBLE AS y, round(mean, 6) AS mean, sign(mean) <> sign(first_value(mean) OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS deep FROM c")
 def o_wv_06_depth_profile(spark, sf):
-    e = spikes(spark, sf).filter("ch = 'purchase'").select((F.floor(F.col("t") / HOUR) - 473352).alias("peak"))
+    e = with_hours(spark, sf).filter("ch = 'purchase'").select(F.col("hour").alias("peak"))
     c = contacts(spark, sf).withColumn("shank", F.lit(0))
     return mt.depth_profile(hourly(spark, sf), e, c, "s", "v", 2).select("ch", "y", R6("mean").alias("mean"), "deep")
 

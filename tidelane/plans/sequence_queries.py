@@ -84,13 +84,25 @@ def o_win_11_fill_states(spark, sf):
     return sq.fill_states(rows, ["unit"], "t", "state", DAY)
 
 
-@query()
+def _rewritten(passes):
+    """Common table expressions: each pass rewrites runs of a state that are too short, runs taken anew."""
+    out = ["w0 AS (SELECT unit, t, CAST(1 + id % 3 AS INT) AS state FROM spikes)"]
+    for i, (code, into, least) in enumerate(passes):
+        out.append(f"f{i} AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY unit ORDER BY t) THEN 0 ELSE 1 END AS fresh FROM w{i}), g{i} AS (SELECT *, sum(fresh) OVER (PARTITION BY unit ORDER BY t) AS run FROM f{i})")
+        out.append(f"w{i + 1} AS (SELECT unit, t, CASE WHEN state = {code} AND count(*) OVER (PARTITION BY unit, run) < {least} THEN {into} ELSE state END AS state FROM g{i})")
+    return ", ".join(out)
+
+
+@query("WITH {spikes}, " + _rewritten([(1, 2, 2), (3, 1, 2), (2, 3, 2)]) + " SELECT unit, t, CAST(state AS INT) AS state FROM w3")
 def o_win_12_minimum_durations(spark, sf):
     rows = spikes(spark, sf).select("unit", "t", (1 + F.col("id") % 3).cast("int").alias("state"))
     return sq.event_duration_states(rows, ["unit"], "t", "state", {1: 2, 2: 2, 3: 2}, [(1, 2), (3, 1), (2, 3)], DAY)
 
 
-@query()
+@query(f"""WITH RECURSIVE {{spikes}}, w AS (SELECT unit, t, ['WAKE', 'NREM', 'REM'][1 + id % 3] AS state FROM spikes), f AS (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY unit ORDER BY t) THEN 0 ELSE 1 END AS fresh FROM w), g AS (SELECT *, sum(fresh) OVER (PARTITION BY unit ORDER BY t) AS run FROM f),
+ r AS (SELECT unit, run AS i, any_value(state) AS state, min(t) AS start, max(t) AS stop FROM g GROUP BY 1, 2),
+ k AS (SELECT unit, i, state, start, stop, stop - start AS length FROM r WHERE i = 1 UNION ALL SELECT unit, i, new, start, stop, CASE WHEN new = before THEN length ELSE 0 END + stop - start FROM
+ (SELECT r.unit, r.i, r.start, r.stop, k.state AS before, k.length, CASE WHEN r.state = 'REM' AND k.state = 'WAKE' AND k.length > {6 * HOUR} THEN 'WAKE' ELSE r.state END AS new FROM k JOIN r ON r.unit = k.unit AND r.i = k.i + 1)) SELECT unit, state, start, stop FROM k""")
 def o_win_13_suppress_transitions(spark, sf):
     from ..operators.intervals import runs
 
@@ -98,7 +110,8 @@ def o_win_13_suppress_transitions(spark, sf):
     return sq.suppress_transitions(runs(rows, ["unit"], "t", "state", DAY).select("unit", "state", "start", "stop"), ["unit"], "WAKE", "REM", "WAKE", 6 * HOUR)
 
 
-@query()
+@query("""WITH RECURSIVE {spikes}, m AS (SELECT DISTINCT ch, t // 60000000 AS s FROM spikes), g AS (SELECT ch, s, s // 60 AS hour, s - row_number() OVER (PARTITION BY ch, s // 60 ORDER BY s) AS run, row_number() OVER (PARTITION BY ch, s // 60 ORDER BY s) AS i FROM m), sp AS (SELECT ch, min(s) AS start, max(s) AS stop FROM g GROUP BY ch, hour),
+ k AS (SELECT ch, min(start) AS t FROM sp GROUP BY ch UNION ALL SELECT k.ch, (SELECT min(greatest(sp.start, k.t + 31)) FROM sp WHERE sp.ch = k.ch AND sp.stop >= k.t + 31) FROM k WHERE k.t IS NOT NULL) SELECT ch, t FROM k WHERE t IS NOT NULL""")
 def o_win_14_dead_time(spark, sf):
     from ..operators.intervals import runs
 

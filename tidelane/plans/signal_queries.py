@@ -10,14 +10,25 @@ from ..operators.intervals import runs
 from .registry import HOUR, query, spikes
 from .stat_queries import R6
 
-HOURS = "hr AS (SELECT h, c, avg(v) AS m FROM (SELECT t // 3600000000 - 473352 AS h, ch AS c, v FROM spikes) GROUP BY 1, 2), sm AS (SELECT ch, s, coalesce(m, 0) AS v FROM (SELECT DISTINCT ch FROM spikes), range(720) r(s) LEFT JOIN hr ON c = ch AND h = s)"
+#: Hours are counted from the first day's midnight on, up to the last event.
+BASE = "(SELECT min(t) // 86400000000 * 24 FROM spikes)"
+HOURS = f"""hr AS (SELECT h, c, avg(v) AS m FROM (SELECT t // 3600000000 - {BASE} AS h, ch AS c, v FROM spikes) GROUP BY 1, 2), gr AS (SELECT ch, unnest(range(n)) AS s FROM (SELECT DISTINCT ch FROM spikes), (SELECT max(h) + 1 AS n FROM hr)),
+ sm AS (SELECT ch, s, coalesce(m, 0) AS v FROM gr LEFT JOIN hr ON c = ch AND h = s)"""
 
 
-def hourly(spark, sf):
-    """ch, s (hour of January 2024), v: dense; 0 where nothing happened."""
+def with_hours(spark, sf):
+    """spikes with `hour`, counted from the first day's midnight on."""
     s = spikes(spark, sf)
-    hours = s.groupBy("ch", (F.floor(F.col("t") / HOUR) - 473352).alias("s")).agg(F.avg("v").alias("v"))
-    grid = s.select("ch").distinct().withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
+    first = s.agg((F.floor(F.min("t") / (24 * HOUR)) * 24).alias("_first"))
+    return s.crossJoin(F.broadcast(first)).withColumn("hour", F.floor(F.col("t") / HOUR) - F.col("_first")).drop("_first")  # one row
+
+
+def hourly(spark, sf):
+    """ch, s (hour), v: dense; 0 where nothing happened."""
+    s = with_hours(spark, sf)
+    hours = s.groupBy("ch", F.col("hour").alias("s")).agg(F.avg("v").alias("v"))
+    last = s.agg(F.max("hour").alias("_last"))
+    grid = s.select("ch").distinct().crossJoin(F.broadcast(last)).select("ch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("s"))  # one row
     return grid.join(hours, ["ch", "s"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
@@ -45,7 +56,7 @@ def o_sig_01_local_reference(spark, sf):
 TAPS = sg.sinc_kernel(0.02, 0.2, 1.0, 24)
 
 
-@query("WITH {spikes}, " + HOURS + f", k AS (SELECT unnest(range(-24, 25)) AS d, unnest([{', '.join(repr(float(x)) for x in TAPS[::-1])}]) AS w) SELECT a.ch, a.s, round(sum(b.v * w), 6) AS v FROM sm a, k JOIN sm b ON b.ch = a.ch AND b.s = greatest(least(a.s + d, 719), 0) GROUP BY 1, 2")
+@query("WITH {spikes}, " + HOURS + f", k AS (SELECT unnest(range(-24, 25)) AS d, unnest([{', '.join(repr(float(x)) for x in TAPS[::-1])}]) AS w) SELECT a.ch, a.s, round(sum(b.v * w), 6) AS v FROM sm a, k JOIN sm b ON b.ch = a.ch AND b.s = greatest(least(a.s + d, (SELECT max(s) FROM sm)), 0) GROUP BY 1, 2")
 def o_sig_02_band_pass(spark, sf):
     return sg.filtered(hourly(spark, sf), ["ch"], "s", "v", 0.02, 0.2, 1.0, 24, 128).select("ch", "s", R6("v").alias("v"))
 
@@ -55,24 +66,37 @@ def o_sig_04_decimate(spark, sf):
     return sg.decimate(hourly(spark, sf), "s", 8)
 
 
-@query()
+def convolved(taps, name="fl"):
+    """A common table expression: sm under a kernel, its ends extended by their last value."""
+    reach = len(taps) // 2
+    return f", {name}_k AS (SELECT unnest(range(-{reach}, {reach + 1})) AS d, unnest([{', '.join(repr(float(x)) for x in taps[::-1])}]) AS w), {name} AS (SELECT a.ch, a.s, sum(b.v * w) AS v FROM sm a, {name}_k JOIN sm b ON b.ch = a.ch AND b.s = greatest(least(a.s + d, (SELECT max(s) FROM sm)), 0) GROUP BY 1, 2)"
+
+
+@query("WITH {spikes}, " + HOURS + convolved(sg.sinc_kernel(None, 0.1125, 1.0, 64)) + " SELECT ch, s // 4 AS s, round(v, 6) AS v FROM fl WHERE s % 4 = 0")
 def o_sig_06_lfp(spark, sf):
-    return sg.lfp(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.25)
+    return sg.lfp(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.25).select("ch", "s", R6("v").alias("v"))
+
+
+#: Magnitudes at 0.01 * k, between the two nearest of 256 bins, of whole windows of 72 hours under a Hamming taper.
+SPECTRA = """, wn AS (SELECT ch, s // 72 AS w, s % 72 AS i, v * (0.54 - 0.46 * cos(2 * pi() * (s % 72) / 71)) AS x FROM sm), fw AS (SELECT ch, w FROM wn GROUP BY 1, 2 HAVING count(*) = 72),
+ fq AS (SELECT k, 0.01 * k AS freq, CAST(floor(2.56 * k) AS BIGINT) AS b, 2.56 * k - floor(2.56 * k) AS part FROM range(1, 41) r(k)), nb AS (SELECT DISTINCT b + d AS b FROM fq, range(2) r(d)),
+ mg AS (SELECT ch, w, b, sqrt(sum(x * cos(2 * pi() * b * i / 256)) ** 2 + sum(x * sin(2 * pi() * b * i / 256)) ** 2) AS m FROM wn JOIN fw USING (ch, w), nb GROUP BY 1, 2, 3),
+ sg AS (SELECT lo.ch, lo.w AS win, k, freq, lo.m * (1 - part) + hi.m * part AS magnitude FROM fq JOIN mg lo ON lo.b = fq.b JOIN mg hi ON hi.b = fq.b + 1 AND hi.ch = lo.ch AND hi.w = lo.w)"""
 
 
 def spectra(spark, sf):
     return sg.spectrogram(hourly(spark, sf), ["ch"], "s", "v", 72, 1.0, [0.01 * k for k in range(1, 41)])
 
 
-@query()
+@query("WITH {spikes}, " + HOURS + SPECTRA + ' SELECT ch, win AS "window", round(freq, 6) AS freq, round(magnitude, 4) AS magnitude FROM sg')
 def o_sig_07_spectrogram(spark, sf):
-    return spectra(spark, sf)
+    return spectra(spark, sf).select("ch", "window", R6("freq").alias("freq"), F.round("magnitude", 4).alias("magnitude"))
 
 
-@query()
+@query("WITH {spikes}, " + HOURS + SPECTRA + ' SELECT ch, win AS "window", round(regr_slope(log10(magnitude), log10(freq)), 4) AS slope, round(regr_intercept(log10(magnitude), log10(freq)), 4) AS intercept FROM sg WHERE magnitude > 0 GROUP BY 1, 2')
 def o_sig_08_spectrum_slope(spark, sf):
     line, _ = sg.spectrum_slope(spectra(spark, sf), ["ch", "window"], "freq", "magnitude")
-    return line
+    return line.select("ch", "window", *[F.round(c, 4).alias(c) for c in ("slope", "intercept")])
 
 
 @query("WITH {spikes} SELECT unit, round(regr_slope(log10(v), log10(1 + id % 50)), 6) AS slope, round(regr_intercept(log10(v), log10(1 + id % 50)), 6) AS intercept FROM spikes WHERE v > 0 GROUP BY unit")
@@ -90,9 +114,9 @@ def o_sig_10_pairwise_correlation(spark, sf):
     return sg.pairwise_correlation(hourly(spark, sf), "s", "v", 24, ["click", "view", "error"]).withColumn("correlation", F.round("correlation", 5))
 
 
-@query()
+@query("WITH {spikes}, " + HOURS + convolved(sg.sinc_kernel(0.15, 0.45, 1.0, 64)) + ", " + CORR.replace("FROM sm a JOIN sm b", "FROM fl a JOIN fl b") + " SELECT w AS window, round(avg(CASE WHEN r IS NULL OR isnan(r) THEN 0 ELSE r END), 4) AS correlation FROM pr GROUP BY 1")
 def o_sig_11_emg(spark, sf):
-    return sg.emg(hourly(spark, sf), "s", "v", 1.0, 24, ["click", "view", "error"])
+    return sg.emg(hourly(spark, sf), "s", "v", 1.0, 24, ["click", "view", "error"]).withColumn("correlation", F.round("correlation", 4))
 
 
 @query("SELECT min(s_suppkey) AS ch FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0 GROUP BY n_regionkey")
@@ -103,15 +127,21 @@ def o_sig_12_emg_channels(spark, sf):
     return sg.emg_channels(c, "probe", c.filter("ch % 7 = 0"))
 
 
-@query()
+#: The analytic signal of N samples: the imaginary part by the discrete Hilbert kernel, which differs for even and odd N.
+PHASE = """, nn AS (SELECT count(DISTINCT s) AS n FROM sm), im AS (SELECT a.ch, a.s, any_value(a.v) AS re, sum(CASE WHEN (a.s - b.s) % 2 = 0 AND n % 2 = 0 OR a.s = b.s THEN 0
+ WHEN n % 2 = 0 THEN b.v * 2 / n / tan(pi() * (a.s - b.s) / n) ELSE b.v / n * (1 / tan(pi() * (a.s - b.s) / n) - cos(pi() * (a.s - b.s)) / sin(pi() * (a.s - b.s) / n)) END) AS im FROM sm a JOIN sm b USING (ch), nn GROUP BY 1, 2),
+ ph AS (SELECT ch, s, round(atan2(im, re), 5) AS v FROM im)"""
+
+
+@query("WITH {spikes}, " + HOURS + PHASE + " SELECT ch, s, v FROM ph")
 def o_sig_14_phase(spark, sf):
-    return sg.analytic_phase(hourly(spark, sf), ["ch"], "s", "v", 720, 128)
+    return sg.analytic_phase(hourly(spark, sf), ["ch"], "s", "v", 1024, 128).select("ch", "s", F.round("v", 5).alias("v"))
 
 
-@query()
+@query("WITH {spikes}, " + HOURS + PHASE + ", d AS (SELECT m.ch, m.s, b.v - a.v + pi() AS d FROM sm m JOIN ph a ON a.ch = m.ch AND a.s = m.s - 1 JOIN ph b ON b.ch = m.ch AND b.s = m.s + 1 WHERE m.v > 60) SELECT ch, s AS peak, round(abs(d - floor(d / (2 * pi())) * 2 * pi() - pi()) / 2 / (2 * pi()), 5) AS frequency FROM d")
 def o_sig_15_peak_frequency(spark, sf):
     events = hourly(spark, sf).filter("v > 60").select("ch", F.col("s").alias("peak"))
-    return sg.peak_frequency(o_sig_14_phase(spark, sf), events, "s", "v", 1.0)
+    return sg.peak_frequency(o_sig_14_phase(spark, sf), events, "s", "v", 1.0).select("ch", "peak", F.round("frequency", 5).alias("frequency"))
 
 
 @query("WITH {spikes}, " + HOURS + " SELECT a.ch, b.ch AS other, round(avg(a.v * b.v), 5) AS moment FROM sm a JOIN sm b ON a.s = b.s GROUP BY 1, 2")
@@ -208,10 +238,11 @@ def o_st_13_theta_epochs(spark, sf):
     return ss.theta_epochs(scored(spark, sf), "state", "theta", "emg", 20.0, 15.0).select("s", "code")
 
 
-@query()
+@query("WITH {spikes}, " + HOURS + SPECTRA + """, lg AS (SELECT ch, win, freq, log10(magnitude) AS p, row_number() OVER (PARTITION BY ch, win ORDER BY freq) AS r FROM sg WHERE magnitude > 0), rs AS (SELECT a.ch, a.win, a.freq, any_value(a.p) - median(b.p) AS x FROM lg a JOIN lg b ON a.ch = b.ch AND a.win = b.win AND abs(a.r - b.r) BETWEEN 1 AND 2 GROUP BY 1, 2, 3)
+ SELECT ch, win AS "window", round(max(x) FILTER (freq BETWEEN 0.0499999 AND 0.1000001), 4) AS peak, round(sum(greatest(x, 0)) FILTER (freq BETWEEN 0.0499999 AND 0.1000001) / nullif(sum(greatest(x, 0)), 0), 4) AS share FROM rs GROUP BY 1, 2""")
 def o_st_02_theta_score(spark, sf):
     _, flat = sg.spectrum_slope(spectra(spark, sf), ["ch", "window"], "freq", "magnitude")
-    return ss.theta_score(flat, ["ch", "window"], "freq", "residual", 0.05, 0.1)
+    return ss.theta_score(flat, ["ch", "window"], "freq", "residual", 0.0499999, 0.1000001).select("ch", "window", F.round("peak", 4).alias("peak"), F.round("share", 4).alias("share"))
 
 
 @query()

@@ -11,7 +11,7 @@ from ..operators import waveforms as wv
 from ..operators.ordered import checkpointed
 from ..session import table
 from .registry import CHANNELS_SQL, DAY, HOUR, channels, query, spikes
-from .signal_queries import HOURS, contacts, hourly
+from .signal_queries import BASE, HOURS, contacts, hourly, with_hours
 from .stat_queries import R6
 
 
@@ -22,11 +22,11 @@ def vectors(spark, sf, size=6):
 
 # ---- waveforms
 
-WAVES = "wf AS (SELECT p.unit, sm.ch, sm.s - p.s AS lag, avg(sm.v) AS mean, stddev_samp(sm.v) AS deviation, count(*) AS n FROM (SELECT unit, t // 3600000000 - 473352 AS s FROM spikes) p JOIN sm ON sm.s BETWEEN p.s - 4 AND p.s + 6 GROUP BY 1, 2, 3)"
+WAVES = "wf AS (SELECT p.unit, sm.ch, sm.s - p.s AS lag, avg(sm.v) AS mean, stddev_samp(sm.v) AS deviation, count(*) AS n FROM (SELECT unit, t // 3600000000 - " + BASE + " AS s FROM spikes) p JOIN sm ON sm.s BETWEEN p.s - 4 AND p.s + 6 GROUP BY 1, 2, 3)"
 
 
 def waves(spark, sf):
-    s = spikes(spark, sf).select("unit", (F.floor(F.col("t") / HOUR) - 473352).alias("s"))
+    s = with_hours(spark, sf).select("unit", F.col("hour").alias("s"))
     return wv.mean_waveforms(hourly(spark, sf), s, "s", "v", 4, 6)
 
 

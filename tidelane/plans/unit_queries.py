@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -91,13 +92,16 @@ def o_ccg_11_baseline(spark, sf):
     return excess(spark, sf).select("unit", "other", "bin", "n", R6("baseline").alias("baseline"))
 
 
-@query()
+BASELINE = f", w AS (SELECT unnest(range(-6, 7)) AS d, unnest([{KERNEL}]) AS w), bl AS (SELECT a.unit, a.other, a.bin, a.n, sum(b.n * w) / sum(w) AS baseline FROM ccg a JOIN ccg b ON a.unit = b.unit AND a.other = b.other JOIN w ON b.bin - a.bin = d WHERE a.unit <> a.other GROUP BY 1, 2, 3, 4), ex AS (SELECT *, n > baseline + {NormalDist().inv_cdf(1 - 0.05 / (2 * BINS + 1))!r} * sqrt(baseline) AS excess FROM bl)"
+
+
+@query("WITH {spikes}, " + CCG + BASELINE + " SELECT DISTINCT unit AS pre, other AS post FROM ex WHERE excess AND bin BETWEEN 1 AND 3")
 def o_ccg_10_connections(spark, sf):
     hit = excess(spark, sf).filter("excess AND bin BETWEEN 1 AND 3").select(F.col("unit").alias("pre"), F.col("other").alias("post")).distinct()
     return hit
 
 
-@query()
+@query("WITH {spikes}, " + CCG + BASELINE + ", z AS (SELECT unit, count(*) AS total FROM spikes GROUP BY 1) SELECT unit, other, round(sum(CASE WHEN excess THEN greatest(n - baseline, 0) ELSE 0 END) / any_value(total), 6) AS probability FROM ex JOIN z USING (unit) GROUP BY 1, 2")
 def o_ccg_11_transmission(spark, sf):
     return un.transmission(excess(spark, sf), trains(spark, sf), ["unit", "other"]).withColumn("probability", R6("probability"))
 
@@ -255,8 +259,8 @@ def o_cl_04_cutoff(spark, sf):
     return un.lowest_clean_cutoff(spikes(spark, sf).select("unit", "t", "v"), ["unit"], "t", "v", [0, 5, 10, 20, 40], 2 * HOUR, 0.08)
 
 
-SIMILAR = """tp AS (SELECT label AS unit, list_transform(range(1, 17), lambda i: i) AS ix FROM embeddings GROUP BY label), me AS (SELECT label AS unit, i, avg(embedding[i]) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
- sim AS (SELECT a.unit, b.unit AS other, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS similarity FROM me a JOIN me b ON a.i = b.i AND a.unit < b.unit GROUP BY 1, 2)"""
+SIMILAR = """tp AS (SELECT label AS unit, list_transform(range(1, 17), lambda i: i) AS ix FROM embeddings GROUP BY label), tm AS (SELECT label AS unit, i, avg(embedding[i]) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
+ sim AS (SELECT a.unit, b.unit AS other, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS similarity FROM tm a JOIN tm b ON a.i = b.i AND a.unit < b.unit GROUP BY 1, 2)"""
 
 
 def templates(spark, sf):
