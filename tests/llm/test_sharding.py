@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidelane.llm import sharding
@@ -39,6 +40,17 @@ def test_hot_group_is_cut_only_where_needed(spark):
     assert sum(len(p) > 1 for p in places.values()) <= 3
 
 
+def test_a_hot_text_gets_its_share_of_parts(spark):
+    rows = [(i, "hot text") for i in range(6000)] + [(10_000 + i, f"text {i}") for i in range(6000)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("shiftleft(shiftrightunsigned(xxhash64(7, text), 33), 32) + shiftrightunsigned(xxhash64(11, doc_id, text), 32) AS key", "24L AS size")
+    cuts = sharding.splitters(keyed, 3)
+    bounds, n = sharding.part_bounds(keyed, cuts)
+    assert n.sum() == 12_000 and n.max() <= 2 * 12_000 // 3 // sharding.PARTS and set(cuts.tolist()) <= set(bounds.tolist())
+    same = keyed.limit(1).crossJoin(spark.range(500)).select("key", "size")
+    bounds, n = sharding.part_bounds(same, np.zeros(0, dtype=np.int64))
+    assert n.max() == n.sum() == 500
+
+
 def test_few_rows(spark):
     rows = [(1, "a"), (1, "a"), (2, None)]
     verify(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())

@@ -26,8 +26,9 @@ TOLERANCE = 0.001
 TOGETHER = 0.01
 #: New probes for each open boundary in a round.
 PROBES = 64
-#: Parts of a shard in which rows are numbered independently.
+#: Rows are numbered independently in parts of a shard: this many a shard at least, and more where a part would hold more than PART_ROWS rows.
 PARTS = 64
+PART_ROWS = 1_000_000
 _TOP = 1 << 63
 
 
@@ -85,10 +86,29 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     return np.minimum(np.maximum.accumulate(np.array(cuts, dtype=np.uint64)), np.uint64(_TOP - 1)).astype(np.int64)
 
 
-def _deal(batches, bounds, base, parts: int) -> Iterator[pa.RecordBatch]:
+def part_bounds(rows: DataFrame, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the parts of all shards, cuts among them, and rows of each part.
+
+    A part with more than twice the rows of an even part is divided again, until it holds one key only: a text with a third of all
+    rows gets its share of parts.
+    """
+    ends = [0, *cuts.tolist(), _TOP]
+    bounds = sorted({a + (b - a) * j // PARTS for a, b in zip(ends[:-1], ends[1:], strict=True) for j in range(PARTS)} - {0})
+    while True:
+        _, n = _histogram(rows, np.array(bounds, dtype=np.int64))
+        even = min(max(int(n.sum()) // (len(cuts) + 1) // PARTS, 1), PART_ROWS)
+        edges = [0, *bounds, _TOP]
+        heavy = [i for i in np.flatnonzero(n > 2 * even).tolist() if edges[i + 1] - edges[i] > 1]
+        more = {edges[i] + (edges[i + 1] - edges[i]) * j // PROBES for i in heavy for j in range(1, PROBES)} - {edges[i] for i in heavy}
+        if not more:
+            return np.array(bounds, dtype=np.int64), n
+        bounds = sorted({*bounds, *more})
+
+
+def _deal(batches, bounds, base, shard) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = np.searchsorted(bounds.value, batch.column("key").to_numpy(), side="right")
-        cells = [*batch.columns, pa.array((at // parts).astype(np.int32)), pa.array(at), pa.array(base.value[at])]
+        cells = [*batch.columns, pa.array(shard.value[at]), pa.array(at), pa.array(base.value[at])]
         yield pa.RecordBatch.from_arrays(cells, [*batch.schema.names, "shard", "_part", "_base"])
 
 
@@ -112,14 +132,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
     rows = stage.write(rows, "rows")
     cuts = splitters(rows, shards)
-    # equal parts of each shard's range of keys; their counts give every part's first slot
-    ends = [0, *cuts.tolist(), _TOP - 1]
-    bounds = np.array([a + (b - a) * j // PARTS for a, b in zip(ends[:-1], ends[1:], strict=True) for j in range(PARTS)][1:], dtype=np.int64)
-    _, n = _histogram(rows, bounds)
-    n = n.reshape(shards, PARTS)
-    base = (np.cumsum(n, axis=1) - n).ravel()
+    # the parts' counts give every part's first slot
+    bounds, n = part_bounds(rows, cuts)
+    of = np.searchsorted(cuts, np.append(0, bounds), side="right")
+    before = np.cumsum(n) - n
+    base = before - before[np.searchsorted(of, of)]
     context = docs.sparkSession.sparkContext
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    dealt = rows.mapInArrow(partial(_deal, bounds=context.broadcast(bounds), base=context.broadcast(base), parts=PARTS), schema + ", shard int, _part long, _base long")
+    dealt = rows.mapInArrow(partial(_deal, bounds=context.broadcast(bounds), base=context.broadcast(base), shard=context.broadcast(of.astype(np.int32))), schema + ", shard int, _part long, _base long")
     slot = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("key", "doc_id")) - 1 + F.col("_base")
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
