@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, Stage, arrow_limits, lean
+from .common import Stage, arrow_limits, lean
 
 CAPACITY = 4096
 #: Ends each document.
 END_ID = 1
+#: Pieces of one length that are ranked together.
+RANKED = 100_000
 #: Words of each of the two generations in a worker's cache.
 WORDS = 400_000
 
@@ -220,12 +222,14 @@ def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY) -> DataFrame:
     interchangeable, so null or repeated ids need no care. An empty table gives an empty one.
     """
     parts = stage.write(parts, "parts")
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = stage.write(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts", few=True)  # at most capacity x SALTS rows
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
+    histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
     if any(not 1 <= s <= capacity for s in histogram):
         raise ValueError("a length is out of range")
     runs = parts.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
+    # rows of one length are ranked in groups of about RANKED rows
+    groups = F.broadcast(parts.sparkSession.createDataFrame([(s, -(-n // RANKED)) for s, n in histogram.items()], "length long, _groups long"))  # at most capacity rows
+    salted = parts.join(groups, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_groups"))).drop("_groups")
+    counts = stage.write(salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "counts", few=True)
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("rank", (F.col("rank") + F.col("_before")).cast("long"))
