@@ -9,7 +9,7 @@ from test_packing import best_fit_decreasing
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidelane.llm import quality  # noqa: E402
+from tidelane.llm import exact_dedup, quality  # noqa: E402
 from tidelane.llm.queries import tokenizer_path  # noqa: E402
 
 
@@ -58,6 +58,14 @@ def test_against_brute_force(spark, sf):
     assert len(placed) <= best_fit_decreasing(Counter(r.length for r in got), 4096)
 
 
+def test_tables_of_other_queries_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = exact_dedup.refine(docs, digest_all=True)
+    first = pipeline.run(spark, "/root/testdata/sf0.001")
+    n = first.count()
+    assert before.count() == docs.count() and pipeline.run(spark, "/root/testdata/sf0.001").count() == n == first.count()
+
+
 def test_stages_keep_the_columns_and_handle_odd_rows(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -32,8 +33,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Stages of this Python process that still hold tables.
+#: Stages of this Python process that still hold tables, and lists that also note new ones.
 _LIVE: list[Stage] = []
+_NOTED: list[list[Stage]] = []
+
+
+@contextlib.contextmanager
+def noted(into: list[Stage]):
+    """Adds every stage that is made inside to the list: its owner closes them once it has written what reads them."""
+    _NOTED.append(into)
+    try:
+        yield
+    finally:
+        _NOTED.remove(into)
 
 
 class Stage:
@@ -41,7 +53,8 @@ class Stage:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidelane-{uuid.uuid4().hex}"
-        _LIVE.append(self)
+        for held in (_LIVE, *_NOTED):
+            held.append(self)
 
     def write(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
         """df as a table. few: in no more files than two for each core of the cluster, for narrow results of a shuffle with many small partitions; tasks then read several of them one after the other."""
@@ -67,15 +80,12 @@ class Stage:
             pass
 
 
-def sweep(*keep: Stage) -> None:
-    """Deletes the tables of all stages but `keep`: for a driver that has written every result which it still needs."""
-    for stage in [x for x in _LIVE if x not in keep]:
+@atexit.register
+def _close_all() -> None:
+    for stage in list(_LIVE):
         stage.close()
 
 
-atexit.register(sweep)
-
-
 def trim() -> None:
     """Gives freed memory back to the system: Python workers live on after a task."""
     import pyarrow as pa
