@@ -30,10 +30,12 @@ def test_planted_templates_are_found_once(scene, chunk):
     assert all(abs(g[2] - p[2]) < 0.15 for g, p in zip(got, sorted(planted)))
 
 
-def test_seeds_are_far_apart(spark):
-    df = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in enumerate([0, 1, 10, 11, 30])], "id long, x array<double>")
-    assert mt.seeds(df, "id", "x", 3) == [0, 4, 3]
-    assert mt.seeds(spark.createDataFrame([(1, [0.0]), (2, [0.0])], "id long, x array<double>"), "id", "x", 2) == [1]
+def test_seeds_explain_most(spark):
+    df = spark.createDataFrame([(i, [float(x), 1.0]) for i, x in enumerate([10, 10.1, -10, -10.1, 0.1, 0, 30])], "id long, x array<double>")
+    assert mt.seeds(df, "id", "x", 3)[0] == 6
+    found = mt.seeds(df, "id", "x", 3)
+    assert len({i // 2 for i in found[:3]} & {0, 1, 3}) == 3 and found == mt.seeds(df.repartition(3), "id", "x", 3)
+    assert len(mt.seeds(spark.createDataFrame([(1, [2.0]), (2, [2.0])], "id long, x array<double>"), "id", "x", 2)) == 1
 
 
 def test_acg_fit_recovers_the_decay(spark):

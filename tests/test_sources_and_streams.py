@@ -107,3 +107,17 @@ def test_windows_and_last_values(spark, tmp_path):
     assert {r.ch: r.last.value for r in last.collect()} == want
     s = collected(spark, se.session_counts(stream, "ts", ["ch"], "2 hours"), "append", "sess", tmp_path)
     assert s.count() > 0
+
+
+def test_windowed_reads_and_tasks(spark, tmp_path):
+    x = np.arange(9_000, dtype="<i2").reshape(-1, 3)
+    (tmp_path / "amplifier.dat").write_bytes(x.tobytes())
+    path = str(tmp_path / "amplifier.dat")
+    for start, stop in ((0, 3000), (950, 2105), (2999, None), (100, 100)):
+        got = rc.samples(rc.frames(spark, path, 3, block=100, start=start, stop=stop), 3, [2]).orderBy("s").collect()
+        assert [(r.s, r.v) for r in got] == [(s, float(x[s, 2])) for s in range(start, stop or 3000)]
+    reader = rc.FrameReader({"path": path, "size": "6", "block": "100", "total": "3000", "bytes": "1200"})
+    assert [(p.first, p.n) for p in reader.partitions()] == [(a, 200) for a in range(0, 3000, 200)]
+    (tmp_path / "empty.dat").write_bytes(b"")
+    with pytest.raises(ValueError):
+        rc.frames(spark, str(tmp_path / "empty.dat"), 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +52,31 @@ def chi2_cdf(x: float, k: int) -> float:
     return min(total, 1.0)
 
 
+def chi2_tail(x: np.ndarray, k: int) -> np.ndarray:
+    """The upper tail of the chi-square distribution with k degrees of freedom, by its finite sum."""
+    h = np.maximum(np.asarray(x, dtype=float), 0.0) / 2
+    if k % 2:
+        total = np.array([math.erfc(math.sqrt(v)) for v in h.ravel()]).reshape(h.shape)
+        term, first = np.exp(-h) * np.sqrt(h) / math.gamma(1.5), 1.5
+    else:
+        total, term, first = np.zeros_like(h), np.exp(-h), 1.0
+    for i in range(k // 2):
+        total = total + term
+        term = term * h / (first + i)
+    return np.clip(total, 0.0, 1.0)
+
+
+def chi2_inverse(p: float, k: int) -> float:
+    """The chi-square quantile, by halving."""
+    low, high = 0.0, 1.0
+    while chi2_cdf(high, k) < p:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, k) < p else (low, middle)
+    return (low + high) / 2
+
+
 def poisson_quantile(p: float, mean: float) -> int:
     """The least k with P(X <= k) >= p."""
     k, term = 0, math.exp(-mean)

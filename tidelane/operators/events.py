@@ -21,8 +21,12 @@ def digital_pulses(words: DataFrame, keys: list[str], t: str, word: str, n: int
     Edges are taken at the sample before a change and paired by position. If a bit's first edge is a fall, falls count as
     starts. A last start without an end has null stop.
     """
+    # only words that change are spread over their bits, and only over those that change
+    steps = previous(words.select(*keys, t, F.col(word).cast("long").alias("_w")), keys, t, [], {"_next": "_w"}, width, backward=True)
+    steps = steps.withColumn("_flip", F.col("_w").bitwiseXOR(F.col("_next")).bitwiseAND(F.lit((1 << n) - 1))).filter("_flip != 0")
+    steps = steps.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit("_flip", i) == 1)))
     keys = [*keys, "bit"]
-    found = edges(bits(words, word, n), keys, t, "on", width)
+    found = steps.select(*keys, t, F.when(F.getbit("_next", F.col("bit")) == 1, 1).otherwise(-1).alias("edge"))
     first = found.groupBy(*keys).agg(F.min_by("edge", t).alias("_first"))
     marked = found.join(first, keys).withColumn("_on", F.col("edge") == F.col("_first")).drop("_first")
     on = rank_of(marked.filter("_on").select(*keys, F.col(t).alias("start")), keys, "start", [], "n", width)

@@ -7,22 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import checkpointed
 from .signals import with_halo
 from .units import close_pairs, correlogram, correlogram_metrics, merge_groups, template_similarity
 
 
-def template_array(templates: DataFrame, channels: list, size: int, limit: int = 10_000) -> tuple[list, np.ndarray]:
-    """Units and their templates [unit, channel, lag] of a table unit, ch, lag (0 to size - 1), value: a bounded table, refused above `limit` units."""
-    rows = templates.select("unit", "ch", "lag", "value").collect()
-    units = sorted({r.unit for r in rows})
-    if len(units) > limit:
-        raise ValueError("too many templates")
-    out = np.zeros((len(units), len(channels), size))
-    at, ch = {u: i for i, u in enumerate(units)}, {c: i for i, c in enumerate(channels)}
-    for r in rows:
-        if r.ch in ch:
-            out[at[r.unit], ch[r.ch], r.lag] = r.value
-    return units, out
+def template_array(templates: DataFrame, channels: list, size: int) -> tuple[list, np.ndarray]:
+    """Units and their templates [unit, channel, lag] of a table unit, ch, lag (0 to size - 1), value: channels x size numbers a unit of one probe or partition."""
+    packed = templates.filter(F.col("ch").isin(channels)).groupBy("unit").agg(F.collect_list(F.struct("ch", "lag", "value")).alias("cells"))
+    alone = templates.select("unit").distinct().join(packed, "unit", "left").orderBy("unit")
+    units, arrays, ch = [], [], {c: i for i, c in enumerate(channels)}
+    for r in alone.toLocalIterator():
+        w = np.zeros((len(channels), size), dtype=np.float32)
+        for c in r.cells or []:
+            w[ch[c.ch], c.lag] = c.value
+        units.append(r.unit)
+        arrays.append(w)
+    return units, np.stack(arrays).astype(float) if arrays else np.zeros((0, len(channels), size))
 
 
 def matched(samples: DataFrame, templates: DataFrame, s: str, value: str, channels: list, size: int, threshold: float, chunk: int = 4096, peels: int = 1) -> DataFrame:
@@ -67,16 +68,53 @@ def matched(samples: DataFrame, templates: DataFrame, s: str, value: str, channe
     return rows.groupBy("chunk").applyInPandas(detect, f"unit {unit_kind}, s long, amplitude double")
 
 
-def seeds(points: DataFrame, point_id: str, vector: str, k: int) -> list[int]:
-    """O-SRT-11: ids of k starting centres: the first has the least id; each next one is the point farthest from those chosen (ties: the least id). One aggregate a centre, no sampling."""
-    chosen = [points.orderBy(point_id).limit(1).select(point_id, vector).first()]
+def seeds(points: DataFrame, point_id: str, vector: str, k: int, tries: int = 100, seed: int = 1) -> list[int]:
+    """O-SRT-11: ids of at most k centres. Each round draws `tries` points with chances in proportion to their unexplained energy |x|**2 - e (e: the best of
+    2 x.c - |c|**2 over the centres so far, 0 at least) and takes the one that explains most more over all points; ties go to the least id.
+
+    Chances come from hashes of id, round and seed (the least -log(u) / weight), so runs agree. A round is two passes that each return
+    a bounded number of rows from a task; it ends early when nothing is left to explain.
+    """
+    spark = points.sparkSession
+    rows = checkpointed(points.select(F.col(point_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL"))
+    chosen: list[tuple[int, list[float]]] = []
+
+    def explained(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return np.maximum((2 * x @ centres.T - (centres**2).sum(1)).max(axis=1, initial=0.0), 0.0)
+
     while len(chosen) < k:
-        gap = lambda c: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(v)) for v in c[1]]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        far = F.least(*[gap(c) for c in chosen], F.lit(float("inf")))
-        best = points.select(point_id, vector, F.round(far, 9).alias("_d")).agg(F.max_by(F.struct(point_id, vector, "_d"), F.struct("_d", -F.col(point_id))).alias("b")).first().b
-        if best is None or best["_d"] == 0:
+        shared = spark.sparkContext.broadcast(np.array([c[1] for c in chosen]))
+
+        def draw(batches, shared=shared):
+            best = pd.DataFrame({"id": [], "x": [], "key": []})
+            for pdf in batches:
+                x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+                left = np.round((x**2).sum(1) - (explained(x, shared.value) if len(shared.value) else 0.0), 9)
+                some = left > 0
+                own = pd.DataFrame({"id": pdf["id"][some], "x": pdf["x"][some], "key": pdf["u"][some] / left[some]})
+                best = pd.concat([best, own] if len(best) else [own]).nsmallest(tries, ["key", "id"])
+            yield best.astype({"id": "int64", "x": object, "key": "float64"})
+
+        u = (F.pmod(F.xxhash64("id", F.lit(len(chosen)), F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+        drawn = rows.withColumn("u", -F.log(u)).mapInPandas(draw, "id long, x array<double>, key double").orderBy("key", "id").limit(tries).collect()
+        if not drawn:
             break
-        chosen.append((best[point_id], best[vector]))
+        drawn.sort(key=lambda r: r.id)
+        candidates = spark.sparkContext.broadcast(np.array([r.x for r in drawn]))
+
+        def gain(batches, shared=shared, candidates=candidates):
+            total = np.zeros(len(candidates.value))
+            for pdf in batches:
+                x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+                now = explained(x, shared.value) if len(shared.value) else np.zeros(len(x))
+                total += np.maximum(2 * x @ candidates.value.T - (candidates.value**2).sum(1) - now[:, None], 0.0).sum(axis=0)
+            yield pd.DataFrame({"at": np.arange(len(total)), "gain": total})
+
+        gains = {r["at"]: r["g"] for r in rows.mapInPandas(gain, "at long, gain double").groupBy("at").agg(F.round(F.sum("gain"), 6).alias("g")).collect()}  # `tries` rows
+        best = min(gains, key=lambda i: (-gains[i], i))
+        if gains[best] <= 0:
+            break
+        chosen.append((drawn[best].id, drawn[best].x))
     return [c[0] for c in chosen]
 
 
@@ -127,10 +165,38 @@ def merge_candidates(spikes: DataFrame, templates: DataFrame, t: str, vector: st
     return alike.join(scored, ["unit", "other"]).filter(F.coalesce((F.col("r") < r_limit) & (F.col("q") < q_limit), F.lit(False)))
 
 
-def merged_units(spikes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """spikes with their unit replaced by the least unit of its merge group."""
-    groups = merge_groups(candidates.select("unit", "other"))
-    return spikes.join(groups.select(F.col("node").alias("unit"), F.col("group").alias("_g")), "unit", "left").withColumn("unit", F.coalesce("_g", "unit")).drop("_g")
+def template_shifts(templates: DataFrame, pairs: DataFrame, reach: int) -> DataFrame:
+    """O-SRT-15: unit, other, shift (samples that other's template lies later, up to reach), similarity: the greatest cosine over shifts of two templates (unit, ch, lag, value); ties go to the smallest shift in size."""
+    norm = templates.groupBy("unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n"))
+    a = pairs.join(templates, "unit").select("unit", "other", "ch", "lag", F.col("value").alias("_v"))
+    b = pairs.join(templates.withColumnRenamed("unit", "other"), "other").withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).select("unit", "other", "ch", (F.col("lag") - F.col("shift")).alias("lag"), "shift", F.col("value").alias("_w"))
+    score = a.join(b, ["unit", "other", "ch", "lag"]).groupBy("unit", "other", "shift").agg(F.sum(F.col("_v") * F.col("_w")).alias("_s"))
+    best = score.groupBy("unit", "other").agg(F.max_by(F.struct("shift", "_s"), F.struct(F.round("_s", 9), -F.abs("shift"), -F.col("shift"))).alias("_b"))
+    sized = best.join(norm, "unit").join(norm.select(F.col("unit").alias("other"), F.col("_n").alias("_m")), "other")
+    return sized.select("unit", "other", F.col("_b.shift").alias("shift"), (F.col("_b._s") / ((F.col("_n") + 1e-6) * (F.col("_m") + 1e-6))).alias("similarity"))
+
+
+def merged_units(spikes: DataFrame, candidates: DataFrame, t: str | None = None, shifts: DataFrame | None = None) -> DataFrame:
+    """O-SRT-15, O-CL-06: spikes with their unit replaced by the least unit of its merge group. With shifts (unit, other, shift) times move so that the templates
+    of the group lie over that of its least unit; a member without a shift of its own to the least unit stays where it is.
+    """
+    groups = merge_groups(candidates.select("unit", "other")).select(F.col("node").alias("unit"), F.col("group").alias("_g"))
+    out = spikes.join(groups, "unit", "left")
+    if shifts is not None:
+        moves = shifts.select(F.col("unit").alias("_g"), F.col("other").alias("unit"), F.col("shift").alias("_d"))
+        out = out.join(moves, ["_g", "unit"], "left").withColumn(t, F.col(t) - F.coalesce("_d", F.lit(0))).drop("_d")
+    return out.withColumn("unit", F.coalesce("_g", "unit")).drop("_g")
+
+
+def merged_templates(templates: DataFrame, spikes: DataFrame, candidates: DataFrame, shifts: DataFrame) -> DataFrame:
+    """O-SRT-15: unit, ch, lag, value: the templates of each merge group, shifted over that of its least unit, as a mean weighted by spikes."""
+    n = spikes.groupBy("unit").agg(F.count(F.lit(1)).alias("_k"))
+    groups = merge_groups(candidates.select("unit", "other")).select(F.col("node").alias("unit"), F.col("group").alias("_g"))
+    weight = n.join(groups, "unit", "left").select(F.coalesce("_g", "unit").alias("_g"), "unit", "_k")
+    moves = shifts.select(F.col("unit").alias("_g"), F.col("other").alias("unit"), F.col("shift").alias("_d"))
+    own = templates.join(weight, "unit").join(moves, ["_g", "unit"], "left").withColumn("lag", F.col("lag") - F.coalesce("_d", F.lit(0)))
+    total = weight.groupBy("_g").agg(F.sum("_k").alias("_t"))
+    return own.groupBy("_g", "ch", "lag").agg(F.sum(F.col("value") * F.col("_k")).alias("_v")).join(total, "_g").select(F.col("_g").alias("unit"), "ch", "lag", (F.col("_v") / F.col("_t")).alias("value"))
 
 
 def contamination_matrix(spikes: DataFrame, t: str, bin_width, n_bins: int, far: tuple[int, int], near: tuple[int, int], centres: int) -> DataFrame:

@@ -55,11 +55,14 @@ def fill_gaps(samples: DataFrame, keys: list[str], t: str, value: str, max_gap,
     return rows.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("_hi.t") - F.col("_lo.t") <= max_gap, line)).drop("_lo", "_hi")
 
 
-def _around(samples: DataFrame, keys: list[str], t: str, value: str, back: int, ahead: int, width) -> DataFrame:
-    """samples with _sum and _n of the known values from `back` rows before to `ahead` rows after each: rows are numbered in two levels and added up by number, so no key is sorted whole."""
-    rows = checkpointed(rank_of(samples, keys, t, [], "_i", width))
-    spread = rows.select(*keys, value, F.explode(F.sequence(F.col("_i") - ahead, F.col("_i") + back)).alias("_i"))
-    return rows.join(spread.groupBy(*keys, "_i").agg(F.sum(value).alias("_sum"), F.count(value).alias("_n")), [*keys, "_i"]).drop("_i")
+def _around(samples: DataFrame, keys: list[str], t: str, value: str, back: int, ahead: int, width, chunk: int = 4096) -> DataFrame:
+    """samples with _sum and _n of the known values from `back` rows before to `ahead` rows after each: rows are numbered in two levels and added up in chunks of numbers with a halo, so no key is sorted whole and a row is copied for a neighbouring chunk at most."""
+    from .signals import with_halo
+
+    halo = max(back, ahead)
+    rows = with_halo(rank_of(samples, keys, t, [], "_i", width), "_i", max(chunk, halo), halo)
+    window = Window.partitionBy(*keys, "chunk").orderBy("_i").rangeBetween(-back, ahead)
+    return rows.withColumns({"_sum": F.sum(value).over(window), "_n": F.count(value).over(window)}).filter("core").drop("_i", "chunk", "core")
 
 
 def moving_average(samples: DataFrame, keys: list[str], t: str, value: str, n: int, out: str = "smooth", width=None) -> DataFrame:

@@ -111,15 +111,51 @@ def spectrum_slope(spectra: DataFrame, keys: list[str], freq: str, power: str, r
     return line, flat.drop("_a", "_f", "_p")
 
 
+def gram(samples: DataFrame, s: str, value: str, keys: list[Column], block: int = 1024, channels: list | None = None) -> DataFrame:
+    """keys, ch, other, n, xy, x, y, xx, yy: sums over the samples that both channels have, of every pair of channels (ch < other, and each with itself).
+
+    Samples meet in blocks of `block` sample numbers; a block is one matrix product and gives one row a pair, so no sample is ever
+    multiplied by its pairs in an exchange. keys are expressions of the sample number that are constant within a block.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    rows = samples if channels is None else samples.filter(F.col("ch").isin(channels))
+    rows = rows.select(*named, F.floor(F.col(s) / block).alias("_b"), "ch", F.col(s).alias("_s"), F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    heads = [f"_k{i}" for i in range(len(keys))]
+    schema = rows.select(*heads, "ch", F.col("ch").alias("other")).schema
+    for name in ("n", "xy", "x", "y", "xx", "yy"):
+        schema = schema.add(name, "double")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="_s", columns="ch", values="_v")
+        names = list(wide.columns)
+        there = wide.notna().to_numpy(dtype=float)
+        v = wide.fillna(0.0).to_numpy()
+        n, xy, x, xx = there.T @ there, v.T @ v, v.T @ there, (v * v).T @ there
+        i, j = np.triu_indices(len(names))
+        head = {k: [pdf[k].iloc[0]] * len(i) for k in heads}
+        return pd.DataFrame(head | {"ch": [names[k] for k in i], "other": [names[k] for k in j], "n": n[i, j], "xy": xy[i, j], "x": x[i, j], "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i]})
+
+    sums = rows.groupBy(*heads, "_b").applyInPandas(products, schema)
+    return sums.groupBy(*heads, "ch", "other").agg(*[F.sum(c).alias(c) for c in ("n", "xy", "x", "y", "xx", "yy")])
+
+
+def _correlation() -> Column:
+    """Pearson's r from gram()'s sums, null for a constant."""
+    n = F.col("n")
+    across = n * F.col("xy") - F.col("x") * F.col("y")
+    spread = lambda a, aa: F.greatest(n * F.col(aa) - F.col(a) * F.col(a), F.lit(0.0))
+    tiny = lambda a, aa: spread(a, aa) <= 1e-12 * n * F.col(aa)
+    return F.when(tiny("x", "xx") | tiny("y", "yy"), None).otherwise(across / F.sqrt(spread("x", "xx") * spread("y", "yy")))
+
+
 def pairwise_correlation(samples: DataFrame, s: str, value: str, window: int, channels: list) -> DataFrame:
     """O-SIG-10: window, correlation: mean over channel pairs of Pearson's r in each window; a flat pair counts as 0.
 
-    Sums of products are aggregated by window and pair; no window is collected.
+    A window is one block of gram(), or several if it is long.
     """
-    rows = samples.filter(F.col("ch").isin(channels)).select("ch", s, F.col(value).cast("double").alias("_v"))
-    pair = rows.join(rows.select(F.col("ch").alias("_ch"), s, F.col("_v").alias("_w")), s).filter(F.col("ch") < F.col("_ch"))
-    r = pair.groupBy(F.floor(F.col(s) / window).alias("window"), "ch", "_ch").agg(F.corr("_v", "_w").alias("_r"))
-    return r.groupBy("window").agg(F.avg(F.when(F.isnan("_r") | F.col("_r").isNull(), 0.0).otherwise(F.col("_r"))).alias("correlation"))
+    block = next(window // k for k in range(-(-window // 4096), window + 1) if window % k == 0)
+    sums = gram(samples, s, value, [F.floor(F.col(s) / window)], block, channels).filter("ch != other")
+    return sums.groupBy(F.col("_k0").alias("window")).agg(F.avg(F.coalesce(_correlation(), F.lit(0.0))).alias("correlation"))
 
 
 def emg(samples: DataFrame, s: str, value: str, rate: float, window: int, channels: list) -> DataFrame:
@@ -163,9 +199,9 @@ def peak_frequency(phases: DataFrame, events: DataFrame, s: str, phase: str, rat
 
 
 def channel_covariance(samples: DataFrame, s: str, value: str) -> DataFrame:
-    """O-AGG-18, O-SIG-18: ch, other, moment (mean product) of all channel pairs: sums combined on every task."""
-    rows = samples.select("ch", s, F.col(value).cast("double").alias("_v"))
-    return rows.join(rows.select(F.col("ch").alias("other"), s, F.col("_v").alias("_w")), s).groupBy("ch", "other").agg(F.avg(F.col("_v") * F.col("_w")).alias("moment"))
+    """O-AGG-18, O-SIG-18: ch, other, moment (mean product) of all channel pairs, both ways, from gram()'s sums."""
+    half = gram(samples, s, value, []).select("ch", "other", (F.col("xy") / F.col("n")).alias("moment")).filter("moment IS NOT NULL")
+    return half.union(half.filter("ch != other").select(F.col("other"), F.col("ch"), "moment"))
 
 
 def whitening_matrix(moments: DataFrame, eps: float = 1e-6) -> tuple[list, np.ndarray]:
@@ -180,11 +216,35 @@ def whitening_matrix(moments: DataFrame, eps: float = 1e-6) -> tuple[list, np.nd
     return names, u @ np.diag((d + eps) ** -0.5) @ u.T
 
 
-def whitened(samples: DataFrame, s: str, value: str, names: list, matrix: np.ndarray) -> DataFrame:
-    """O-SIG-16/18: samples times the matrix, as a join with its cells."""
-    spark = samples.sparkSession
-    cells = F.broadcast(spark.createDataFrame([(a, b, float(matrix[j, i])) for i, a in enumerate(names) for j, b in enumerate(names)], samples.select(F.col("ch"), F.col("ch").alias("_to")).schema.add("_w", "double")))
-    return samples.join(cells, "ch").groupBy(s, F.col("_to").alias("ch")).agg(F.sum(F.col(value) * F.col("_w")).alias(value)).select("ch", s, value)
+def whitened(samples: DataFrame, s: str, value: str, names: list, matrix: np.ndarray, block: int = 1024) -> DataFrame:
+    """O-SIG-16/18/19: samples times the matrix, a matrix product for each block of samples. A sample that lacks one of the channels counts 0 there."""
+    shared = samples.sparkSession.sparkContext.broadcast(matrix)  # channels squared numbers of one probe
+    rows = samples.filter(F.col("ch").isin(names)).select("ch", s, F.col(value).cast("double").alias(value), F.floor(F.col(s) / block).alias("_b"))
+    schema = rows.select("ch", s, value).schema
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index=s, columns="ch", values=value).reindex(columns=names).fillna(0.0)
+        out = wide.to_numpy() @ shared.value.T
+        return pd.DataFrame({"ch": names * len(wide), s: np.repeat(wide.index.to_numpy(), len(names)), value: out.ravel()})
+
+    return rows.groupBy("_b").applyInPandas(product, schema)
+
+
+def drift_corrected(samples: DataFrame, s: str, value: str, names: list, depths: list[float], shifts: DataFrame, batch: int, sigma: float) -> DataFrame:
+    """O-SIG-19: samples moved back by the depth shift of their batch (shifts: batch, shift), by drift_kernel() of the probe's channels; batches without one stay."""
+    rows = samples.filter(F.col("ch").isin(names)).select("ch", s, F.col(value).cast("double").alias(value), F.floor(F.col(s) / batch).alias("batch"), F.floor(F.col(s) / min(batch, 1024)).alias("_b"))
+    rows = rows.join(shifts.select("batch", F.col("shift").cast("double").alias("_shift")), "batch", "left")
+    schema = rows.select("ch", s, value).schema
+
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        shift = pdf["_shift"].iloc[0]
+        if pd.isna(shift) or shift == 0:
+            return pdf[["ch", s, value]]
+        wide = pdf.pivot(index=s, columns="ch", values=value).reindex(columns=names).fillna(0.0)
+        out = wide.to_numpy() @ drift_kernel(depths, float(shift), sigma).T
+        return pd.DataFrame({"ch": names * len(wide), s: np.repeat(wide.index.to_numpy(), len(names)), value: out.ravel()})
+
+    return rows.groupBy("batch", "_b").applyInPandas(move, schema)
 
 
 def drift_kernel(depths: list[float], shift: float, sigma: float) -> np.ndarray:
@@ -194,11 +254,12 @@ def drift_kernel(depths: list[float], shift: float, sigma: float) -> np.ndarray:
     return np.linalg.solve(k(y, y) + 0.01 * np.eye(len(y)), k(y, y + shift)).T
 
 
-def moving(samples: DataFrame, keys: list[str], s: str, value: str, reach: int, how: str) -> DataFrame:
-    """O-SIG-21: minimum, maximum or sum over 2 * reach + 1 samples around each."""
+def moving(samples: DataFrame, keys: list[str], s: str, value: str, reach: int, how: str, chunk: int = 4096) -> DataFrame:
+    """O-SIG-21: minimum, maximum or sum over the samples at most `reach` away in s, within chunks with a halo: each row is copied for a neighbouring chunk at most."""
     fn = {"min": F.min, "max": F.max, "sum": F.sum}[how]
-    spread = samples.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    return samples.join(spread.groupBy(*keys, (F.col(s) + F.col("_d")).alias(s)).agg(fn(value).alias(how)), [*keys, s])
+    rows = with_halo(samples, s, max(chunk, reach), reach)
+    window = Window.partitionBy(*keys, "chunk").orderBy(s).rangeBetween(-reach, reach)
+    return rows.withColumn(how, fn(value).over(window)).filter("core").drop("chunk", "core")
 
 
 def rms(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -207,10 +268,8 @@ def rms(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def channel_correlation(samples: DataFrame, s: str, value: str) -> DataFrame:
-    """O-SIG-22: ch, other, r of all channel pairs."""
-    rows = samples.select("ch", s, F.col(value).cast("double").alias("_v"))
-    pair = rows.join(rows.select(F.col("ch").alias("other"), s, F.col("_v").alias("_w")), s).filter("ch < other")
-    return pair.groupBy("ch", "other").agg(F.corr("_v", "_w").alias("r"))
+    """O-SIG-22: ch, other, r of all channel pairs, from gram()'s sums; null for a constant channel."""
+    return gram(samples, s, value, []).filter("ch != other").select("ch", "other", _correlation().alias("r"))
 
 
 def current_source_density(samples: DataFrame, keys: list[str], depth: str, s: str, value: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def drift_bins(spikes: DataFrame, t: str, depth: str, amplitude: str, batch, bin
 
 
 def drift_shifts(binned: DataFrame, reach: int) -> DataFrame:
-    """O-SRT-07/08: batch, shift (in depth bins, up to reach) with the greatest product sum against the mean over batches; ties go to the smallest shift."""
+    """O-SRT-27: batch, shift (in depth bins, up to reach) with the greatest product sum against the mean over batches, in one pass; ties go to the smallest shift. aligned_shifts() repeats it."""
     n = binned.select(F.count_distinct("batch").alias("_b"))
     mean = binned.groupBy("depth_bin", "amplitude_bin").agg(F.sum("weight").alias("_t")).crossJoin(F.broadcast(n)).withColumn("_t", F.col("_t") / F.col("_b")).drop("_b")  # n has one row
     moved = binned.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("depth_bin", F.col("depth_bin") + F.col("shift"))
@@ -44,6 +46,98 @@ def drift_shifts(binned: DataFrame, reach: int) -> DataFrame:
     return scored.groupBy("batch").agg(F.max_by("shift", F.struct(F.round("_s", 9), -F.abs("shift"), -F.col("shift"))).alias("shift"))
 
 
+def aligned_shifts(binned: DataFrame, depth_bins: int, amplitude_bins: int, blocks: int, rounds: int = 10, reach: int = 15, fine_reach: int = 5, smoothing: float = 0.5, first: int = 300) -> DataFrame:
+    """O-SRT-07/08: batch, block, shift: the vertical shift of each batch of drift_bins() in depth bins, for overlapping depth blocks.
+
+    Fingerprints lose their mean over depth. In each round but the last every batch rolls by the whole shift (up to reach) that fits the template
+    best, and the template becomes the mean of the rolled ones; the first is batch number min(first, half of them). Then each of the 2 * blocks - 1 half-overlapping
+    blocks of depth is fitted alone up to fine_reach, its scores smoothed over shifts, batches and blocks and read between bins in tenths.
+    A batch is one row of depth_bins x amplitude_bins numbers; templates of that size are all that comes to the driver.
+    """
+    spark = binned.sparkSession
+    kind = binned.schema["batch"].dataType.simpleString()
+    shape = (depth_bins, amplitude_bins)
+
+    def fingerprint(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = np.zeros(shape)
+        f[pdf["depth_bin"], pdf["amplitude_bin"]] = pdf["weight"]
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]], "f": [(f - f.mean(axis=0)).ravel()], "total": [0.0]})
+
+    schema = f"batch {kind}, f array<double>, total double"
+    prints = checkpointed(binned.groupBy("batch").applyInPandas(fingerprint, schema))
+    n = prints.count()
+    if not n:
+        return spark.createDataFrame([], f"batch {kind}, block int, shift double")
+    template = np.array(prints.orderBy("batch").offset(min(first, n // 2)).limit(1).first().f).reshape(shape)
+
+    def scores(f: np.ndarray, base: np.ndarray, most: int) -> np.ndarray:
+        return np.round([(np.roll(f, d, axis=0) * base).mean() for d in range(-most, most + 1)], 12)
+
+    def mean_of(frames: DataFrame) -> np.ndarray:
+        def add(batches):
+            total = np.zeros(depth_bins * amplitude_bins)
+            for pdf in batches:
+                if len(pdf):
+                    total += np.stack(pdf["f"].tolist()).sum(axis=0)
+            yield pd.DataFrame({"f": [total]})
+
+        return sum(np.array(r.f) for r in frames.select("f").mapInPandas(add, "f array<double>").toLocalIterator()).reshape(shape) / n
+
+    for _ in range(rounds - 1):
+        def align(batches, base=template):
+            for pdf in batches:
+                moved, totals = [], []
+                for f, total in zip(pdf["f"], pdf["total"], strict=True):
+                    f = np.asarray(f).reshape(shape)
+                    d = int(scores(f, base, reach).argmax()) - reach
+                    moved.append(np.roll(f, d, axis=0).ravel())
+                    totals.append(total + d)
+                yield pd.DataFrame({"batch": pdf["batch"], "f": moved, "total": totals})
+
+        prints = checkpointed(prints.mapInPandas(align, schema))
+        template = mean_of(prints)
+    size = depth_bins // blocks
+    starts = np.round(np.linspace(0, depth_bins - size, 2 * blocks - 1)).astype(int)
+    k = np.arange(-int(4 * smoothing + 0.5), int(4 * smoothing + 0.5) + 1)
+    kernel = np.exp(-0.5 * (k / smoothing) ** 2) / np.exp(-0.5 * (k / smoothing) ** 2).sum() if smoothing else np.ones(1)
+    k = k if smoothing else np.zeros(1, int)
+
+    def mirrored(i: np.ndarray, m: int) -> np.ndarray:
+        """Indices beyond the ends as reflected, the end itself repeated."""
+        i = np.mod(i, 2 * m)
+        return np.where(i < m, i, 2 * m - 1 - i)
+
+    def along(x: np.ndarray, axis: int) -> np.ndarray:
+        m = x.shape[axis]
+        return sum(w * np.take(x, mirrored(np.arange(m) + d, m), axis=axis) for w, d in zip(kernel, k, strict=True))
+
+    def fine(batches, base=template):
+        for pdf in batches:
+            rows = []
+            for f in pdf["f"]:
+                f = np.asarray(f).reshape(shape)
+                by = np.stack([scores(f[a : a + size], base[a : a + size], fine_reach) for a in starts], axis=1)
+                rows.append(along(along(by, 0), 1).ravel())
+            yield pd.DataFrame({"place": pdf["place"], "batch": pdf["batch"], "total": pdf["total"], "dc": rows})
+
+    order = F.row_number().over(Window.orderBy("batch")) - 1  # a row a batch of seconds, three numbers each
+    places = prints.select("batch").withColumn("place", order)
+    found = checkpointed(prints.join(places, "batch").mapInPandas(fine, f"place int, batch {kind}, total double, dc array<double>"))
+    copies = F.array(*[F.struct(F.lit(int(d)).alias("d"), F.lit(float(w)).alias("w")) for w, d in zip(kernel, k, strict=True)])
+    near = found.select("place", "batch", "total", F.explode(copies).alias("c"))
+    at = F.pmod(F.col("place") + F.col("c.d"), F.lit(2 * n))
+    near = near.withColumn("_at", F.when(at < n, at).otherwise(2 * n - 1 - at)).join(found.select(F.col("place").alias("_at"), "dc"), "_at").select("batch", "total", F.col("c.w").alias("w"), "dc")
+    offsets, tenths = np.arange(-fine_reach, fine_reach + 1), np.linspace(-fine_reach, fine_reach, 2 * fine_reach * 10 + 1)
+    between = np.exp(-((offsets[:, None] - tenths[None, :]) ** 2) / 2)
+
+    def read(pdf: pd.DataFrame) -> pd.DataFrame:
+        dc = sum(w * np.asarray(x) for w, x in zip(pdf["w"], pdf["dc"], strict=True)).reshape(len(offsets), len(starts))
+        best = np.round(between.T @ dc, 10).argmax(axis=0)
+        return pd.DataFrame({"batch": [pdf["batch"].iloc[0]] * len(starts), "block": np.arange(len(starts), dtype=np.int32), "shift": pdf["total"].iloc[0] + tenths[best]})
+
+    return near.groupBy("batch").applyInPandas(read, f"batch {kind}, block int, shift double")
+
+
 def scaled_log_amplitude(spikes: DataFrame, keys: list[str], amplitude: str, out: str = "log_amplitude") -> DataFrame:
     """O-SRT-09: z-scored (population) log10 amplitude by key; 0 for constants."""
     a = F.log10(F.greatest(amplitude, F.lit(1e-10)))

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import chi2_cdf
-from .ordered import range_join
+from ..functions.special import chi2_inverse, chi2_tail
+from .ordered import checkpointed, range_join
 
 
 def mean_waveforms(samples: DataFrame, spikes: DataFrame, s: str, value: str, before: int, after: int) -> DataFrame:
@@ -51,66 +51,182 @@ def waveform_metrics(waves: DataFrame, rate: float, upsample: int = 8) -> DataFr
 
 
 def moments(features: DataFrame, unit: str, vector: str, size: int) -> DataFrame:
-    """unit, n, mean (array), second (row-major array of mean products): one aggregate of size**2 sums a unit and task."""
-    x = F.col(vector).cast("array<double>")
-    pairs = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
-    cells = [F.avg(F.get(pairs, F.lit(i))).alias(f"s{i}") for i in range(size * size)]
-    means = [F.avg(F.get(x, F.lit(i))).alias(f"m{i}") for i in range(size)]
-    out = features.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), *means, *cells)
-    return out.select(unit, "n", F.array(*[f"m{i}" for i in range(size)]).alias("mean"), F.array(*[f"s{i}" for i in range(size * size)]).alias("second"))
-
-
-def inverse_covariances(found: DataFrame, unit: str, size: int, ridge: float = 1e-6, limit: int = 100_000) -> dict:
-    """(n, mean, inverse covariance) by unit on the driver: size**2 numbers a unit, refused above `limit` units."""
-    rows = found.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many units")
-    out = {}
-    for r in rows:
-        mean = np.array(r["mean"])
-        cov = (np.array(r["second"]).reshape(size, size) - np.outer(mean, mean)) * (r["n"] / max(r["n"] - 1, 1))
-        scale = np.trace(cov) / size or 1.0
-        out[r[unit]] = (r["n"], mean, np.linalg.inv(cov + ridge * scale * np.eye(size)))
-    return out
-
-
-def mahalanobis(features: DataFrame, row_id: str, unit: str, vector: str, size: int) -> DataFrame:
-    """row_id, unit, own, d2: squared distances of every row to every unit's distribution (own: its own unit). Units are a bounded table; rows are never paired with rows."""
-    models = features.sparkSession.sparkContext.broadcast(inverse_covariances(moments(features, unit, vector, size), unit, size))
+    """unit, n, mean (array), second (row-major array of mean products): every task adds up its rows' products by matrix products, so a unit and task exchange size**2 numbers."""
+    kind = features.schema[unit].dataType.simpleString()
+
+    def sums(batches):
+        held: dict = {}
+        for pdf in batches:
+            x = np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), size)
+            for u, at in pdf.groupby(unit, dropna=False).indices.items():
+                own = x[at]
+                n, m, q = held.get(u, (0, 0.0, 0.0))
+                held[u] = (n + len(own), m + own.sum(axis=0), q + own.T @ own)
+        yield pd.DataFrame({unit: list(held), "n": [v[0] for v in held.values()], "mean": [v[1] for v in held.values()], "second": [v[2].ravel() for v in held.values()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].sum())
+        return pd.DataFrame({unit: [pdf[unit].iloc[0]], "n": [n], "mean": [np.stack(pdf["mean"].tolist()).sum(axis=0) / n], "second": [np.stack(pdf["second"].tolist()).sum(axis=0) / n]})
+
+    schema = f"`{unit}` {kind}, n long, mean array<double>, second array<double>"
+    return features.select(unit, vector).filter(F.col(vector).isNotNull()).mapInPandas(sums, schema).groupBy(unit).applyInPandas(total, schema)
+
+
+def distance_models(found: DataFrame, unit: str, size: int, ridge: float = 1e-6) -> DataFrame:
+    """unit, n, mean, inverse: of moments() the inverse covariance after scaling each feature to a deviation of 1 and adding the ridge, scaled back."""
+    kind = found.schema[unit].dataType.simpleString()
+
+    def invert(batches):
+        for pdf in batches:
+            inverses = []
+            for n, mean, second in zip(pdf["n"], pdf["mean"], pdf["second"], strict=True):
+                cov = (np.asarray(second).reshape(size, size) - np.outer(mean, mean)) * (n / max(n - 1, 1))
+                scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+                scale[scale == 0] = 1.0
+                inverses.append((np.linalg.inv(cov / np.outer(scale, scale) + ridge * np.eye(size)) / np.outer(scale, scale)).ravel())
+            yield pd.DataFrame({unit: pdf[unit], "n": pdf["n"], "mean": pdf["mean"], "inverse": inverses})
+
+    return found.mapInPandas(invert, f"`{unit}` {kind}, n long, mean array<double>, inverse array<double>")
+
+
+def own_distances(features: DataFrame, row_id: str, unit: str, vector: str, size: int) -> DataFrame:
+    """row_id, unit, d2: the squared distance of each row to its own unit's distribution; rows meet their unit's model in a join of any size."""
+    models = distance_models(moments(features, unit, vector, size), unit, size).select(unit, F.col("mean").alias("_m"), F.col("inverse").alias("_i"))
     kind = features.schema[unit].dataType.simpleString()
 
     def distances(batches):
         for pdf in batches:
+            d2 = np.zeros(len(pdf))
             x = np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), size)
-            for u, (_, mean, inverse) in models.value.items():
-                y = x - mean
-                yield pd.DataFrame({row_id: pdf[row_id], "unit": u, "own": pdf[unit] == u, "d2": np.einsum("ij,jk,ik->i", y, inverse, y)})
-
-    return features.select(row_id, unit, vector).mapInPandas(distances, f"{row_id} long, unit {kind}, own boolean, d2 double")
-
-
-def isolation(distances: DataFrame, size: int) -> DataFrame:
-    """O-WV-04: unit, isolation (the n-th smallest distance of another unit's spikes, n the unit's own; null with fewer) and l_ratio (sum of chi-square tails over n)."""
-    tail = F.udf(lambda d: 1 - chi2_cdf(float(d), size), "double")
-    n = distances.filter("own").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    # tails beyond this distance don't count at double precision, so few rows reach Python
-    others = distances.filter("NOT own")
-    lratio = others.filter(F.col("d2") < 40.0 + 10 * size).select("unit", tail("d2").alias("_t")).groupBy("unit").agg(F.sum("_t").alias("_t"))
-    ranked = others.withColumn("_r", F.row_number().over(Window.partitionBy("unit").orderBy("d2")))
-    nth = ranked.join(n, "unit").filter(F.col("_r") == F.col("n")).select("unit", F.col("d2").alias("isolation"))
-    return n.join(nth, "unit", "left").join(lratio, "unit", "left").select("unit", "n", "isolation", (F.coalesce("_t", F.lit(0.0)) / F.col("n")).alias("l_ratio"))
-
-
-def outlier_split(features: DataFrame, row_id: str, unit: str, vector: str, size: int, share: float = 0.99, rescue_cosine: float = 0.9) -> DataFrame:
-    """O-CL-05: row_id, unit, outlier: rows beyond the unit's empirical quantile of Mahalanobis distance, unless nearly parallel to the unit's mean."""
-    own = mahalanobis(features, row_id, unit, vector, size).filter("own").select(row_id, "unit", "d2")
-    cut = own.groupBy("unit").agg(F.expr(f"percentile(d2, {share})").alias("_cut"))
-    mean = moments(features, unit, vector, size).select(F.col(unit).alias("unit"), F.col("mean").alias("_m"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    x = F.col(vector).cast("array<double>")
-    rows = features.select(row_id, F.col(unit).alias("unit"), x.alias("_x")).join(own, [row_id, "unit"]).join(cut, "unit").join(mean, "unit")
-    cosine = dot(F.col("_x"), F.col("_m")) / F.sqrt(dot(F.col("_x"), F.col("_x")) * dot(F.col("_m"), F.col("_m")))
-    return rows.select(row_id, "unit", ((F.col("d2") > F.col("_cut")) & ~F.coalesce(cosine >= rescue_cosine, F.lit(False))).alias("outlier"))
+            for at in pdf.groupby(unit).indices.values():
+                y = x[at] - np.asarray(pdf["_m"].iloc[at[0]])
+                d2[at] = np.einsum("ij,jk,ik->i", y, np.asarray(pdf["_i"].iloc[at[0]]).reshape(size, size), y)
+            yield pd.DataFrame({row_id: pdf[row_id], unit: pdf[unit], "d2": d2})
+
+    return features.select(row_id, unit, vector).join(models, unit).mapInPandas(distances, f"{row_id} long, `{unit}` {kind}, d2 double")
+
+
+#: Units whose models are sent out at a time, and bins of log2 distance (64 an octave) in the search for a unit's n-th distance.
+UNITS_AT_A_TIME = 512
+_OCTAVES, _FINE = (-40, 60), 64
+
+
+def _bins(d2: np.ndarray) -> np.ndarray:
+    return np.clip(((np.log2(np.maximum(d2, 1e-300)) - _OCTAVES[0]) * _FINE).astype(np.int64), 0, (_OCTAVES[1] - _OCTAVES[0]) * _FINE - 1)
+
+
+def isolation(features: DataFrame, unit: str, vector: str, size: int) -> DataFrame:
+    """O-WV-04: unit, n, isolation (the n-th smallest distance of another unit's rows, n the unit's own; null with fewer) and l_ratio (sum of chi-square tails over n).
+
+    Rows are compared with blocks of units, and what a task exchanges is a histogram of distances for each unit; a second pass
+    takes the distances of the one bin that holds the n-th, no more than are needed from each task. No pair of row and unit is ever exchanged.
+    """
+    spark = features.sparkSession
+    models = checkpointed(distance_models(moments(features, unit, vector, size), unit, size))
+    kind = features.schema[unit].dataType.simpleString()
+    rows = features.select(unit, vector).filter(F.col(vector).isNotNull())
+    out = None
+    held: list = []
+
+    def blocks():
+        for row in models.orderBy(unit).toLocalIterator():
+            held.append((row[unit], row["n"], np.array(row["mean"]), np.array(row["inverse"]).reshape(size, size)))
+            if len(held) == UNITS_AT_A_TIME:
+                yield list(held)
+                held.clear()
+        if held:
+            yield list(held)
+
+    def others(pdf: pd.DataFrame, model) -> np.ndarray:
+        x = np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), size)
+        y = x[(pdf[unit] != model[0]).to_numpy()] - model[2]
+        return np.einsum("ij,jk,ik->i", y, model[3], y)
+
+    for block in blocks():
+        shared = spark.sparkContext.broadcast(block)
+
+        def histogram(batches, shared=shared):
+            counts = np.zeros((len(shared.value), (_OCTAVES[1] - _OCTAVES[0]) * _FINE), dtype=np.int64)
+            tails = np.zeros(len(shared.value))
+            for pdf in batches:
+                for i, model in enumerate(shared.value):
+                    d2 = others(pdf, model)
+                    np.add.at(counts[i], _bins(d2), 1)
+                    tails[i] += chi2_tail(d2, size).sum()
+            at, bins = np.nonzero(counts)
+            names = [m[0] for m in shared.value]
+            yield pd.DataFrame({"unit": [names[i] for i in at] + names, "bin": np.append(bins, np.full(len(names), -1)), "n": np.append(counts[at, bins], np.zeros(len(names), np.int64)), "tail": np.append(np.zeros(len(at)), tails)})
+
+        found = checkpointed(rows.mapInPandas(histogram, f"unit {kind}, bin long, n long, tail double").groupBy("unit", "bin").agg(F.sum("n").alias("n"), F.sum("tail").alias("tail")))
+        own = spark.createDataFrame([(m[0], m[1]) for m in block], f"unit {kind}, own long")  # UNITS_AT_A_TIME rows
+        upto = F.sum("n").over(Window.partitionBy("unit").orderBy("bin"))  # a unit's bins: bounded
+        places = found.filter("bin >= 0").withColumn("_upto", upto).join(F.broadcast(own), "unit").filter("_upto >= own AND _upto - n < own").select("unit", "bin", (F.col("own") - F.col("_upto") + F.col("n")).alias("rank"))
+        wanted = {r["unit"]: (r["bin"], r["rank"]) for r in places.collect()}  # UNITS_AT_A_TIME rows at most
+        targets = spark.sparkContext.broadcast(wanted)
+
+        def nearest(batches, shared=shared, targets=targets):
+            best: dict = {}
+            for pdf in batches:
+                for model in shared.value:
+                    if model[0] in targets.value:
+                        place, rank = targets.value[model[0]]
+                        d2 = others(pdf, model)
+                        d2 = np.append(best.get(model[0], np.zeros(0)), d2[_bins(d2) == place])
+                        best[model[0]] = np.partition(d2, rank - 1)[:rank] if len(d2) > rank else d2
+            yield pd.DataFrame({"unit": [u for u, d in best.items() for _ in d], "d2": np.concatenate([*best.values(), np.zeros(0)])})
+
+        ranks = spark.createDataFrame([(u, r) for u, (_, r) in wanted.items()], f"unit {kind}, rank long")
+        ranked = rows.mapInPandas(nearest, f"unit {kind}, d2 double").withColumn("_r", F.row_number().over(Window.partitionBy("unit").orderBy("d2")))
+        nth = ranked.join(F.broadcast(ranks), "unit").filter("_r = rank").select("unit", F.col("d2").alias("isolation"))
+        tails = found.filter("bin = -1").select("unit", "tail")
+        part = checkpointed(own.join(nth, "unit", "left").join(tails, "unit", "left").select("unit", F.col("own").alias("n"), "isolation", (F.coalesce("tail", F.lit(0.0)) / F.col("own")).alias("l_ratio")))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], f"unit {kind}, n long, isolation double, l_ratio double") if out is None else out
+
+
+def outlier_split(
+    features: DataFrame, waves: DataFrame, row_id: str, unit: str, vector: str, size: int, contamination: float = 0.05, adaptive: bool = False, min_clean: float = 0.5, relax: float = 0.5,
+    rescue_cosine: float | None = 0.9, mad_scale: float = 3.0, min_rows: int = 10,
+) -> DataFrame:
+    """O-CL-05: row_id, unit, outlier, new_unit (dense numbers from 0; null for discarded rows).
+
+    A unit's outliers lie beyond the quantile 1 - contamination of its distances, or with `adaptive` beyond the chi-square quantile
+    scaled by the median distance over the chi-square median; if fewer than min_clean of the rows would stay, with contamination * relax. An
+    outlier is rescued if its demeaned wave (waves: row_id, wave, an array of one best channel) has at least that cosine with the mean wave of the others and its peak-to-peak
+    lies within mad_scale median deviations of their median. Units of fewer than min_rows rows are discarded; so are outliers of a unit that are fewer, others become a new unit after their own.
+    """
+    d = F.sqrt("d2")
+    own = checkpointed(own_distances(features, row_id, unit, vector, size).select(row_id, F.col(unit).alias("unit"), d.alias("d")))
+    both = [contamination, max(1e-4, contamination * relax)]
+    if adaptive:
+        mid = F.percentile("d", F.lit(0.5))
+        cuts = [(mid * float(np.sqrt(chi2_inverse(1 - c, size) / chi2_inverse(0.5, size)))).alias(f"_c{i}") for i, c in enumerate(both)]
+    else:
+        cuts = [F.percentile("d", F.lit(1 - c)).alias(f"_c{i}") for i, c in enumerate(both)]
+    limits = own.groupBy("unit").agg(F.count(F.lit(1)).alias("_n"), *cuts)
+    kept = own.join(limits, "unit").groupBy("unit").agg((F.count_if(F.col("d") <= F.col("_c0")) / F.count(F.lit(1))).alias("_clean"))
+    limits = limits.join(kept, "unit").select("unit", "_n", F.when(F.col("_clean") < min_clean, F.col("_c1")).otherwise(F.col("_c0")).alias("_cut"))
+    rows = own.join(limits, "unit").filter(F.col("_n") >= min_rows).withColumn("outlier", F.col("d") > F.col("_cut")).select(row_id, "unit", "outlier")
+    if rescue_cosine is not None:
+        wave = F.col("wave").cast("array<double>")
+        rows = rows.join(waves.select(row_id, wave.alias("_w"), (F.array_max(wave) - F.array_min(wave)).alias("_a")), row_id, "left")
+        clean = rows.filter(~F.col("outlier") & F.col("_w").isNotNull())
+        mean = clean.select("unit", F.posexplode("_w").alias("_p", "_x")).groupBy("unit", "_p").agg(F.avg("_x").alias("_x")).groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda v: v["_x"]).alias("_t"))
+        middle = clean.groupBy("unit").agg(F.median("_a").alias("_mid"), F.count(F.lit(1)).alias("_k"))
+        mad = clean.join(middle, "unit").groupBy("unit").agg(F.greatest(mad_scale * F.median(F.abs(F.col("_a") - F.col("_mid"))), F.lit(1e-6)).alias("_tol"))
+        rows = rows.join(mean, "unit", "left").join(middle, "unit", "left").join(mad, "unit", "left")
+        total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+        flat = lambda v: F.transform(v, lambda x: x - total(v) / F.size(v))
+        a, b = flat(F.col("_w")), flat(F.col("_t"))
+        product = lambda u, v: total(F.zip_with(u, v, lambda x, y: x * y))
+        cosine = product(a, b) / ((F.sqrt(product(a, a)) + 1e-12) * (F.sqrt(product(b, b)) + 1e-12))
+        saved = (F.col("_k") > 10) & (cosine >= rescue_cosine) & (F.abs(F.col("_a") - F.col("_mid")) <= F.col("_tol"))
+        rows = rows.withColumn("outlier", F.col("outlier") & ~F.coalesce(saved, F.lit(False))).select(row_id, "unit", "outlier")
+    rows = checkpointed(rows)
+    sizes = rows.groupBy("unit", "outlier").agg(F.count(F.lit(1)).alias("_n")).filter(~F.col("outlier") | (F.col("_n") >= min_rows))
+    number = sizes.groupBy(F.lit(0).alias("_all")).agg(F.array_sort(F.collect_list(F.struct("unit", "outlier"))).alias("_l")).select(F.posexplode("_l").alias("new_unit", "_g")).select("_g.*", "new_unit")  # two rows a unit
+    gone = features.select(row_id, F.col(unit).alias("unit")).join(rows.select(row_id), row_id, "left_anti").select(row_id, "unit", F.lit(False).alias("outlier"), F.lit(None).cast("int").alias("new_unit"))
+    return rows.join(number, ["unit", "outlier"], "left").select(row_id, "unit", "outlier", "new_unit").unionByName(gone)
 
 
 def principal_axes(features: DataFrame, vector: str, size: int, k: int) -> np.ndarray:

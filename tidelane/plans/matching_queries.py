@@ -9,11 +9,36 @@ from ..operators import units as un
 from ..session import table
 from .registry import query, spikes
 from .signal_queries import BASE, HOURS, contacts, hourly, with_hours
-from .sorting_queries import vectors, waves
+from .sorting_queries import WAVES, coordinates, waves
 from .stat_queries import R6
 from .unit_queries import BIN, BINS, CCG, CENTRES, FAR, METRICS, NEAR, SIMILAR, templates, trains
 
 
+SHIFTED = """, tm AS (SELECT unit, ch, lag + 4 AS lag, mean AS value FROM wf WHERE mean IS NOT NULL), pr AS (SELECT a.unit, b.unit AS other FROM (SELECT DISTINCT unit FROM tm) a JOIN (SELECT DISTINCT unit FROM tm) b ON b.unit = a.unit + 1),
+ nm AS (SELECT unit, sqrt(sum(value * value)) AS n FROM tm GROUP BY 1), sc AS (SELECT pr.unit, pr.other, d AS shift, sum(a.value * b.value) AS s FROM pr, range(-3, 4) r(d) JOIN tm a ON a.unit = pr.unit JOIN tm b ON b.unit = pr.other AND b.ch = a.ch AND b.lag = a.lag + d GROUP BY 1, 2, 3),
+ sh AS (SELECT unit, other, arg_max(shift, (round(s, 9), -abs(shift), -shift)) AS shift, max(s) AS s FROM sc GROUP BY 1, 2)"""
+
+
+def shifted(spark, sf):
+    t = waves(spark, sf).filter("mean IS NOT NULL").select("unit", "ch", (F.col("lag") + 4).alias("lag"), F.col("mean").alias("value"))
+    units = t.select("unit").distinct()
+    pairs = units.join(units.select(F.col("unit").alias("other"), (F.col("unit") - 1).alias("unit")), "unit")
+    return t, pairs, mt.template_shifts(t, pairs, 3)
+
+
+@query("WITH {spikes}, " + HOURS + ", " + WAVES + SHIFTED + " SELECT unit, other, CAST(shift AS INT) AS shift, round(s / ((n.n + 1e-6) * (m.n + 1e-6)), 6) AS similarity FROM sh JOIN nm n USING (unit) JOIN nm m ON m.unit = other")
+def o_srt_15_template_shifts(spark, sf):
+    return shifted(spark, sf)[2].withColumn("similarity", R6("similarity"))
+
+
+@query("WITH {spikes}, " + HOURS + ", " + WAVES + SHIFTED + """, mg AS (SELECT unit, other, shift FROM sh WHERE unit % 2 = 0), k AS (SELECT unit, count(*) AS k FROM spikes GROUP BY 1), g AS (SELECT k.unit, k.k, coalesce(mg.unit, k.unit) AS g, coalesce(shift, 0) AS d FROM k LEFT JOIN mg ON mg.other = k.unit)
+ SELECT g AS unit, ch, lag - d AS lag, round(sum(value * k) / any_value(t), 6) AS value FROM tm JOIN g USING (unit) JOIN (SELECT g, sum(k) AS t FROM g GROUP BY 1) USING (g) GROUP BY 1, 2, 3""")
+def o_srt_15_merged_templates(spark, sf):
+    t, pairs, shifts = shifted(spark, sf)
+    even = F.col("unit") % 2 == 0  # neighbours two by two, as merge decisions
+    return mt.merged_templates(t, spikes(spark, sf), pairs.filter(even), shifts.filter(even)).withColumn("value", R6("value"))
+
+
 @query()
 def o_srt_14_matching_pursuit(spark, sf):
     t = waves(spark, sf).select("unit", "ch", (F.col("lag") + 4).alias("lag"), F.col("mean").alias("value"))
@@ -22,7 +47,7 @@ def o_srt_14_matching_pursuit(spark, sf):
 
 @query()
 def o_srt_11_seeds(spark, sf):
-    v = vectors(spark, sf)
+    v = coordinates(spark, sf)
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(mt.seeds(v, "vec_id", "x", 8))], "place int, vec_id long")
 
 

@@ -15,9 +15,19 @@ from .signal_queries import BASE, HOURS, contacts, hourly, with_hours
 from .stat_queries import R6
 
 
-def vectors(spark, sf, size=6):
+def vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", F.col("label").alias("unit"), F.transform(F.slice("embedding", 1, size), lambda x: x.cast("double")).alias("x"))
+    return e.select("vec_id", F.col("label").alias("unit"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+#: Numbers of an embedding, and principal coordinates that stand for them in feature space.
+DIMENSIONS, KEPT = 64, 6
+
+
+def coordinates(spark, sf):
+    """vec_id, unit, x: the first principal coordinates of whole vectors."""
+    v = vectors(spark, sf)
+    return wv.projected(v, "x", wv.principal_axes(v, "x", DIMENSIONS, KEPT)).select("vec_id", "unit", F.col("pc").alias("x"))
 
 
 # ---- waveforms
@@ -45,25 +55,26 @@ def o_wv_02_waveform_metrics(spark, sf):
     return wv.waveform_metrics(waves(spark, sf), 1000.0)
 
 
-@query("WITH c AS (SELECT label AS unit, i, j, avg(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)) AS m FROM embeddings, range(3) a(i), range(3) b(j) GROUP BY 1, 2, 3) SELECT unit, list_transform(list(m ORDER BY i, j), lambda x: round(x, 5)) AS second FROM c GROUP BY unit")
+@query("WITH c AS (SELECT label AS unit, i, j, avg(CAST(embedding[i + 1] AS DOUBLE) * CAST(embedding[j + 1] AS DOUBLE)) AS m FROM embeddings, range(64) a(i), range(64) b(j) GROUP BY 1, 2, 3) SELECT unit, list_transform(list(m ORDER BY i, j), lambda x: round(x, 5)) AS second FROM c GROUP BY unit")
 def o_wv_04_moments(spark, sf):
-    return wv.moments(vectors(spark, sf, 3), "unit", "x", 3).select("unit", F.transform("second", lambda v: F.round(v, 5)).alias("second"))
+    return wv.moments(vectors(spark, sf), "unit", "x", DIMENSIONS).select("unit", F.transform("second", lambda v: F.round(v, 5)).alias("second"))
 
 
 @query()
 def o_wv_04_isolation(spark, sf):
-    return wv.isolation(wv.mahalanobis(vectors(spark, sf), "vec_id", "unit", "x", 6), 6)
+    return wv.isolation(coordinates(spark, sf), "unit", "x", KEPT)
 
 
 @query()
 def o_cl_05_outlier_split(spark, sf):
-    return wv.outlier_split(vectors(spark, sf), "vec_id", "unit", "x", 6, 0.95)
+    waves = vectors(spark, sf).select("vec_id", F.col("x").alias("wave"))
+    return wv.outlier_split(coordinates(spark, sf), waves, "vec_id", "unit", "x", KEPT)
 
 
 @query()
 def o_srt_02_principal_axes(spark, sf):
     v = vectors(spark, sf)
-    return wv.projected(v, "x", wv.principal_axes(v, "x", 6, 3)).select("vec_id", "pc")
+    return wv.projected(v, "x", wv.principal_axes(v, "x", DIMENSIONS, 3)).select("vec_id", "pc")
 
 
 # ---- sorting
@@ -100,6 +111,11 @@ def o_srt_07_drift_shifts(spark, sf):
     return so.drift_shifts(drift(spark, sf), 3)
 
 
+@query()
+def o_srt_08_aligned_shifts(spark, sf):
+    return so.aligned_shifts(drift(spark, sf), 16, 20, 3)
+
+
 @query("WITH {spikes} SELECT ch, round(sum(greatest(v - 10, 0) * (unit % 40)) / nullif(sum(greatest(v - 10, 0)), 0), 6) AS depth FROM spikes GROUP BY ch")
 def o_srt_05_weighted_depth(spark, sf):
     from ..operators.units import amplitude_weighted_depth
@@ -213,9 +229,9 @@ def o_sup_05_tree_leaves(spark, sf):
     return su.tree_leaves(tree)
 
 
-@query("SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE) / sqrt(CAST(embedding[1] AS DOUBLE) ** 2 + CAST(embedding[2] AS DOUBLE) ** 2 + CAST(embedding[3] AS DOUBLE) ** 2 + CAST(embedding[4] AS DOUBLE) ** 2), 5)) AS x FROM embeddings")
+@query("WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_sum(list_transform(e, lambda y: y * y))), 5)) AS x FROM n")
 def o_sup_07_l2_normalised(spark, sf):
-    return su.l2_normalised(vectors(spark, sf, 4), "x").select("vec_id", F.transform("x", lambda v: F.round(v, 5)).alias("x"))
+    return su.l2_normalised(vectors(spark, sf), "x").select("vec_id", F.transform("x", lambda v: F.round(v, 5)).alias("x"))
 
 
 @query("WITH {spikes} SELECT 'first' AS stage, id, unit % 7 AS cluster FROM spikes UNION ALL SELECT 'second', id, unit % 3 FROM spikes WHERE v > 5")

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import folder_time, natural_key
 
@@ -42,23 +43,65 @@ def check_permutation(order: list[int], n: int) -> list[int]:
     return order
 
 
-def frames(spark: SparkSession, path: str, n_channels: int, dtype: str = "<i2", block: int = 1024) -> DataFrame:
-    """O-SRC-05/06/23: first (sample number), n, data (block x n_channels numbers, interleaved) of a raw recording.
+class _Range(InputPartition):
+    def __init__(self, first: int, n: int):
+        self.first, self.n = first, n
 
-    Files are split at multiples of a frame by Hadoop's fixed-length reader, so one file is many tasks; a file whose size
-    isn't a multiple of a frame is an error. Blocks of a frame each are joined to `block` frames a row on the way.
+
+class FrameReader(DataSourceReader):
+    """Reads byte ranges of one raw file; each range is a task that can run again anywhere."""
+
+    def __init__(self, options):
+        self.path, self.size, self.block, self.total = options["path"], int(options["size"]), int(options["block"]), int(options["total"])
+        self.task = max(1, int(options.get("bytes", 64 << 20)) // (self.size * self.block)) * self.block
+
+    def partitions(self):
+        return [_Range(a, min(self.task, self.total - a)) for a in range(0, self.total, self.task)] or [_Range(0, 0)]
+
+    def read(self, partition):
+        import pyarrow.fs
+
+        store, at = pyarrow.fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(at) as file:
+            for a in range(partition.first, partition.first + partition.n, self.block):
+                n = min(self.block, partition.first + partition.n - a)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([n], pa.int32()), pa.array([file.read_at(n * self.size, a * self.size)], pa.binary())], ["first", "n", "data"])
+
+
+class FrameSource(DataSource):
+    """The format behind frames()."""
+
+    @classmethod
+    def name(cls):
+        return "tidelane_frames"
+
+    def schema(self):
+        return "first long, n int, data binary"
+
+    def reader(self, schema):
+        return FrameReader(self.options)
+
+
+def frames(spark: SparkSession, path: str, n_channels: int, dtype: str = "<i2", block: int = 1024, start: int = 0, stop: int | None = None) -> DataFrame:
+    """O-SRC-05/06/23/26: first (sample number), n, data (n x n_channels numbers, interleaved) of a raw recording, or of its samples from start to stop.
+
+    A file is read by byte ranges, `block` frames a row and about 64 MB a task; one whose size isn't a multiple of a frame is an error.
     """
     size = n_channels * np.dtype(dtype).itemsize
-    length = spark.read.format("binaryFile").load(path).select(F.sum("length")).first()[0]
-    if length is None or length % size:
-        raise ValueError("the size is no multiple of a frame")
-    total, part = length // size, block * size
-    whole, rest = total // block, total % block
-    record = size if whole == 0 or rest else part
-    rdd = spark.sparkContext.binaryRecords(path, record)
-    step = record // size
-    rows = rdd.zipWithIndex().map(lambda x: (x[1] * step, step, bytearray(x[0])))
-    return spark.createDataFrame(rows, "first long, n int, data binary")
+    found = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # one file
+    if len(found) != 1 or found[0].length % size:
+        raise ValueError("one file is wanted whose size is a multiple of a frame")
+    total, uri = found[0].length // size, found[0].path
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    spark.dataSource.register(FrameSource)
+    rows = spark.read.format("tidelane_frames").options(path=uri, size=str(size), block=str(block), total=str(total)).load()
+    if start or stop is not None:
+        stop = total if stop is None else min(stop, total)
+        rows = rows.filter((F.col("first") < stop) & (F.col("first") + F.col("n") > start))
+        skip = F.greatest(F.lit(start) - F.col("first"), F.lit(0))
+        kept = F.least(F.lit(stop), F.col("first") + F.col("n")) - F.col("first") - skip
+        rows = rows.select((F.col("first") + skip).alias("first"), kept.cast("int").alias("n"), F.substring("data", (skip * size + 1).cast("int"), (kept * size).cast("int")).alias("data"))
+    return rows
 
 
 def samples(blocks: DataFrame, n_channels: int, channels: list[int] | None = None, dtype: str = "<i2", gain: float = 1.0, offset: float = 0.0) -> DataFrame:
@@ -84,7 +127,7 @@ def session_xml(spark: SparkSession, path: str) -> DataFrame:
     root = ET.fromstring(spark.read.text(path, wholetext=True).first()[0])
     number = lambda tag, default: next((float(e.text) for e in root.iter(tag) if e.text and e.text.strip()), default)
     groups, skipped = [], set()
-    for g in (root.find("anatomicalDescription/channelGroups") or []):
+    for g in root.iterfind("anatomicalDescription/channelGroups/group"):
         groups.append([int(c.text) for c in g.iter("channel")])
         skipped |= {int(c.text) for c in g.iter("channel") if c.get("skip") == "1"}
     n = number("nChannels", float(sum(map(len, groups))))
