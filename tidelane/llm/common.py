@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Estimated input of a task that maps a table's rows.
+SCAN_BYTES = 64 << 20
 #: Sub-groups into which the rows of one key are dealt; a key with a third of all rows then gives 1/192 of them to a task.
 SALTS = 64
 
@@ -56,11 +58,20 @@ class Stage:
         for held in (_LIVE, *_NOTED):
             held.append(self)
 
-    def write(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
-        """df as a table. few: in no more files than two for each core of the cluster, for narrow results of a shuffle with many small partitions; tasks then read several of them one after the other."""
+    def write(self, df: DataFrame, name: str, few: bool = False, scan: bool = False) -> DataFrame:
+        """df as a table.
+
+        few: in no more files than cores, for narrow results of a shuffle with many small partitions. scan: for what only maps the rows of a
+        table and holds none, in one file a core or for each SCAN_BYTES of what it reads. Tasks then take several partitions one after the other.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
         if few:
-            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+            df = df.coalesce(cores)
+        if scan:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            df = df.coalesce(min(max(cores, -(-size // SCAN_BYTES)), (1 << 31) - 1))  # an unknown size counts as huge
+        # nobody looks for the mark of a complete table: its reader comes after its writer
+        df.write.options(**{"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(f"{self.root}/{name}")
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

@@ -38,28 +38,32 @@ def _contract(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[up][below])], ["u", "v"])
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: each v is then its component's least number."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+    inner = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return not twice.union(inner).limit(1).count()
+
+
 def components(edges: DataFrame, stage: Stage, name: str = "cc") -> DataFrame:
     """node, component: for every node of edges (u, v), numbers without null, the least number that it reaches.
     An edge from a node to itself is none; without edges the result is empty.
 
-    Each task first joins up the links that it holds. Then steps follow that each make at most as many edges
-    as they got. Tables are written to the shared folder, so lost executors cost one step. Steps go on until one changes
-    nothing.
+    Each task joins up the links that it holds, which leaves at most a link a node. Until all links are stars, a large-star and a
+    small-star step follow, and tasks join up their links again. Tables are written to the shared folder, so lost executors cost one step.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    joined = lambda e: e.distinct().mapInArrow(_contract, "u long, v long")
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v")
-    now, last, step = stage.write(ordered.mapInArrow(_contract, "u long, v long").distinct(), f"{name}0", few=True), None, 0
-    while True:
+    now, step = stage.write(joined(ordered), f"{name}0", few=True), 0
+    while not _is_forest_of_stars(now):
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
-        large = _least_neighbour(both(now)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage.write(large, f"{name}{step}l", few=True)
+        large = _least_neighbour(both(now.distinct())).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage.write(joined(large), f"{name}{step}l", few=True)
         # small star: u and its smaller neighbours go to the least of them
-        small = _least_neighbour(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        small = _least_neighbour(large.distinct())
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v")
+        now = stage.write(joined(small), f"{name}{step + 1}", few=True)
+        stage.drop(f"{name}{step}", f"{name}{step}l")
         step += 1
-        small = stage.write(small, f"{name}{step}", few=True)
-        stage.drop(f"{name}{step - 1}l", *([f"{name}{step - 1}"] if step > 1 else []))
-        n, total = small.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if (n, total) == last:
-            return small.select(F.col("u").alias("node"), F.col("v").alias("component")).union(small.select("v", "v").distinct())
-        now, last = small, (n, total)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

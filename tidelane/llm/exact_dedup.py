@@ -31,7 +31,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     survivors = pairs.join(lengths, "n_bytes").filter("_n > 1").select("n_bytes", "prefix")
     full = F.sha2(text.cast("binary"), 256).alias("sha")
     if digest_all:
-        narrow = stage.write(docs.select(F.col(id_col).alias("doc_id"), *shape, full), "narrow")
+        narrow = stage.write(docs.select(F.col(id_col).alias("doc_id"), *shape, full), "narrow", scan=True)
         hashed = narrow.join(survivors, ["n_bytes", "prefix"])
     else:
         narrow = docs.select(F.col(id_col).alias("doc_id"), *shape, F.lit(None).cast("string").alias("sha"))

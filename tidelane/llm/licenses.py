@@ -165,7 +165,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
         "doc_id", F.unhex(_digest_column(F.regexp_replace("plain", "[ \n]+", " "))).alias("digest"),
         F.unhex(F.sha2(F.col("plain").cast("binary"), 256)).alias("key"), F.transform(lines, lambda x: F.unhex(_digest_column(x))).alias("lines"),
     )
-    rows = stage.write(rows, "digests")
+    rows = stage.write(rows, "digests", scan=True)
     found = rows.select("key", F.explode("lines").alias("digest")).join(known, "digest").groupBy("key", "license_id").agg(F.lit(1).alias("_one"))
     found = found.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("license_id")), ",").alias("notices"))
     whole = rows.select("doc_id", "digest", "key").join(known, "digest", "left").join(found, "key", "left")

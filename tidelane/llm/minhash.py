@@ -266,7 +266,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     arrow_limits(spark)
     stage = Stage(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage.write(source.mapInArrow(partial(_signatures, shingle=shingle), "doc_id long, n_shingles long, set_key binary, bands binary"), "signed")
+    signed = stage.write(source.mapInArrow(partial(_signatures, shingle=shingle), "doc_id long, n_shingles long, set_key binary, bands binary"), "signed", scan=True)
     rows = stage.write(signed.select("doc_id", "n_shingles", "set_key"), "rows", few=True)
     narrow = rows.filter("doc_id is not null and set_key is not null").select("doc_id", "set_key")
     classes = stage.write(narrow.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "classes", few=True)

@@ -221,7 +221,7 @@ def pack(parts: DataFrame, stage: Stage, capacity: int = CAPACITY) -> DataFrame:
     Every part has 1 to `capacity` tokens; parts of a sequence lie side by side from 0. Parts of equal length are
     interchangeable, so null or repeated ids need no care. An empty table gives an empty one.
     """
-    parts = stage.write(parts, "parts")
+    parts = stage.write(parts, "parts", scan=True)
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most capacity rows
     if any(not 1 <= s <= capacity for s in histogram):
         raise ValueError("a length is out of range")

@@ -130,7 +130,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         F.crc32(text.cast("binary")).alias("text_crc32"),
         (F.shiftleft(high, 32) + low).alias("key"),
     )
-    rows = stage.write(rows, "rows")
+    rows = stage.write(rows, "rows", scan=True)
     cuts = splitters(rows, shards)
     # the parts' counts give every part's first slot
     bounds, n = part_bounds(rows, cuts)

@@ -81,7 +81,7 @@ def write(pages: DataFrame, stage: Stage, date: str = DATE, id_col: str = "page_
     once = once.select("digest", F.when(F.col("_a") == F.col("_b"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("payload"), "n")
     payloads = stage.write(once, "payloads")
     free_shuffles(pages.sparkSession)
-    rows = stage.write(source.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n_bytes")), "rows")
+    rows = stage.write(source.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n_bytes")), "rows", scan=True)
     rows = attach_group(rows, ["digest"], {"_min": F.min("page_id"), "_n": F.count(F.lit(1))}, {"first_id": F.min("_min"), "n": F.sum("_n")}, ["page_id"])
     revisit = (F.col("n_bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
