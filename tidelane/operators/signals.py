@@ -80,6 +80,72 @@ def lfp(samples: DataFrame, keys: list[str], s: str, value: str, rate: float, to
     return decimate(filtered(samples, keys, s, value, None, cut, rate), s, factor)
 
 
+def resampled(samples: DataFrame, keys: list[str], s: str, value: str, rate: float, to_rate: float, cut: float | None = None, reach: int = 64, chunk: int = 4096) -> DataFrame:
+    """O-SIG-06: samples at another rate, whole ratio or not: sample i is the low-passed signal (below cut and both Nyquist limits) at i / to_rate, by a windowed sinc; ends are extended by their last value."""
+    cut = min(cut or rate, 0.45 * rate, 0.45 * to_rate)
+    ratio = rate / to_rate
+    rows = with_halo(samples.select(*keys, s, F.col(value).cast("double").alias(value)), s, chunk, reach)
+    schema = samples.select(*keys, s, F.col(value).cast("double").alias(value)).schema
+
+    def at(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(s)
+        core = pdf[s][pdf["core"]]
+        if not len(core):  # a halo beyond the ends
+            return pdf[[*keys, s, value]].iloc[:0]
+        first, last = int(core.iloc[0]), int(core.iloc[-1])
+        i = np.arange(int(np.ceil(first / ratio - 1e-9)), int(np.ceil((last + 1) / ratio - 1e-9)))
+        place = i * ratio
+        near = np.floor(place + 1e-9).astype(np.int64)[:, None] + np.arange(-reach + 1, reach + 1)[None, :]
+        gap = near - place[:, None]
+        taps = np.sinc(2 * cut / rate * gap) * (0.42 + 0.5 * np.cos(np.pi * gap / (reach + 1)) + 0.08 * np.cos(2 * np.pi * gap / (reach + 1)))
+        x = pdf[value].to_numpy()[np.clip(near - int(pdf[s].iloc[0]), 0, len(pdf) - 1)]
+        out = (x * taps).sum(axis=1) / taps.sum(axis=1)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(i) for k in keys} | {s: i.astype(np.int64), value: out})
+
+    return rows.groupBy(*keys, "chunk").applyInPandas(at, schema)
+
+
+def log_spectrum(samples: DataFrame, keys: list[str], s: str, value: str, rate: float, low: float, high: float, points: int, averages: int = 100, least: int = 2, overlap: float = 0.5) -> DataFrame:
+    """O-SUP-28: keys, freq, power at points spaced evenly in log frequency: each has a segment length of its own, between the resolution that the spacing asks for and
+    that which leaves `averages` (or at least `least`) segments; power is the mean squared magnitude of Hann-tapered segments without their mean. A key's samples are one group: an excerpt.
+    """
+    schema = samples.select(*keys).schema.add("freq", "double").add("power", "double")
+
+    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(s)[value].to_numpy(dtype=float)
+        n, step = len(x), np.log(high / low) / (points - 1)
+        freq = low * np.exp(step * np.arange(points))
+        wanted = freq * (np.exp(step) - 1)
+        average, floor = (rate / n * (1 + (1 - overlap) * (k - 1)) for k in (averages, least))
+        resolution = np.where(wanted >= average, wanted, np.maximum(np.sqrt(average * wanted), floor))
+        power = []
+        for f, r in zip(freq, resolution, strict=True):
+            size = min(max(int(round(rate / r)), 2), n)
+            hop = max(1, int(round(size * (1 - overlap))))
+            cuts = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
+            wave = np.hanning(size) * np.exp(-2j * np.pi * f / (rate / size) * np.arange(size) / size)
+            power.append(float(np.mean(np.abs((cuts - cuts.mean(axis=1, keepdims=True)) @ wave) ** 2)))
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * points for k in keys} | {"freq": freq, "power": power})
+
+    return samples.select(*keys, s, value).groupBy(*keys).applyInPandas(spectrum, schema)
+
+
+def good_channels(samples: DataFrame, s: str, value: str, threshold: float, rate: float, least_hz: float) -> DataFrame:
+    """O-SIG-20: ch, rate: channels whose signal falls below -threshold at least so often a second (a crossing is a sample below after one that isn't)."""
+    from .ordered import previous
+
+    down = (F.col(value) < -threshold).cast("int")
+    rows = previous(samples.withColumn("_d", down), ["ch"], s, [], {"_p": "_d"}, 1 << 16)
+    total = rows.groupBy("ch").agg((F.sum(F.when((F.col("_d") == 1) & (F.coalesce("_p", F.lit(0)) == 0), 1).otherwise(0)) / ((F.max(s) - F.min(s) + 1) / rate)).alias("rate"))
+    return total.filter(F.col("rate") >= least_hz)
+
+
+def overlapping(samples: DataFrame, s: str, window: int, hop: int) -> DataFrame:
+    """O-SUP-23: samples with `window` (its number) and `place`: each in all windows of that many samples, one every `hop`, that hold it."""
+    first = F.greatest(F.ceil((F.col(s) - window + 1) / hop), F.lit(0))
+    return samples.withColumn("window", F.explode(F.sequence(first.cast("long"), F.floor(F.col(s) / hop).cast("long")))).withColumn("place", F.col(s) - F.col("window") * hop)
+
+
 def spectrogram(samples: DataFrame, keys: list[str], s: str, value: str, window: int, rate: float, freqs: list[float]) -> DataFrame:
     """O-SIG-07: keys, window, freq, magnitude of Hamming-windowed transforms, interpolated to freqs; windows of `window` samples side by side, incomplete ones left out."""
     size = 1 << int(np.ceil(np.log2(max(256, 2 * window))))

@@ -79,6 +79,13 @@ def refractory_units(spikes: DataFrame, t: str, bin_width, n_bins: int, far: tup
     return sized.join(metrics, "unit", "left").select("unit", F.when(known & F.col("_long"), F.col("r")).alias("r"), (known & F.col("_long") & F.coalesce("refractory", F.lit(False))).alias("refractory"))
 
 
+def pair_matrix(ccg: DataFrame, far: tuple[int, int], near: tuple[int, int], centres: int, own: tuple[float, float] = (0.2, 0.2), cross: tuple[float, float] = (0.25, 0.05)) -> DataFrame:
+    """O-CCG-04: unit, other, r, refractory of every pair that meets: autocorrelograms by the limits of `own`, others by those of `cross`."""
+    found = correlogram_metrics(ccg, ["unit", "other"], far, near, centres)
+    under = lambda limits: F.coalesce((F.col("r") < limits[0]) & (F.col("q") < limits[1]), F.lit(False))
+    return found.select("unit", "other", "r", F.when(F.col("unit") == F.col("other"), under(own)).otherwise(under(cross)).alias("refractory"))
+
+
 def acg_metrics(acg: DataFrame, keys: list[str], inner: tuple[int, int], outer: tuple[int, int], trough: tuple[int, int], peak: tuple[int, int]) -> DataFrame:
     """O-CCG-06: burst index (mean of inner over mean of outer bins) and modulation index ((peak - trough) / (peak + trough)), bins by absolute lag."""
     mean = lambda r: F.avg(F.when(F.abs("bin").between(*r), F.col("n")))
@@ -293,13 +300,31 @@ def redundant_units(spikes: DataFrame, t: str, within, share: float = 0.5) -> Da
     return sized.filter(smaller & (F.col("_c") / F.col("_n") >= share)).select("unit").distinct()
 
 
-def template_similarity(templates: DataFrame, unit: str, vector: str) -> DataFrame:
-    """O-CL-06, O-SRT-18: unit, other, similarity (cosine) of all pairs of templates; templates are a bounded table of mean vectors."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    a = templates.select(F.col(unit).alias("unit"), F.col(vector).cast("array<double>").alias("_a"), F.lit(1).alias("_one"))
-    b = a.select(F.col("unit").alias("other"), F.col("_a").alias("_b"), "_one")
-    return a.join(b, "_one").filter("unit < other").select("unit", "other", (dot / (norm(F.col("_a")) * norm(F.col("_b")))).alias("similarity"))
+def template_similarity(templates: DataFrame, unit: str, vector: str, block: int = 256) -> DataFrame:
+    """O-CL-06, O-SRT-18: unit, other, similarity (cosine) of all pairs of templates (vectors of one length), unit the lower: blocks of templates meet in matrix products, so a template is copied once for each block."""
+    import numpy as np
+    import pandas as pd
+
+    kind = templates.schema[unit].dataType.simpleString()
+    n = templates.agg(F.count(F.lit(1))).first()[0]
+    blocks = max(1, -(-n // block))
+    rows = templates.select(F.col(unit).alias("unit"), F.col(vector).cast("array<double>").alias("w")).filter("w IS NOT NULL").withColumn("own", F.pmod(F.xxhash64("unit"), F.lit(blocks)))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    cells = cells.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["own"] == pdf["a"]], pdf[pdf["own"] == pdf["b"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"unit": pdf["unit"].iloc[:0], "other": pdf["unit"].iloc[:0], "similarity": np.zeros(0)})
+        x, y = (np.array(side["w"].tolist(), dtype=float) for side in (left, right))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+        i, j = np.nonzero(left["unit"].to_numpy()[:, None] < right["unit"].to_numpy()[None, :])
+        k, m = np.nonzero(left["unit"].to_numpy()[:, None] > right["unit"].to_numpy()[None, :]) if pdf["a"].iloc[0] != pdf["b"].iloc[0] else (i[:0], j[:0])
+        u, v = left["unit"].to_numpy(), right["unit"].to_numpy()
+        return pd.DataFrame({"unit": np.concatenate([u[i], v[m]]), "other": np.concatenate([v[j], u[k]]), "similarity": np.concatenate([found[i, j], found[k, m]])})
+
+    return cells.groupBy("a", "b").applyInPandas(products, f"unit {kind}, other {kind}, similarity double")
 
 
 def merge_groups(edges: DataFrame, unit: str = "unit", other: str = "other") -> DataFrame:

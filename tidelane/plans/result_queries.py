@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import filters as fl
 from ..operators import results as rs
+from ..operators import sequences as sq
+from ..operators import support as su
+from ..operators import units as un
 from ..session import table
 from .registry import CHANNELS_SQL, HOUR, channels, query, spikes
 from .signal_queries import CONTACTS_SQL, contacts
@@ -237,3 +241,51 @@ def o_snk_08_export(spark, sf):
     labels = spark.createDataFrame([], "unit long, label string")
     out = rs.export_tables(s.drop("v"), f, c, labels, f, 120)["spikes"]
     return out.select("spike", "unit", "s", *[R6(x).alias(x) for x in ("amplitude", "x", "y")])
+
+
+@query("WITH {spikes} SELECT id, CASE WHEN v > 40 OR ch = 'error' THEN NULL ELSE v END AS v, CASE WHEN v > 40 OR ch = 'error' THEN NULL ELSE t END AS t FROM spikes")
+def o_flt_06_clean_mask(spark, sf):
+    return fl.null_where(spikes(spark, sf), (F.col("v") > 40) | (F.col("ch") == "error"), ["v", "t"]).select("id", "v", "t")
+
+
+@query("WITH " + CHANNELS_SQL + " SELECT ch, sqrt(greatest(greatest(10 - x, x - 50), 0) ** 2 + greatest(greatest(20 - y, y - 200), 0) ** 2) BETWEEN 0.001 AND 25 OR (x BETWEEN 10 AND 50 AND y BETWEEN 20 AND 200 AND least(x - 10, 50 - x, y - 20, 200 - y) <= 25) AS near FROM channels")
+def o_flt_08_near_polyline(spark, sf):
+    box = [(10.0, 20.0), (50.0, 20.0), (50.0, 200.0), (10.0, 200.0)]
+    return channels(spark, sf).select("ch", fl.near_polyline(F.col("x"), F.col("y"), box, 25.0).alias("near"))
+
+
+@query("WITH {spikes}, i AS (SELECT unit, t - lag(t) OVER w AS a, lead(t) OVER w - t AS b FROM spikes WINDOW w AS (PARTITION BY unit ORDER BY t, id)) SELECT unit, round(count(*) FILTER (a < 7200000000 AND b IS NOT NULL OR b < 7200000000 AND a IS NOT NULL) / nullif(count(*) - 1, 0), 6) AS burst_index FROM i GROUP BY unit")
+def o_win_03_burst_index(spark, sf):
+    return sq.spike_train_metrics(spikes(spark, sf), ["unit"], "t", 2 * HOUR, HOUR, 24 * HOUR, ("id",)).select("unit", R6("burst_index").alias("burst_index"))
+
+
+@query("WITH {spikes}, i AS (SELECT unit, t - lag(t) OVER (PARTITION BY unit ORDER BY t, id) AS a FROM spikes) SELECT unit, round(1000.0 * count(*) FILTER (a < 3600000000) / count(*), 6) AS refractory_per_mille FROM i GROUP BY unit")
+def o_win_04_refractory_violations(spark, sf):
+    return sq.spike_train_metrics(spikes(spark, sf), ["unit"], "t", 2 * HOUR, HOUR, 24 * HOUR, ("id",)).select("unit", R6("refractory_per_mille").alias("refractory_per_mille"))
+
+
+@query("""WITH {spikes}, g AS (SELECT unit, t // 604800000000 AS epoch, t, CASE WHEN v < 12 THEN NULL ELSE v END AS v FROM spikes), n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER lo AS t0, last_value(v IGNORE NULLS) OVER lo AS v0, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER hi AS t1, first_value(v IGNORE NULLS) OVER hi AS v1 FROM g
+ WINDOW lo AS (PARTITION BY unit, epoch ORDER BY t ROWS UNBOUNDED PRECEDING), hi AS (PARTITION BY unit, epoch ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+ SELECT unit, epoch, t, round(CASE WHEN v IS NOT NULL THEN v WHEN t1 - t0 <= 43200000000 THEN v0 + (v1 - v0) * ((t - t0) / (t1 - t0)) END, 6) AS v FROM n""")
+def o_win_08_gaps_by_epoch(spark, sf):
+    rows = spikes(spark, sf).select("unit", F.floor(F.col("t") / (168 * HOUR)).alias("epoch"), "t", F.when(F.col("v") >= 12, F.col("v")).alias("v"))
+    return sq.fill_gaps(rows, ["unit", "epoch"], "t", "v", 12 * HOUR, 24 * HOUR).select("unit", "epoch", "t", R6("v").alias("v"))
+
+
+@query("""WITH RECURSIVE {spikes}, e AS (SELECT DISTINCT unit, t FROM spikes), k AS (SELECT unit, min(t) AS t FROM e GROUP BY unit UNION ALL SELECT k.unit, (SELECT min(e.t) FROM e WHERE e.unit = k.unit AND e.t >= k.t + 10800000000) FROM k WHERE k.t IS NOT NULL) SELECT unit, t FROM k WHERE t IS NOT NULL""")
+def o_win_16_censored(spark, sf):
+    return sq.greedy_thin(spikes(spark, sf), ["unit"], "t", 3 * HOUR, 24 * HOUR)
+
+
+@query("""WITH RECURSIVE t AS (SELECT n_nationkey + 100 AS parent, 2 * n_nationkey + 101 AS "left", 2 * n_nationkey + 102 AS "right" FROM nation), r AS (SELECT parent FROM t WHERE parent IN (103, 107) UNION SELECT t.parent FROM r JOIN t p ON p.parent = r.parent JOIN t ON t.parent IN (p."left", p."right")) SELECT parent, "left", "right" FROM t WHERE parent NOT IN (SELECT parent FROM r)""")
+def o_sup_06_pruned_tree(spark, sf):
+    n = F.col("n_nationkey")
+    return su.pruned_tree(table(spark, sf, "nation").select((n + 100).alias("parent"), (2 * n + 101).alias("left"), (2 * n + 102).alias("right")), [103, 107])
+
+
+@query("""WITH {spikes}, a AS (SELECT unit, t FROM spikes WHERE ch = 'view'), b AS (SELECT unit, t + 20000000 AS t FROM spikes WHERE ch = 'view' AND v > 10), h AS (SELECT a.unit, b.unit AS best, count(DISTINCT a.t) AS c FROM a JOIN b ON abs(a.t - b.t) <= 60000000 AND a.unit = b.unit GROUP BY 1, 2) SELECT unit, c AS n_matched FROM h""")
+def o_srt_21_matched_spikes(spark, sf):
+    s = spikes(spark, sf).filter("ch = 'view'")
+    a, b = s.select("unit", "t"), s.filter("v > 10").select("unit", (F.col("t") + 20_000_000).alias("t"))
+    met = un.close_pairs(a, b, ["unit"], "t", 60_000_001).filter(F.abs(F.col("b_t") - F.col("t")) <= 60_000_000)
+    return met.groupBy("unit").agg(F.count_distinct("t").alias("n_matched"))

@@ -77,6 +77,43 @@ def o_sig_06_lfp(spark, sf):
     return sg.lfp(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.25).select("ch", "s", R6("v").alias("v"))
 
 
+@query("WITH {spikes}, " + HOURS + convolved(sg.sinc_kernel(None, 0.05625, 1.0, 64)) + " SELECT ch, s // 8 AS s, round(v, 6) AS v FROM fl WHERE s % 8 = 0")
+def o_sig_05_slow_signal(spark, sf):
+    return sg.lfp(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.125).select("ch", "s", R6("v").alias("v"))
+
+
+@query("WITH {spikes}, " + HOURS + """, o AS (SELECT i, i * 2.5 AS place FROM range(CAST(ceil((SELECT max(s) + 1 FROM sm) / 2.5) AS BIGINT)) r(i)), k AS (SELECT i, d, CAST(floor(place) AS BIGINT) + d AS s, floor(place) + d - place AS gap FROM o, range(-63, 65) q(d)),
+ t AS (SELECT i, greatest(least(s, (SELECT max(s) FROM sm)), 0) AS s, CASE WHEN gap = 0 THEN 1 ELSE sin(pi() * 0.36 * gap) / (pi() * 0.36 * gap) END * (0.42 + 0.5 * cos(pi() * gap / 65) + 0.08 * cos(2 * pi() * gap / 65)) AS w FROM k)
+ SELECT ch, i AS s, round(sum(v * w) / sum(w), 6) AS v FROM t JOIN sm USING (s) GROUP BY 1, 2""")
+def o_sig_06_resampled(spark, sf):
+    return sg.resampled(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.4).select("ch", "s", R6("v").alias("v"))
+
+
+@query("WITH {spikes}, " + HOURS + convolved(sg.sinc_kernel(0.1, None, 1.0, 64)) + " SELECT ch, s, round(v, 6) AS v FROM fl")
+def o_sig_17_high_pass(spark, sf):
+    return sg.filtered(hourly(spark, sf), ["ch"], "s", "v", 0.1, None, 1.0, 64, 256).select("ch", "s", R6("v").alias("v"))
+
+
+@query("WITH {spikes}, " + HOURS + ", x AS (SELECT ch, s, v - 30 < -20 AS d, lag(v - 30 < -20) OVER (PARTITION BY ch ORDER BY s) AS p FROM sm) SELECT ch, round(count(*) FILTER (d AND NOT coalesce(p, false)) / (max(s) - min(s) + 1), 6) AS rate FROM x GROUP BY ch HAVING count(*) FILTER (d AND NOT coalesce(p, false)) / (max(s) - min(s) + 1) >= 0.01")
+def o_sig_20_good_channels(spark, sf):
+    return sg.good_channels(hourly(spark, sf).withColumn("v", F.col("v") - 30), "s", "v", 20.0, 1.0, 0.01).withColumn("rate", R6("rate"))
+
+
+@query("WITH {spikes}, " + HOURS + """, f AS (SELECT k, 0.02 * exp(ln(20.0) / 11 * k) AS f FROM range(12) r(k)), n AS (SELECT max(s) + 1 AS n FROM sm),
+ g AS (SELECT k, f, f * (exp(ln(20.0) / 11) - 1) AS want, (1 + 0.5 * 9) / n AS a, (1 + 0.5 * 1) / n AS b FROM f, n), z AS (SELECT k, f, CAST(round_even(1 / CASE WHEN want >= a THEN want ELSE greatest(sqrt(a * want), b) END, 0) AS BIGINT) AS l FROM g),
+ h AS (SELECT k, f, l, CAST(greatest(round_even(l * 0.5, 0), 1) AS BIGINT) AS hop FROM z), c AS (SELECT k, f, l, unnest(range(0, n - l + 1, hop)) AS start FROM h, n),
+ x AS (SELECT ch, k, f, l, start, s - start AS i, v - avg(v) OVER (PARTITION BY ch, k, start) AS v FROM c JOIN sm ON s >= start AND s < start + l),
+ p AS (SELECT ch, k, f, start, sum(v * (0.5 - 0.5 * cos(2 * pi() * i / (l - 1))) * cos(2 * pi() * f * i)) ** 2 + sum(v * (0.5 - 0.5 * cos(2 * pi() * i / (l - 1))) * sin(2 * pi() * f * i)) ** 2 AS p FROM x GROUP BY 1, 2, 3, 4)
+ SELECT ch, round(f, 6) AS freq, round(avg(p), 3) AS power FROM p GROUP BY ch, k, f""")
+def o_sup_28_log_spectrum(spark, sf):
+    return sg.log_spectrum(hourly(spark, sf), ["ch"], "s", "v", 1.0, 0.02, 0.4, 12, 10, 2).select("ch", R6("freq").alias("freq"), F.round("power", 3).alias("power"))
+
+
+@query("WITH {spikes}, " + HOURS + ", w AS (SELECT ch, unnest(range(CAST(greatest(ceil((s - 23) / 8.0), 0) AS BIGINT), s // 8 + 1)) AS w, s, v FROM sm) SELECT ch, w AS \"window\", s - w * 8 AS place, round(v, 6) AS v FROM w")
+def o_sup_23_overlapping(spark, sf):
+    return sg.overlapping(hourly(spark, sf), "s", 24, 8).select("ch", "window", "place", R6("v").alias("v"))
+
+
 #: Magnitudes at 0.01 * k, between the two nearest of 256 bins, of whole windows of 72 hours under a Hamming taper.
 SPECTRA = """, wn AS (SELECT ch, s // 72 AS w, s % 72 AS i, v * (0.54 - 0.46 * cos(2 * pi() * (s % 72) / 71)) AS x FROM sm), fw AS (SELECT ch, w FROM wn GROUP BY 1, 2 HAVING count(*) = 72),
  fq AS (SELECT k, 0.01 * k AS freq, CAST(floor(2.56 * k) AS BIGINT) AS b, 2.56 * k - floor(2.56 * k) AS part FROM range(1, 41) r(k)), nb AS (SELECT DISTINCT b + d AS b FROM fq, range(2) r(d)),
@@ -271,3 +308,9 @@ def o_st_05_valley_threshold(spark, sf):
 def o_st_11_state_fractions(spark, sf):
     one = state_spans(spark, sf).withColumn("session", F.lit(1))
     return ss.state_fractions(one, ["session"]).select("state", "seconds", R6("share").alias("share"))
+
+
+@query("WITH {spikes}" + VALLEY.replace("ch,", "u,").replace("(ch, bins", "(u, bins").replace("USING (ch)", "USING (u)").replace("BY ch", "BY u").replace("SELECT ch", "SELECT u").replace("p.ch", "p.u").replace("FROM spikes", "FROM (SELECT unit % 7 AS u, v FROM spikes)").replace("(FROM", "FROM"))
+def o_st_06_bimodal_threshold(spark, sf):
+    rows = spikes(spark, sf).select((F.col("unit") % 7).alias("u"), "v")
+    return ss.valley_threshold(rows, ["u"], "v").select("u", F.col("bins").cast("int").alias("bins"), R6("threshold").alias("threshold"))

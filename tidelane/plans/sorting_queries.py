@@ -326,11 +326,47 @@ def f_math_bits(spark, sf):
     return spikes(spark, sf).select("id", text.has_bit(F.col("id"), 3).alias("bit3"), R6(F.log2(1 + F.col("v"))).alias("l"), F.rint("v").cast("long").alias("r"), R6(F.hypot(F.col("v"), F.lit(3.0))).alias("h"))
 
 
-@query("WITH c AS (SELECT s_nationkey AS shank, s_suppkey AS ch, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p FROM supplier) SELECT ch, CAST(shank AS INT) AS shank, shank * 200.0 + p % 3 * 20.0 AS x, -20.0 * (p // 3) - CASE WHEN p % 3 = 1 THEN 10.0 ELSE 0.0 END AS y FROM c")
-def f_geometry_poly3(spark, sf):
+#: A probe's groups: suppliers of each nation. Each column of a layout numbers its sites by itself.
+GROUPS_SQL = "c AS (SELECT s_nationkey AS shank, s_suppkey AS ch, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS p, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"
+POLY_SQL = """WITH {groups}, a AS (SELECT *, n % {k} AS e FROM c), b AS (SELECT *, CASE WHEN p < e THEN {first} ELSE [{columns}][1 + (p - e) % {k}] END AS col FROM a), d AS (SELECT *, row_number() OVER (PARTITION BY shank, col ORDER BY p) - 1 AS r FROM b)
+ SELECT ch, CAST(shank AS INT) AS shank, shank * 200.0 + col AS x, -20.0 * r {low} AS y FROM d"""
+
+
+def groups(spark, sf):
     rows = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("c")).collect()  # a probe's channels
-    groups = {r[0]: r[1] for r in rows}
-    return geometry.layout(spark, "poly3", [groups.get(i, []) for i in range(25)])
+    found = {r[0]: r[1] for r in rows}
+    return [found.get(i, []) for i in range(max(found) + 1)]
+
+
+@query(POLY_SQL.format(groups=GROUPS_SQL, k=2, first="0.0", columns="0.0, 20.0", low="- CASE WHEN col = 20 THEN 10.0 ELSE 0.0 END"))
+def f_geometry_poly2(spark, sf):
+    return geometry.layout(spark, "poly2", groups(spark, sf))
+
+
+@query(POLY_SQL.format(groups=GROUPS_SQL, k=3, first="0.0", columns="-18.0, 0.0, 18.0", low="+ CASE WHEN col = 0 THEN 20.0 * e - 10.0 ELSE 0.0 END"))
+def f_geometry_poly3(spark, sf):
+    return geometry.layout(spark, "poly3", groups(spark, sf))
+
+
+@query(POLY_SQL.format(groups=GROUPS_SQL, k=5, first="18.0 * (2 * (p % 2) - 1)", columns="-36.0, -18.0, 0.0, 18.0, 36.0", low="- CASE WHEN abs(col) = 18 THEN 10.0 ELSE 0.0 END"))
+def f_geometry_poly5(spark, sf):
+    return geometry.layout(spark, "poly5", groups(spark, sf))
+
+
+LINES_SQL = {
+    "edge": ("0.0", "-20.0 * p", "200.0"), "neurogrid": ("n - 1.0 - p", "-20.0 * p", "20.0"), "twohundred": ("0.0", "200.0 * (p % 2)", "200.0"),
+    "staggered": ("CASE WHEN (n - p) % 2 = 0 THEN -1 ELSE 1 END * CASE n - 1 - p WHEN 0 THEN 0.0 WHEN 1 THEN 8.5 ELSE 17.0 + 4 * (n - 3 - p) END", "-20.0 * p", "200.0"),
+    "neuropixel": ("200.0 + [20, 60, 0, 40][1 + p % 4]", "-20.0 * (p // 2 + 1)", "200.0"),
+    "double_sided": ("400.0 * (shank // 2 + 1) + 80.0 * (shank % 2) + 20.0 * (2 * (p % 2) - 1)", "-20.0 * (p + 1)", "0.0"),
+}
+
+
+@query("WITH " + GROUPS_SQL + " " + " UNION ALL ".join(f"SELECT '{k}' AS layout, ch, CAST(shank AS INT) AS shank, CAST({step} * shank + {x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM c" for k, (x, y, step) in LINES_SQL.items()))
+def f_geometry_lines(spark, sf):
+    from functools import reduce
+
+    own = groups(spark, sf)
+    return reduce(lambda a, b: a.union(b), [geometry.layout(spark, k, own).select(F.lit(k).alias("layout"), "*") for k in LINES_SQL])
 
 
 @query("SELECT conv_id, to_json({'n': count(*), 'roles': list_sort(list(DISTINCT role))}) AS manifest FROM conversations GROUP BY conv_id")

@@ -57,6 +57,11 @@ def o_ccg_03_refractory_units(spark, sf):
     return un.refractory_units(trains(spark, sf), "t", BIN, BINS, FAR, NEAR, CENTRES).withColumn("r", R6("r"))
 
 
+@query("WITH {spikes}, " + CCG + METRICS + " SELECT unit, other, round(r, 6) AS r, CASE WHEN unit = other THEN coalesce(r < 0.2 AND q < 0.2, false) ELSE coalesce(r < 0.25 AND q < 0.05, false) END AS refractory FROM met")
+def o_ccg_04_pair_matrix(spark, sf):
+    return un.pair_matrix(ccg(spark, sf), FAR, NEAR, CENTRES).withColumn("r", R6("r"))
+
+
 @query("WITH {spikes}, " + CCG + ", rn AS (SELECT unit, count(*) AS total FROM spikes GROUP BY 1) SELECT unit, other, bin, round(n / total / 0.5, 6) AS rate FROM ccg JOIN rn USING (unit)")
 def o_ccg_05_rate_correlogram(spark, sf):
     total = trains(spark, sf).groupBy("unit").agg(F.count(F.lit(1)).alias("total"))
@@ -268,6 +273,14 @@ def templates(spark, sf):
     return e.groupBy(F.col("label").alias("unit")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s.m).alias("wave"))
 
 
+@query("WITH {spikes}, t AS (SELECT unit, (t // 3600000000) % 24 AS h, count(*) AS n FROM spikes GROUP BY 1, 2), l AS (SELECT unit, sqrt(sum(n * n)) AS l FROM t GROUP BY 1) SELECT a.unit, b.unit AS other, round(sum(a.n * b.n) / any_value(x.l * y.l), 6) AS similarity FROM t a JOIN t b ON a.h = b.h AND a.unit < b.unit JOIN l x ON x.unit = a.unit JOIN l y ON y.unit = b.unit GROUP BY 1, 2")
+def o_srt_18_similarity(spark, sf):
+    counts = spikes(spark, sf).groupBy("unit", (F.floor(F.col("t") / HOUR) % 24).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0)).cast("double"))
+    t = counts.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("m")).select("unit", wave.alias("wave"))
+    return un.template_similarity(t, "unit", "wave").filter("similarity > 0").withColumn("similarity", R6("similarity"))
+
+
 @query("WITH " + SIMILAR + " SELECT unit, other, round(similarity, 4) AS similarity FROM sim")
 def o_cl_06_template_similarity(spark, sf):
     return un.template_similarity(templates(spark, sf), "unit", "wave").withColumn("similarity", F.round("similarity", 4))
