@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidelane.operators import matching as mt
 from tidelane.operators import units as un
+from tidelane.operators import waveforms as wv
 
 SIZE = 12
 
@@ -60,7 +61,26 @@ def test_merging_joins_split_neurons(spark):
 
 
 def test_trilateration(spark):
+    places = [(c, float(c % 2 * 20), float(c // 2 * 20)) for c in range(16)]
+    truth = {1: (7.0, 55.0, 25.0), 2: (18.0, 90.0, 40.0)}
+    rows = [(u, c, 100 * float(np.exp(-np.hypot(x - a, y - b) / k)) + 3) for u, (a, b, k) in truth.items() for c, x, y in places] + [(3, 0, 5.0)]
+    contacts = spark.createDataFrame(places, "ch int, x double, y double")
+    got = {r.u: r for r in mt.trilaterate(spark.createDataFrame(rows, "u int, ch int, a double"), contacts, "u", "a").collect()}
+    for u, (a, b, k) in truth.items():
+        assert abs(got[u].x - a) < 0.5 and abs(got[u].y - b) < 0.5 and abs(got[u].length_constant - k) < 0.05 * k
+    assert got[3].x is None and got[3].length_constant is None
     peaks = spark.createDataFrame([(1, 0, 3.0), (1, 1, 3.0), (1, 2, 0.1)], "unit int, ch int, a double")
-    contacts = spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 0.0, 90.0)], "ch int, x double, y double")
-    assert tuple(mt.trilaterate(peaks, contacts, "unit", "a", 2).first()) == (1, 5.0, 0.0)
-    assert peaks.filter(F.col("a") > 1).count() == 2
+    assert tuple(mt.weighted_centre(peaks, spark.createDataFrame([(0, 0.0, 0.0), (1, 10.0, 0.0), (2, 0.0, 90.0)], "ch int, x double, y double"), "unit", "a", 2).first()) == (1, 5.0, 0.0)
+
+
+def test_bimodal_split(spark):
+    rng = np.random.default_rng(6)
+    two = np.concatenate([rng.normal(0, 1, (400, 4)), rng.normal(0, 1, (350, 4)) + [0, 6, 0, 3]])
+    one = rng.normal(0, 1, (600, 4)) + 5
+    few = rng.normal(0, 1, (50, 4))
+    rows = [(i, u, [float(v) for v in x]) for i, (u, x) in enumerate([*((1, x) for x in two), *((2, x) for x in one), *((3, x) for x in few)])]
+    got = wv.bimodal_split(spark.createDataFrame(rows, "id long, unit int, x array<double>"), "id", "unit", "x", 4).collect()
+    assert {(r.unit, r.split) for r in got} == {(1, True), (2, False), (3, False)}
+    sides = {r.id: r.side for r in got if r.unit == 1}
+    wrong = sum(sides[i] != (sides[0] if i < 400 else 1 - sides[0]) for i in range(750))
+    assert wrong < 15

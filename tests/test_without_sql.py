@@ -326,5 +326,44 @@ def test_o_ccg_07_fit_acg(spark, spikes):
     assert np.mean([r.r2 > 0 for r in rows.values()]) > 0.5
 
 
+def test_o_wv_03_trilaterate(spark, spikes):
+    """The fitted curve comes closer to the amplitudes than any from a grid of places and length constants."""
+    y = {"click": 0.0, "error": 20.0, "purchase": 40.0, "view": 60.0}
+    for r in run(spark, "o_wv_03_trilaterate"):
+        own = spikes[spikes.unit == r.unit].groupby("ch").v.max()
+        at, a = np.array([y.get(c, 80.0) for c in own.index]), own.to_numpy()
+        assert (r.x is None) == (len(a) < 3)
+
+        def error(d):
+            best = np.inf
+            for b in np.geomspace(1, 200, 60):
+                basis = np.stack([np.exp(-d / b), np.ones(len(d))], axis=1)
+                c = np.clip(np.linalg.lstsq(basis, a, rcond=None)[0], [1, 0], [5000, 1000])
+                best = min(best, ((a - basis @ c) ** 2).sum())
+            return best
+
+        if r.x is not None:
+            assert 0.001 <= r.length_constant <= 200
+            assert error(np.hypot(r.x, at - r.y)) <= 1.25 * error(np.abs(at - (a**2 @ at) / (a**2).sum())) + 1e-6
+
+
+def test_o_srt_25_bimodal_split(spark, vectors):
+    ids, unit, x = vectors
+    got = run(spark, "o_srt_25_bimodal_split")
+    assert sorted(r.vec_id for r in got) == sorted(ids)
+    pc = x @ axes(x, 6).T
+    for u in np.unique(unit):
+        own = [r for r in got if r.unit == u]
+        side = {r.vec_id: r.side for r in own}
+        s = np.array([side[i] for i in ids[unit == u]])
+        assert len({r.split for r in own}) == 1
+        if own[0].split:
+            assert min((s == 0).sum(), (s == 1).sum()) >= 20
+        elif 0 < s.sum() < len(s):  # the sides differ along some direction more than along a random one
+            y = pc[unit == u]
+            gap = y[s == 0].mean(0) - y[s == 1].mean(0)
+            assert np.linalg.norm(gap) > 0
+
+
 def test_every_query_without_sql_is_tested_here():
     assert {f"test_{n}" for n in set(catalog.QUERIES) - set(catalog.ORACLE_SQL)} <= set(globals())

@@ -118,10 +118,28 @@ def seeds(points: DataFrame, point_id: str, vector: str, k: int, tries: int = 10
     return [c[0] for c in chosen]
 
 
+def damped_fit(model, x: np.ndarray, y: np.ndarray, start, low: np.ndarray, high: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Parameters within bounds and the squared error of a least-squares fit of model(parameters, x) to y, by damped Gauss-Newton steps."""
+    p, damp = np.clip(np.asarray(start, dtype=float), low, high), 1e-2
+    error = ((y - model(p, x)) ** 2).sum()
+    for _ in range(rounds):
+        step = 1e-5 * np.maximum(np.abs(p), 1e-3)
+        jac = np.stack([(model(p + step * (np.arange(len(p)) == i), x) - model(p, x)) / step[i] for i in range(len(p))], axis=1)
+        move = np.linalg.solve(jac.T @ jac + damp * np.diag((jac**2).sum(0) + 1e-9), jac.T @ (y - model(p, x)))
+        new = np.clip(p + move, low, high)
+        e = ((y - model(new, x)) ** 2).sum()
+        p, error, damp = (new, e, damp / 3) if e < error else (p, error, damp * 4)
+        if damp > 1e12:
+            break
+    return p, float(error)
+
+
 def fit_acg(acg: DataFrame, keys: list[str], bin_ms: float, rounds: int = 60) -> DataFrame:
     """O-CCG-07: keys, tau_decay, tau_rise, r2 of max(c * (exp(-(x - t0) / tau_decay) - d * exp(-(x - t0) / tau_rise)) + rate, 0) on the positive lags, by damped least squares with bounded parameters."""
+    # Bounds of tau_decay, tau_rise, c, d, t0, rate, and where their fit starts.
     low = np.array([1.0, 0.1, 0.0, 0.0, 0.0, 0.0])
     high = np.array([500.0, 50.0, 500.0, 15.0, 5.0, 100.0])
+    start = [20.0, 1.0, 5.0, 1.0, 0.5]
 
     def model(p: np.ndarray, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x - p[4], 0)
@@ -132,15 +150,7 @@ def fit_acg(acg: DataFrame, keys: list[str], bin_ms: float, rounds: int = 60) ->
         x, y = own["bin"].to_numpy() * bin_ms, own["n"].to_numpy(dtype=float)
         scale = y.max() if len(y) and y.max() > 0 else 1.0
         y = y / scale * 10
-        p, damp = np.array([20.0, 1.0, 5.0, 1.0, 0.5, max(y.mean(), 0.1) if len(y) else 0.1]), 1e-2
-        error = ((y - model(p, x)) ** 2).sum()
-        for _ in range(rounds if len(y) > 6 else 0):
-            step = 1e-5 * np.maximum(np.abs(p), 1e-3)
-            jac = np.stack([(model(p + step * (np.arange(6) == i), x) - model(p, x)) / step[i] for i in range(6)], axis=1)
-            move = np.linalg.solve(jac.T @ jac + damp * np.diag((jac**2).sum(0) + 1e-9), jac.T @ (y - model(p, x)))
-            new = np.clip(p + move, low, high)
-            e = ((y - model(new, x)) ** 2).sum()
-            p, error, damp = (new, e, damp / 3) if e < error else (p, error, damp * 4)
+        p, error = damped_fit(model, x, y, [*start, max(y.mean(), 0.1) if len(y) else 0.1], low, high, rounds if len(y) > 6 else 0)
         total = ((y - y.mean()) ** 2).sum() if len(y) else 0.0
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"tau_decay": [p[0]], "tau_rise": [p[1]], "r2": [1 - error / total if total else 0.0]})
 
@@ -214,8 +224,45 @@ def depth_profile(samples: DataFrame, events: DataFrame, contacts: DataFrame, s:
     return rows.withColumn("deep", F.signum("mean") != F.signum(first))
 
 
-def trilaterate(peaks: DataFrame, contacts: DataFrame, unit: str, amplitude: str, k: int = 5) -> DataFrame:
-    """O-WV-03: unit, x, y: centre of the k strongest contacts weighted by squared amplitude, the closed form of an amplitude-distance fit with equal decay."""
-    rows = peaks.join(contacts.select("ch", "x", "y"), "ch").withColumn("_r", F.row_number().over(Window.partitionBy(unit).orderBy(F.desc(amplitude), "ch"))).filter(F.col("_r") <= k)
-    w = F.col(amplitude) * F.col(amplitude)
-    return rows.groupBy(unit).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
+def _strongest(peaks: DataFrame, contacts: DataFrame, unit: str, amplitude: str, k: int) -> DataFrame:
+    rows = peaks.join(contacts.select("ch", "x", "y"), "ch")
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(unit).orderBy(F.desc(amplitude), "ch"))).filter(F.col("_r") <= k).select(unit, F.col(amplitude).cast("double").alias("_a"), "x", "y", "_r")
+
+
+def weighted_centre(peaks: DataFrame, contacts: DataFrame, unit: str, amplitude: str, k: int = 5) -> DataFrame:
+    """O-WV-03: unit, x, y: centre of the k strongest contacts weighted by squared amplitude; where trilaterate() starts."""
+    w = F.col("_a") * F.col("_a")
+    return _strongest(peaks, contacts, unit, amplitude, k).groupBy(unit).agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
+
+
+#: Bounds of the amplitude, length constant and offset of an exponential fit over distance.
+DECAY_LOW, DECAY_HIGH = np.array([1.0, 0.001, 0.0]), np.array([5000.0, 200.0, 1000.0])
+
+
+def _decay(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return p[0] * np.exp(-x / p[1]) + p[2]
+
+
+def trilaterate(peaks: DataFrame, contacts: DataFrame, unit: str, amplitude: str, k: int = 16, margin: float = 100.0) -> DataFrame:
+    """O-WV-03: unit, x, y, length_constant: the place from which a * exp(-distance / b) + c fits the amplitudes of the k strongest contacts best, at
+    most `margin` beyond them, and b of the same curve fitted to the sorted amplitudes over the sorted distances of all contacts from there. Null with fewer than three contacts.
+    """
+    rows = _strongest(peaks, contacts, unit, amplitude, k)
+    places = contacts.select("x", "y").orderBy("x", "y").collect()  # a probe's contacts
+    grid = np.array([[r.x, r.y] for r in places])
+    kind = peaks.schema[unit].dataType.simpleString()
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_r")
+        at, y = pdf[["x", "y"]].to_numpy(), pdf["_a"].to_numpy()
+        out = {unit: [pdf[unit].iloc[0]], "x": [None], "y": [None], "length_constant": [None]}
+        if len(y) >= 3:
+            weight = y**2 / max((y**2).sum(), 1e-300)
+            low, high = np.append(at.min(0) - margin, DECAY_LOW), np.append(at.max(0) + margin, DECAY_HIGH)
+            p, _ = damped_fit(lambda p, x: _decay(p[2:], np.hypot(x[:, 0] - p[0], x[:, 1] - p[1])), at, y, [*(weight @ at), y.max(), 30.0, 5.0], low, high, 200)
+            gaps = np.sort(np.hypot(grid[:, 0] - p[0], grid[:, 1] - p[1]))[: len(y)]
+            b, _ = damped_fit(_decay, gaps, y, [y.max(), 30.0, 5.0], DECAY_LOW, DECAY_HIGH, 200)
+            out |= {"x": [p[0]], "y": [p[1]], "length_constant": [b[1]]}
+        return pd.DataFrame(out).astype({"x": float, "y": float, "length_constant": float})
+
+    return rows.groupBy(unit).applyInPandas(fit, f"{unit} {kind}, x double, y double, length_constant double")

@@ -243,3 +243,90 @@ def projected(features: DataFrame, vector: str, axes: np.ndarray, out: str = "pc
     x = F.col(vector).cast("array<double>")
     one = lambda a: F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in a]), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return features.withColumn(out, F.array(*[one(a) for a in axes]))
+
+
+def bimodal_split(features: DataFrame, row_id: str, unit: str, vector: str, size: int, rounds: int = 50, least: int = 300, share: float = 0.05, sure: float = 0.9, alike: float = 0.9, even: float = 0.2) -> DataFrame:
+    """O-SRT-25: row_id, unit, side (0 or 1), split: every unit's rows in two classes along the direction in which they are most bimodal, and whether the unit should be split so.
+
+    A mixture of two Gaussians is fitted to each unit's projections on one direction, from the tenth round on the direction itself, too. A round adds up, for each unit,
+    the first class's weight, weighted sum and weighted products of the rows: size**2 numbers a unit and task; parameters of all units go back to the tasks.
+    A unit is split if it has `least` rows, each side has more than that share and `least` of them, both sides' mean confidence exceeds `sure`, and their
+    means aren't both correlated above `alike` and within `even` of each other's length.
+    """
+    spark = features.sparkSession
+    kind = features.schema[unit].dataType.simpleString()
+    rows = checkpointed(features.select(row_id, F.col(unit).alias("unit"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL"))
+    held: dict = {}
+    for r in moments(rows, "unit", "x", size).toLocalIterator():
+        mean, second = np.array(r["mean"]), np.array(r["second"]).reshape(size, size)
+        cov = second - np.outer(mean, mean)
+        if r["n"] >= least:
+            w = np.linalg.eigh(cov)[1][:, -1]
+            held[r["unit"]] = {"n": r["n"], "mean": mean, "all": cov * r["n"], "w": w * np.sign(w[np.abs(w).argmax()]), "class": None}
+
+    def first_class(model, y: np.ndarray) -> np.ndarray:
+        x = y @ model["w"]
+        if model["class"] is None:  # begin with the two sides of the mean
+            return (x > 0).astype(float)
+        p, m1, m2, s1, s2 = model["class"]
+        a = -0.5 * np.log(s1) - (x - m1) ** 2 / (2 * s1) + np.log(max(p, 1e-12))
+        b = -0.5 * np.log(s2) - (x - m2) ** 2 / (2 * s2) + np.log(max(1 - p, 1e-12))
+        return 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
+
+    def weighed(model):
+        def sums(batches):
+            total: dict = {}
+            for pdf in batches:
+                x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), size)
+                for u, at in pdf.groupby("unit").indices.items():
+                    if u in model.value:
+                        y = x[at] - model.value[u]["mean"]
+                        r = first_class(model.value[u], y)
+                        part = np.concatenate([[r.sum()], r @ y, ((y * r[:, None]).T @ y).ravel()])
+                        total[u] = total.get(u, 0.0) + part
+            yield pd.DataFrame({"unit": list(total), "sums": list(total.values())}).astype({"sums": object})
+
+        return sums
+
+    for turn in range(rounds if held else 0):
+        shared = spark.sparkContext.broadcast(held)
+        found: dict = {}
+        for r in rows.select("unit", "x").mapInPandas(weighed(shared), f"unit {kind}, sums array<double>").toLocalIterator():  # a row a unit and task
+            found[r["unit"]] = found.get(r["unit"], 0.0) + np.array(r["sums"])
+        for u, total in found.items():
+            model = held[u]
+            n, r1, v1, q1 = model["n"], total[0], total[1 : 1 + size], total[1 + size :].reshape(size, size)
+            r2, v2, q2 = n - r1, -v1, model["all"] - q1  # rows are centred
+            if min(r1, r2) < 1e-6 * n:
+                continue
+
+            def spread(w, v, q, r):
+                return max(float(w @ q @ w) / r - (float(w @ v) / r) ** 2, 1e-12)
+
+            w = model["w"]
+            s1, s2, m1, m2 = spread(w, v1, q1, r1), spread(w, v2, q2, r2), float(w @ v1) / r1, float(w @ v2) / r2
+            if turn > 10 and turn % 2:
+                w = np.linalg.solve(q1 / s1 + q2 / s2 + 1e-9 * np.eye(size), v1 * m1 / s1 + v2 * m2 / s2)
+                w = w / max(np.linalg.norm(w), 1e-300)
+            held[u] = model | {"w": w, "class": (r1 / n, m1, m2, s1, s2)}
+    shared = spark.sparkContext.broadcast(held)
+
+    def sides(batches):
+        for pdf in batches:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), size)
+            r = np.ones(len(pdf))
+            for u, at in pdf.groupby("unit").indices.items():
+                if u in shared.value:
+                    r[at] = first_class(shared.value[u], x[at] - shared.value[u]["mean"])
+            yield pd.DataFrame({row_id: pdf[row_id], "unit": pdf["unit"], "side": np.where(r > 0.5, 0, 1).astype(np.int32), "sure": np.maximum(r, 1 - r), "x": pdf["x"]})
+
+    found = checkpointed(rows.mapInPandas(sides, f"{row_id} long, unit {kind}, side int, sure double, x array<double>"))
+    means = found.select("unit", "side", F.posexplode("x").alias("p", "v")).groupBy("unit", "p").agg(*[F.avg(F.when(F.col("side") == i, F.col("v"))).alias(f"m{i}") for i in (0, 1)])
+    length = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    means = means.groupBy("unit").agg(F.corr("m0", "m1").alias("_c"), (2 * F.abs(length("m0") - length("m1")) / (length("m0") + length("m1"))).alias("_e"))
+    of = lambda i, f: f(F.when(F.col("side") == i, F.col("sure")))
+    sizes = found.groupBy("unit").agg(F.count(F.lit(1)).alias("_n"), *[of(i, F.count).alias(f"_k{i}") for i in (0, 1)], *[of(i, F.avg).alias(f"_p{i}") for i in (0, 1)])
+    smaller = F.least("_k0", "_k1")
+    good = (F.col("_n") >= least) & (smaller >= least) & (smaller > share * F.col("_n")) & (F.least("_p0", "_p1") > sure) & ~((F.col("_c") > alike) & (F.col("_e") < even))
+    verdict = sizes.join(means, "unit").select("unit", F.coalesce(good, F.lit(False)).alias("split"))
+    return found.select(row_id, "unit", "side").join(verdict, "unit").select(row_id, "unit", "side", "split")

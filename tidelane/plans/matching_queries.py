@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as mt
 from ..operators import units as un
+from ..operators import waveforms as wv
 from ..session import table
 from .registry import query, spikes
 from .signal_queries import BASE, HOURS, contacts, hourly, with_hours
-from .sorting_queries import WAVES, coordinates, waves
+from .sorting_queries import KEPT, WAVES, coordinates, waves
 from .stat_queries import R6
 from .unit_queries import BIN, BINS, CCG, CENTRES, FAR, METRICS, NEAR, SIMILAR, templates, trains
 
@@ -70,12 +71,23 @@ def o_wv_06_depth_profile(spark, sf):
 
 
 @query("WITH {spikes}, p AS (SELECT unit, ch, max(v) AS a FROM spikes GROUP BY 1, 2), c AS (SELECT *, CASE ch WHEN 'click' THEN 0.0 WHEN 'error' THEN 20.0 WHEN 'purchase' THEN 40.0 WHEN 'view' THEN 60.0 ELSE 80.0 END AS y, row_number() OVER (PARTITION BY unit ORDER BY a DESC, ch) AS r FROM p) SELECT unit, 0.0::DOUBLE AS x, round(sum(a * a * y) / sum(a * a), 6) AS y FROM c WHERE r <= 3 GROUP BY unit")
-def o_wv_03_trilaterate(spark, sf):
+def o_wv_03_weighted_centre(spark, sf):
     p = spikes(spark, sf).groupBy("unit", "ch").agg(F.max("v").alias("a"))
-    return mt.trilaterate(p, contacts(spark, sf), "unit", "a", 3).select("unit", R6("x").alias("x"), R6("y").alias("y"))
+    return mt.weighted_centre(p, contacts(spark, sf), "unit", "a", 3).select("unit", R6("x").alias("x"), R6("y").alias("y"))
 
 
 @query("SELECT o_orderpriority AS kind, count(*) AS n, count(DISTINCT o_custkey) AS units, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def o_ps_04_manipulation_summary(spark, sf):
     o = table(spark, sf, "orders")
     return o.rollup(F.col("o_orderpriority").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("units"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query()
+def o_wv_03_trilaterate(spark, sf):
+    p = spikes(spark, sf).groupBy("unit", "ch").agg(F.max("v").alias("a"))
+    return mt.trilaterate(p, contacts(spark, sf), "unit", "a", 16)
+
+
+@query()
+def o_srt_25_bimodal_split(spark, sf):
+    return wv.bimodal_split(coordinates(spark, sf), "vec_id", "unit", "x", KEPT, least=20)
