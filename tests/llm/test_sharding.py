@@ -52,6 +52,6 @@ def test_a_hot_text_gets_its_share_of_parts(spark):
 
 
 def test_few_rows(spark):
-    rows = [(1, "a"), (1, "a"), (2, None)]
+    rows = [(1, "a"), (1, "a"), (2, None), (3, "long " * 400_000), (4, "é")]
     verify(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -43,6 +43,14 @@ def test_hot_payload_and_saved_archive(spark, tmp_path):
     assert payload == b"own 0 " * 20 and fields["warc-target-uri"] == "u0" and fields["warc-date"] == warc.DATE
 
 
+def test_ids_are_spelt_out_in_the_records(spark):
+    ids = [0, 1, -1, 2**63 - 1, -(2**63), 123456789, None]
+    found = spark.createDataFrame([(i,) for i in ids], "page_id long").select(warc._record_id(F.col("page_id")).alias("r")).collect()
+    assert [warc.page_of(r.r) for r in found] == ids and len({r.r for r in found}) == len(ids)
+    with pytest.raises(warc.CorruptRecord):
+        warc.page_of("<urn:uuid:00000000-0000-4000-8000-000000000000>")
+
+
 def test_damage_is_found(spark):
     record = bytes(warc.rebuild(warc.write(spark.createDataFrame(ROWS[:1], "page_id long, url string, html string"), Stage(spark))).first().record)
     warc.parse(record)
