@@ -152,3 +152,14 @@ def test_depth_correction_moves_samples_back(spark):
     assert len(out) == 1200
     before = [shape(0)[c] for c in range(12)]
     assert np.allclose([out[c, 10] for c in range(12)], before) and int(np.argmax([out[c, 80] for c in range(12)])) == int(np.argmax(before))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidelane.__main__ import main
+
+    main(["list"])
+    assert "o_int_03_merge_intervals *" in capsys.readouterr().out.splitlines()
+    main(["run", "o_agg_02_count_units", "/root/testdata/sf0.001", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "a", "b"])
