@@ -61,12 +61,12 @@ class Stage:
     def write(self, df: DataFrame, name: str, few: bool = False, scan: bool = False) -> DataFrame:
         """df as a table.
 
-        few: in no more files than cores, for narrow results of a shuffle with many small partitions. scan: for what only maps the rows of a
+        few: in a file for every four partitions of a shuffle, or one a core, for narrow results of many small partitions. scan: for what only maps the rows of a
         table and holds none, in one file a core or for each SCAN_BYTES of what it reads. Tasks then take several partitions one after the other.
         """
         cores = self.spark.sparkContext.defaultParallelism
         if few:
-            df = df.coalesce(cores)
+            df = df.coalesce(max(cores, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4)))
         if scan:
             size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
             df = df.coalesce(min(max(cores, -(-size // SCAN_BYTES)), (1 << 31) - 1))  # an unknown size counts as huge
