@@ -122,15 +122,26 @@ def greedy_thin(events: DataFrame, keys: list[str], t: str, dead, width=None) ->
     return alone.union(sized.filter("_n > 1").select(*keys, "_burst", t).groupBy(*keys, "_burst").applyInPandas(thin, schema))
 
 
-def expand_runs_with_dead_time(spans: DataFrame, keys: list[str], dead: int, last: int | None = None) -> DataFrame:
-    """O-WIN-14: accepted sample indices within runs (start, stop): from each run's start on, every one at least dead + 1 after the last accepted one, across runs. Runs must not overlap; a key's runs are a bounded table."""
+def expand_runs_with_dead_time(spans: DataFrame, keys: list[str], dead: int, last: int | None = None, width=None) -> DataFrame:
+    """O-WIN-14: accepted sample indices within runs (start, stop): from each run's start on, every one at least dead + 1 after the last accepted one, across runs. Runs must not overlap.
+
+    A run that begins later than `dead` after the one before is independent of it: such pauses cut a key, and only runs that lie closer together go to Python, each such group by itself.
+    """
     import numpy as np
     import pandas as pd
 
+    start, stop = F.col("start").cast("long"), F.col("stop").cast("long")
+    rows = spans.select(*keys, start.alias("start"), stop.alias("stop"))
+    if last is not None:
+        rows = rows.withColumn("start", F.greatest("start", F.lit(last + dead + 1))).filter("start <= stop")
+    rows = previous(rows, keys, "start", [], {"_p": "stop"}, width)
+    rows = running(rows.withColumn("_new", F.when(F.col("start") - F.col("_p") <= dead, 0).otherwise(1)), keys, "start", [], {"_group": F.col("_new")}, "sum", width).select(*keys, "_group", "start", "stop")
+    sized = rows.join(rows.groupBy(*keys, "_group").agg(F.count(F.lit(1)).alias("_n")), [*keys, "_group"])
+    alone = sized.filter("_n = 1").select(*keys, F.explode(F.sequence("start", "stop", F.lit(dead + 1).cast("long"))).alias("t"))
     schema = spans.select(*keys).schema.add("t", "long")
 
     def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], last
+        out, held = [], None
         for a, b in sorted(zip(pdf["start"].tolist(), pdf["stop"].tolist(), strict=True)):
             at = a if held is None else max(a, held + dead + 1)
             while at <= b:
@@ -140,7 +151,7 @@ def expand_runs_with_dead_time(spans: DataFrame, keys: list[str], dead: int, las
         head = {k: np.array([pdf[k].iloc[0]] * len(out), dtype=object) for k in keys}
         return pd.DataFrame(head | {"t": np.array(out, dtype=np.int64)})
 
-    return spans.groupBy(*keys).applyInPandas(expand, schema)
+    return alone.union(sized.filter("_n > 1").select(*keys, "_group", "start", "stop").groupBy(*keys, "_group").applyInPandas(expand, schema))
 
 
 def close_pairs_removed(spikes: DataFrame, templates: DataFrame, unit: str, t: str, within, reach: float) -> DataFrame:
@@ -211,10 +222,17 @@ def event_duration_states(states: DataFrame, keys: list[str], t: str, state: str
     return rows
 
 
-def suppress_transitions(spans: DataFrame, keys: list[str], first: str, then: str, into: str, longest) -> DataFrame:
-    """O-WIN-13: intervals (state, start, stop) in order; a `then` right after a `first` longer than `longest` becomes `into`, and the rewritten one counts as what comes before the next. A key's intervals are a bounded table."""
+def suppress_transitions(spans: DataFrame, keys: list[str], first: str, then: str, into: str, longest, width=None) -> DataFrame:
+    """O-WIN-13: intervals (state, start, stop) in order; a `then` right after a `first` longer than `longest` becomes `into`, and the rewritten one counts as what comes before the next.
+
+    After an interval of any other state nothing earlier matters: such intervals cut a key into the groups that are rewritten each by itself.
+    """
     import pandas as pd
 
+    rows = previous(spans, keys, "start", [], {"_p": "state"}, width)
+    cut = F.when(F.col("_p").isin(first, then, into), 0).otherwise(1)
+    rows = running(rows.withColumn("_new", cut), keys, "start", [], {"_group": F.col("_new")}, "sum", width).drop("_p", "_new")
+
     def rewrite(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start").reset_index(drop=True)
         states, before, length = [], None, 0
@@ -224,6 +242,6 @@ def suppress_transitions(spans: DataFrame, keys: list[str], first: str, then: st
             states.append(new)
             before = new
         pdf["state"] = states
-        return pdf
+        return pdf.drop(columns="_group")
 
-    return spans.groupBy(*keys).applyInPandas(rewrite, spans.schema)
+    return rows.groupBy(*keys, "_group").applyInPandas(rewrite, spans.schema)

@@ -86,6 +86,19 @@ def pair_matrix(ccg: DataFrame, far: tuple[int, int], near: tuple[int, int], cen
     return found.select("unit", "other", "r", F.when(F.col("unit") == F.col("other"), under(own)).otherwise(under(cross)).alias("refractory"))
 
 
+def shape_gate(ccg: DataFrame, first: int, last: int, least: float = 0.8) -> DataFrame:
+    """O-SRT-24: unit, other (the higher), r_unit, r_other, alike: Pearson's r of a pair's correlogram with both autocorrelograms over lags `first` to `last`, sides averaged and smoothed over three bins; alike if both reach `least`. Flat shapes have no r."""
+    k = F.abs("bin")
+    sides = ccg.filter(k.between(first, last)).groupBy("unit", "other", k.alias("lag")).agg((F.sum("n") / 2).alias("_n"))
+    around = Window.partitionBy("unit", "other").orderBy("lag").rangeBetween(-1, 1)  # a pair's lags: bounded by the number of bins
+    shape = sides.withColumn("_n", F.sum("_n").over(around) / 3)
+    own = shape.filter("unit = other")
+    pair = shape.filter("unit < other").join(own.select("unit", "lag", F.col("_n").alias("_u")), ["unit", "lag"], "left").join(own.select("other", "lag", F.col("_n").alias("_o")), ["other", "lag"], "left")
+    safe = lambda c: F.when((F.stddev_pop("_n") > 1e-12) & (F.stddev_pop(c) > 1e-12), F.corr("_n", c))
+    found = pair.groupBy("unit", "other").agg(safe("_u").alias("r_unit"), safe("_o").alias("r_other"))
+    return found.withColumn("alike", F.coalesce((F.col("r_unit") >= least) & (F.col("r_other") >= least), F.lit(False)))
+
+
 def acg_metrics(acg: DataFrame, keys: list[str], inner: tuple[int, int], outer: tuple[int, int], trough: tuple[int, int], peak: tuple[int, int]) -> DataFrame:
     """O-CCG-06: burst index (mean of inner over mean of outer bins) and modulation index ((peak - trough) / (peak + trough)), bins by absolute lag."""
     mean = lambda r: F.avg(F.when(F.abs("bin").between(*r), F.col("n")))
