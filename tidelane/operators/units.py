@@ -18,6 +18,10 @@ def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], t: str, within) ->
     return x.join(y, [*keys, "_k"]).filter((gap >= -within) & (gap < within)).drop("_k")
 
 
+#: Bins that an aggregate holds side by side, in generated code of bounded size.
+WIDE_BINS = 50
+
+
 def correlogram(a: DataFrame, b: DataFrame, t: str, bin_width, n_bins: int, keys: list[str] | None = None) -> DataFrame:
     """O-CCG-01/05: keys, unit, other, bin (-n_bins to n_bins), n of rounded lags b - a; empty bins of pairs that meet are 0.
 
@@ -28,7 +32,13 @@ def correlogram(a: DataFrame, b: DataFrame, t: str, bin_width, n_bins: int, keys
     window = bin_width * n_bins + bin_width / 2
     pairs = close_pairs(a.select(*keys, "unit", t), b.select(*keys, "unit", t), keys, t, window)
     lag = F.rint((F.col(f"b_{t}") - F.col(t)) / bin_width).cast("long")
-    counts = pairs.groupBy(*keys, "unit", F.col("b_unit").alias("other"), lag.alias("bin")).agg(F.count(F.lit(1)).alias("n")).filter(F.abs("bin") <= n_bins)
+    rows = pairs.select(*keys, "unit", F.col("b_unit").alias("other"), lag.alias("bin")).filter(F.abs("bin") <= n_bins)
+    bins = range(-n_bins, n_bins + 1)
+    if len(bins) <= WIDE_BINS:  # a row for each pair holds all its bins: a group less for every bin, and no grid to join
+        wide = rows.groupBy(*keys, "unit", "other").agg(*[F.count_if(F.col("bin") == k).alias(f"_{k + n_bins}") for k in bins])
+        cells = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("bin"), F.col(f"_{k + n_bins}").alias("n")) for k in bins]))
+        return wide.select(*keys, "unit", "other", cells.alias("_c")).select(*keys, "unit", "other", "_c.bin", "_c.n")
+    counts = rows.groupBy(*keys, "unit", "other", "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = counts.select(*keys, "unit", "other").distinct().withColumn("bin", F.explode(F.sequence(F.lit(-n_bins).cast("long"), F.lit(n_bins).cast("long"))))
     return grid.join(counts, [*keys, "unit", "other", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
