@@ -62,7 +62,8 @@ def moments(features: DataFrame, unit: str, vector: str, size: int) -> DataFrame
                 own = x[at]
                 n, m, q = held.get(u, (0, 0.0, 0.0))
                 held[u] = (n + len(own), m + own.sum(axis=0), q + own.T @ own)
-        yield pd.DataFrame({unit: list(held), "n": [v[0] for v in held.values()], "mean": [v[1] for v in held.values()], "second": [v[2].ravel() for v in held.values()]})
+        if held:  # a task without rows has no arrays to tell their type from
+            yield pd.DataFrame({unit: list(held), "n": [v[0] for v in held.values()], "mean": [v[1] for v in held.values()], "second": [v[2].ravel() for v in held.values()]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].sum())
