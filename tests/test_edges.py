@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.operators import matching as mt
+from tidelane.operators import units as un
 from tidelane.operators import waveforms as wv
 from tidelane.plans import catalog
 
@@ -32,3 +33,10 @@ def test_moments_of_tasks_without_rows(spark, thin):
     assert wv.outlier_split(df, df.select("vec_id", "wave"), "vec_id", "unit", "x", 3).count() == 24
     assert wv.bimodal_split(df, "vec_id", "unit", "x", 3, rounds=1, least=4).count() == 24
     assert len(set(mt.seeds(df, "vec_id", "x", 2))) == 2
+
+
+def test_coherence_of_single_bins_and_flat_maps(spark):
+    rows = [("one", 0, 2.0), ("flat", 0, 1.0), ("flat", 1, 1.0), ("flat", 2, 1.0), ("up", 0, 1.0), ("up", 1, 2.0), ("up", 2, 4.0)]
+    found = {r.unit: r.coherence for r in un.spatial_coherence(spark.createDataFrame(rows, "unit string, bin long, rate double"), ["unit"]).collect()}
+    assert found["one"] is None and found["flat"] is None
+    assert found["up"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 2.5, 2])[0, 1])

@@ -18,6 +18,12 @@ def close_pairs(a: DataFrame, b: DataFrame, keys: list[str], t: str, within) ->
     return x.join(y, [*keys, "_k"]).filter((gap >= -within) & (gap < within)).drop("_k")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """An aggregate: Pearson's r of rows that have both, null where either is constant (Spark's corr divides by zero there, and does so even behind a condition)."""
+    both = lambda c: F.stddev_pop(F.when(x.isNotNull() & y.isNotNull(), c))
+    return F.covar_pop(x, y) / F.nullif(both(x) * both(y), F.lit(0.0))
+
+
 #: Bins that an aggregate holds side by side, in generated code of bounded size.
 WIDE_BINS = 50
 
@@ -228,10 +234,11 @@ def place_fields(maps: DataFrame, keys: list[str], share: float = 0.1, least_bin
 
 
 def spatial_coherence(maps: DataFrame, keys: list[str]) -> DataFrame:
-    """O-MAP-02: correlation of each bin's rate with the mean of its neighbours'."""
+    """O-MAP-02: correlation of each bin's rate with the mean of its neighbours'; null where either is constant."""
     rows = previous(previous(maps, keys, "bin", [], {"_a": "rate"}), keys, "bin", [], {"_b": "rate"}, backward=True)
-    around = (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / (F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int"))
-    return rows.withColumn("_m", around).groupBy(*keys).agg(F.corr("rate", "_m").alias("coherence"))
+    near = F.col("_a").isNotNull().cast("int") + F.col("_b").isNotNull().cast("int")
+    around = (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / F.nullif(near, F.lit(0))  # a map of one bin has no neighbours
+    return rows.withColumn("_m", around).groupBy(*keys).agg(pearson(F.col("rate"), F.col("_m")).alias("coherence"))
 
 
 def coverage(maps: DataFrame, keys: list[str], share: float = 0.75) -> DataFrame:

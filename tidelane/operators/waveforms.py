@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_inverse, chi2_tail
 from .ordered import checkpointed, range_join
+from .units import pearson
 
 
 def mean_waveforms(samples: DataFrame, spikes: DataFrame, s: str, value: str, before: int, after: int) -> DataFrame:
@@ -324,7 +325,7 @@ def bimodal_split(features: DataFrame, row_id: str, unit: str, vector: str, size
     found = checkpointed(rows.mapInPandas(sides, f"{row_id} long, unit {kind}, side int, sure double, x array<double>"))
     means = found.select("unit", "side", F.posexplode("x").alias("p", "v")).groupBy("unit", "p").agg(*[F.avg(F.when(F.col("side") == i, F.col("v"))).alias(f"m{i}") for i in (0, 1)])
     length = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
-    means = means.groupBy("unit").agg(F.corr("m0", "m1").alias("_c"), (2 * F.abs(length("m0") - length("m1")) / (length("m0") + length("m1"))).alias("_e"))
+    means = means.groupBy("unit").agg(pearson(F.col("m0"), F.col("m1")).alias("_c"), (2 * F.abs(length("m0") - length("m1")) / F.nullif(length("m0") + length("m1"), F.lit(0.0))).alias("_e"))
     of = lambda i, f: f(F.when(F.col("side") == i, F.col("sure")))
     sizes = found.groupBy("unit").agg(F.count(F.lit(1)).alias("_n"), *[of(i, F.count).alias(f"_k{i}") for i in (0, 1)], *[of(i, F.avg).alias(f"_p{i}") for i in (0, 1)])
     smaller = F.least("_k0", "_k1")
