@@ -50,8 +50,7 @@ def layout(spark: SparkSession, kind: str, groups: list[list[int]], pitch: float
     if kind == "staggered":
         up = n - 1 - p  # from the lowest site
         reach = F.when(up == 0, 0.0).when(up == 1, 8.5).otherwise(17 + 4.0 * (up - 2))
-        total = 3 + F.floor((F.greatest(F.lit(2080.0), 17 + 4.0 * n) + 0.1 - 17) / 4)
-        x = F.when((total - 1 - up) % 2 == 0, -reach).otherwise(reach)
+        x = F.when(up % 2 == 1, -reach).otherwise(reach)  # sides in turn from the lowest site, however many there are
     elif kind in POLY:
         x, y = _poly(kind, p, n, pitch)
     elif kind == "neurogrid":
