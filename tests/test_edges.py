@@ -174,3 +174,15 @@ def test_participation_in_cells_equals_pairs(spark, monkeypatch, nested):
         own = [sum(u == r.unit and s <= t <= e for u, t in rows) for _, s, e in events]
         assert r.participation == pytest.approx(sum(n > 0 for n in own) / 25) and r.spikes_per_event == pytest.approx(sum(own) / 25)
         assert r.rate_inside == pytest.approx(sum(own) / sum(e - s for _, s, e in events))
+
+
+def test_metrics_of_rows_equal_those_of_bins(spark):
+    rng = np.random.default_rng(6)
+    rows = [(u, o, [int(v) for v in rng.poisson(u, 25)]) for u in range(4) for o in range(4)]
+    wide = spark.createDataFrame(rows, "unit long, other long, n array<long>")
+    long = un.long_rows(wide, ["unit", "other"], -12, {"n": "n"})
+    of = lambda found: sorted(tuple(v if v is None else round(v, 9) for v in r) for r in found.collect())
+    found = un.correlogram_metrics(wide, ["unit", "other"], (6, 12), (3, 6), 3, 12)
+    assert of(found) == of(un.correlogram_metrics(long, ["unit", "other"], (6, 12), (3, 6), 3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
