@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.functions import geometry
+from tidelane.operators import events as ev
 from tidelane.operators import joins as jn
 from tidelane.operators import matching as mt
 from tidelane.operators import results as rs
@@ -186,3 +187,14 @@ def test_metrics_of_rows_equal_those_of_bins(spark):
     assert of(found) == of(un.correlogram_metrics(long, ["unit", "other"], (6, 12), (3, 6), 3))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_words_of_one_time_don_t_depend_on_the_rows_order(spark):
+    rows = [("k", t, w) for t, ws in ((0, (3, 0)), (10, (5, 1, 2)), (20, (0,)), (30, (7, 4))) for w in ws]
+    kind = "ch string, t long, word long"
+    found = []
+    for part in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(part, kind).coalesce(1)
+        found.append((sorted(ev.word_intervals(df, ["ch"], "t", "word", F.lit(40)).collect()), sorted(map(str, ev.digital_pulses(df, ["ch"], "t", "word", 3).collect()))))
+    assert found[0] == found[1] == found[2]
+    assert [tuple(r) for r in found[0][0]] == [("k", 0, 9, 3), ("k", 10, 19, 5), ("k", 20, 29, 0), ("k", 30, 39, 7)]

@@ -19,15 +19,15 @@ def digital_pulses(words: DataFrame, keys: list[str], t: str, word: str, n: int
     """O-EVT-01: keys, bit, n, start, stop, duration of the n-th pulse of each bit.
 
     Edges are taken at the sample before a change and paired by position. If a bit's first edge is a fall, falls count as
-    starts. A last start without an end has null stop.
+    starts. A last start without an end has null stop. Words of one time go from the least to the greatest.
     """
     # only words that change are spread over their bits, and only over those that change
-    steps = previous(words.select(*keys, t, F.col(word).cast("long").alias("_w")), keys, t, [], {"_next": "_w"}, width, backward=True)
+    steps = previous(words.select(*keys, t, F.col(word).cast("long").alias("_w")), keys, t, ["_w"], {"_next": "_w"}, width, backward=True)
     steps = steps.withColumn("_flip", F.col("_w").bitwiseXOR(F.col("_next")).bitwiseAND(F.lit((1 << n) - 1))).filter("_flip != 0")
     steps = steps.withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit("_flip", i) == 1)))
     keys = [*keys, "bit"]
-    found = steps.select(*keys, t, F.when(F.getbit("_next", F.col("bit")) == 1, 1).otherwise(-1).alias("edge"))
-    first = found.groupBy(*keys).agg(F.min_by("edge", t).alias("_first"))
+    found = steps.select(*keys, t, "_w", F.when(F.getbit("_next", F.col("bit")) == 1, 1).otherwise(-1).alias("edge"))
+    first = found.groupBy(*keys).agg(F.min_by("edge", F.struct(t, "_w")).alias("_first"))
     marked = found.join(first, keys).withColumn("_on", F.col("edge") == F.col("_first")).drop("_first")
     on = rank_of(marked.filter("_on").select(*keys, F.col(t).alias("start")), keys, "start", [], "n", width)
     off = rank_of(marked.filter("NOT _on").select(*keys, F.col(t).alias("stop")), keys, "stop", [], "n", width)
@@ -35,8 +35,8 @@ def digital_pulses(words: DataFrame, keys: list[str], t: str, word: str, n: int
 
 
 def word_intervals(changes: DataFrame, keys: list[str], t: str, word: str, end: Column, width=None) -> DataFrame:
-    """O-EVT-02: start, stop, word: each change's word up to the sample before the next, or `end`; densify only where needed."""
-    rows = previous(changes, keys, t, [], {"_next": t}, width, backward=True)
+    """O-EVT-02: start, stop, word: each change's word up to the sample before the next, or `end`; of words of one time the greatest; densify only where needed."""
+    rows = previous(changes, keys, t, [word], {"_next": t}, width, backward=True)
     return rows.select(*keys, F.col(t).alias("start"), (F.coalesce("_next", end) - 1).alias("stop"), word).filter("stop >= start")
 
 
