@@ -194,13 +194,170 @@ def cluster_links(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """O-SRT-12: a, b, w, ratio: weight between clusters over its expectation from their degrees."""
     a = labels.select(F.col("node").alias("src"), F.col("cluster").alias("a"))
     b = labels.select(F.col("node").alias("dst"), F.col("cluster").alias("b"))
-    w = edges.filter("src != dst").join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return link_ratios(edges.filter("src != dst").join(a, "src").join(b, "dst").groupBy("a", "b").agg(F.sum("w").alias("w")))
+
+
+def link_ratios(w: DataFrame) -> DataFrame:
+    """O-SRT-12: a, b, w of cluster_links() with ratio."""
     k = w.groupBy("a").agg(F.sum("w").alias("_k"))
     total = k.agg(F.sum("_k").alias("_t"))
     rows = w.join(k, "a").join(k.select(F.col("a").alias("b"), F.col("_k").alias("_l")), "b").crossJoin(F.broadcast(total))  # one row
     return rows.select("a", "b", "w", (F.col("w") * F.col("_t") / (F.col("_k") * F.col("_l"))).alias("ratio"))
 
 
+#: Tasks of a pass over units that coincide, and spikes of a piece of the axis, about.
+COINCIDENCE_TASKS, PIECE_ROWS = 48, 1 << 15
+
+
+class Coincidences:
+    """The graph of units that coincide, without its edges: w of two units is how often spikes of one lie within `within` of the other's, [-within, within) counted from either side.
+
+    Its edges may be as many as the square of the units, so none is kept: a pass counts them anew from the spikes, unit by unit, in arrays. Spikes are stored once, in pieces
+    of the axis, and each task of a pass reads all pieces for its share of the units; nothing is exchanged but what the pass finds. The driver holds a few numbers a unit.
+    """
+
+    def __init__(self, spikes: DataFrame, t: str, within):
+        import numpy as np
+        import pyarrow as pa
+
+        self.within, self.spark = within, spikes.sparkSession
+        rows = spikes.filter(F.col("unit").isNotNull() & F.col(t).isNotNull()).select("unit", F.col(t).alias("_t"))
+        codes = checkpointed(rows.select("unit").distinct().withColumn("_u", F.row_number().over(Window.orderBy("unit")) - 1))  # a row a unit
+        found = codes.select("unit", "_u", F.pmod(F.xxhash64("unit"), F.lit(2)).alias("odd")).orderBy("_u").toArrow()
+        self.units, self.odd = found.column("unit").combine_chunks(), found.column("odd").to_numpy()
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("low"), F.max("_t").alias("high")).first()
+        width = max((size.high - size.low) / (size.n // PIECE_ROWS + 1), 1e-9) if size.n else 1.0
+
+        def pack(piece: pa.Table) -> pa.Table:
+            return pa.Table.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(piece)], pa.int32()), piece.column(c).combine_chunks()) for c in ("_t", "_u")], names=["_t", "_u"])
+
+        pieces = rows.join(codes, "unit").withColumn("_piece", F.floor(F.col("_t") / F.lit(width))).groupBy("_piece").applyInArrow(pack, f"_t array<{rows.schema['_t'].dataType.simpleString()}>, _u array<int>")
+        self.pieces = checkpointed(pieces).coalesce(1)
+        n = len(self.units)
+        every = self.run(np.arange(n), np.zeros(n, dtype=np.int64), lambda rows: ((u, k) for u, k, _ in rows), {"u": "int", "k": "double"}).toArrow()
+        self.degree = np.zeros(n)  # each unit's w with all others
+        self.degree[every.column("u").to_numpy()] = every.column("k").to_numpy()
+        self.total = float(self.degree.sum())
+
+    def run(self, units, label, each, schema: dict[str, str]) -> DataFrame:
+        """The rows that `each` makes of (unit, its degree, a function that gives its w with all units of each label) of the units given, those of one label one after the other in a task. Units are places in self.units, labels numbers from 0 on."""
+        import numpy as np
+        import pyarrow as pa
+
+        within, tasks, n_labels = self.within, min(COINCIDENCE_TASKS, max(1, -(-len(units) // 64))), int(label.max()) + 1 if len(label) else 0
+        place = np.full(len(label), -1, dtype=np.int32)
+        units = np.asarray(units)
+        units = units[np.argsort(label[units], kind="stable")]
+        place[units] = np.arange(len(units)) * tasks // max(len(units), 1)
+
+        def counted(task, at, u):
+            order = np.argsort(at, kind="stable")
+            at, u = at[order], u[order]
+            of = label[u]
+            own = np.flatnonzero(place[u] == task)
+            x, c = at[own], u[own]
+            ends = [np.searchsorted(at, x + d, side) for d, side in ((-within, "left"), (-within, "right"), (within, "left"), (within, "right"))]
+            order = np.lexsort((c, label[c]))
+            x, c, ends = x[order], c[order], [e[order] for e in ends]
+            starts = np.flatnonzero(np.diff(c, prepend=-1))
+            for s, e in zip(starts.tolist(), np.append(starts, len(c))[1:].tolist(), strict=True):
+                y, code = x[s:e], int(c[s])
+                a, b, c0, d = (z[s:e] for z in ends)  # once counted from a to b and from c0 to d, twice between
+                itself = int(sum((np.searchsorted(y, y + within, side) - np.searchsorted(y, y - within, side)).sum() for side in ("left", "right")))
+                degree = int((c0 - a).sum() + (d - b).sum()) - itself
+
+                def towards(a=a, b=b, c0=c0, d=d, code=code, itself=itself):
+                    w = 2 * np.bincount(np.concatenate([of[i:j] for i, j in zip(b.tolist(), c0.tolist(), strict=True)]), minlength=n_labels)
+                    for i, j in [*zip(a, b, strict=True), *zip(c0, d, strict=True)]:
+                        if i < j:
+                            w += np.bincount(of[i:j], minlength=n_labels)
+                    w[label[code]] -= itself
+                    return w
+
+                yield code, degree, towards
+
+        def sweep(batches):
+            task, at, u = None, [], []
+            for batch in batches:
+                if batch.num_rows:
+                    task = batch.column("id")[0].as_py()
+                    at.append(batch.column("_t").flatten().to_numpy())
+                    u.append(batch.column("_u").flatten().to_numpy())
+            rows = []
+            for row in each(counted(task, np.concatenate(at), np.concatenate(u)) if at else ()):
+                rows.append(row)
+                if len(rows) == 1 << 14:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, {"int": pa.int32(), "double": pa.float64()}[k]) for c, k in zip(zip(*rows, strict=True), schema.values(), strict=True)], names=list(schema))
+
+        shares = self.spark.range(0, tasks, 1, tasks).hint("shuffle_replicate_nl")  # a task for each share reads the stored pieces; none is copied
+        return shares.crossJoin(self.pieces).mapInArrow(sweep, ", ".join(f"{k} {v}" for k, v in schema.items()))
+
+    def clusters(self, rounds: int = 20, resolution: float = 1.0):
+        """modularity_clusters() of this graph: each unit's cluster, as places in self.units."""
+        import numpy as np
+
+        degree, total, label = self.degree, self.total, np.arange(len(self.units))
+        for turn in range(rounds if total else 0):
+            names, of = np.unique(label, return_inverse=True)
+            weight = np.bincount(of, weights=degree)
+
+            def best(rows, of=of, weight=weight):
+                for code, k, towards in rows:
+                    if not k:
+                        continue
+                    w, own = towards(), of[code]
+                    near = np.flatnonzero(w)
+                    others = weight[near] - np.where(near == own, float(k), 0.0)
+                    gain = np.round(w[near] - resolution * float(k) * others / total, 9)
+                    top = gain.max()
+                    ties = near[gain == top]
+                    if top > 0 and own not in ties:
+                        yield code, int(ties[0])
+
+            moves = self.run(np.flatnonzero(self.odd == turn % 2), of, best, {"u": "int", "to": "int"}).toArrow()
+            label[moves.column("u").to_numpy()] = names[moves.column("to").to_numpy()]
+            if not len(moves) and turn % 2:
+                break
+        return label
+
+    def labels(self, label) -> DataFrame:
+        """node, cluster of units that coincide with others."""
+        import numpy as np
+        import pyarrow as pa
+
+        known = np.flatnonzero(self.degree)
+        return self.spark.createDataFrame(pa.table({"node": self.units.take(pa.array(known)), "cluster": self.units.take(pa.array(label[known]))}))
+
+    def links(self, label) -> DataFrame:
+        """cluster_links() of this graph."""
+        import numpy as np
+        import pyarrow as pa
+
+        names, of = np.unique(label, return_inverse=True)
+
+        def sums(rows):
+            cluster, total = None, None
+            for code, _, towards in rows:
+                if cluster is not None and of[code] != cluster:
+                    yield from ((cluster, b, float(total[b])) for b in np.flatnonzero(total).tolist())
+                    cluster = None
+                total = towards() if cluster is None else total + towards()
+                cluster = int(of[code])
+            if cluster is not None:
+                yield from ((cluster, b, float(total[b])) for b in np.flatnonzero(total).tolist())
+
+        w = self.run(np.flatnonzero(self.degree), of, sums, {"_a": "int", "_b": "int", "w": "double"}).groupBy("_a", "_b").agg(F.sum("w").alias("w"))
+        cluster = self.units.take(pa.array(names))
+        named = lambda i, c: F.broadcast(self.spark.createDataFrame(pa.table({i: pa.array(np.arange(len(names), dtype=np.int32)), c: cluster})))
+        return link_ratios(checkpointed(w.join(named("_a", "a"), "_a").join(named("_b", "b"), "_b").select("a", "b", "w")))
+
+
 def merge_tree(links: DataFrame) -> list[tuple[int, int, float]]:
     """O-SRT-12: (kept, joined, ratio) in order: the two clusters with the highest ratio are joined until one is left. Clusters are a bounded table (hundreds)."""
     w = {(r["a"], r["b"]): r["w"] for r in links.select("a", "b", "w").collect()}
