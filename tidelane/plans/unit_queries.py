@@ -100,7 +100,8 @@ def o_ccg_08_log_isi(spark, sf):
 
 @query("WITH {spikes}, " + CCG + ", m AS (SELECT unit, bin, avg(n) AS m FROM ccg WHERE unit <> other GROUP BY 1, 2), c AS (SELECT unit, avg(m) FILTER (abs(bin) <= 2) AS a, avg(m) FILTER (abs(bin) > 8) AS b FROM m GROUP BY unit) SELECT unit, round(CASE WHEN b > 0 THEN a / b END, 6) AS modulation FROM c")
 def o_ccg_09_population_modulation(spark, sf):
-    return un.population_modulation(ccg(spark, sf), 2, 8).withColumn("modulation", R6("modulation"))
+    known = trains(spark, sf).filter("unit IS NOT NULL")
+    return un.meeting_modulation(un.Meetings(known, "t", BIN, BINS), 2, 8).withColumn("modulation", R6("modulation"))
 
 
 def excess(spark, sf):
