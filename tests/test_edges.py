@@ -170,7 +170,7 @@ def test_correlograms_of_two_sides(spark):
     assert un.correlogram_rows(dfs[0].limit(0), dfs[1], "t", 10, 2).count() == 0 == un.correlogram_rows(dfs[0].limit(0), dfs[0].limit(0), "t", 10, 2).count()
 
 
-PAIRED = ["o_ccg_01_correlogram", "o_ccg_02_metrics", "o_ccg_03_refractory", "o_ccg_09_population_modulation", "o_ccg_10_connections", "o_ccg_11_baseline", "o_ccg_11_transmission", "o_srt_24_shape_gate"]
+PAIRED = ["o_ccg_01_correlogram", "o_ccg_02_metrics", "o_ccg_03_refractory", "o_ccg_05_rate_correlogram", "o_ccg_09_population_modulation", "o_ccg_10_connections", "o_ccg_11_baseline", "o_ccg_11_transmission", "o_srt_24_shape_gate"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
