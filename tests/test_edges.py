@@ -343,3 +343,14 @@ def test_f18_f19_coincidences_equal_their_edges(spark, monkeypatch, tasks):
     assert sorted(g.links(label).collect()) == sorted(so.cluster_links(edges, expected).collect())
     none = so.Coincidences(spark.createDataFrame([(None, 1)], "unit long, t long"), "t", 4)
     assert none.labels(none.clusters()).count() == 0 == none.links(none.clusters()).count()
+
+
+def test_r03_f11_modularity_moves_no_edge(spark, tmp_path):
+    """600 units, all of whose pairs coincide, a null one and one below 0."""
+    spark.range(2400).selectExpr("id AS event_id", "timestamp_micros(id * 1000 + IF(id < 9, 999999999999, 0)) AS ts", "IF(id = 7, NULL, id % 600 - 1) AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    before = disk_bytes(spark)
+    got = catalog.QUERIES["o_srt_12_modularity"](spark, str(tmp_path)).collect()
+    assert disk_bytes(spark) - before < 300_000
+    assert [tuple(r) for r in got] == duckdb.sql(catalog.ORACLE_SQL["o_srt_12_modularity"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    spark.range(1).selectExpr("id AS event_id", "timestamp_micros(id) AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/one/events.parquet")
+    assert [r.modularity for r in catalog.QUERIES["o_srt_12_modularity"](spark, f"{tmp_path}/one").collect()] == [None]

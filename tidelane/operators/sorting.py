@@ -334,12 +334,11 @@ class Coincidences:
         known = np.flatnonzero(self.degree)
         return self.spark.createDataFrame(pa.table({"node": self.units.take(pa.array(known)), "cluster": self.units.take(pa.array(label[known]))}))
 
-    def links(self, label) -> DataFrame:
-        """cluster_links() of this graph."""
+    def weights(self, label) -> DataFrame:
+        """_a, _b, w: weight between clusters, in parts; clusters are places in np.unique(label)."""
         import numpy as np
-        import pyarrow as pa
 
-        names, of = np.unique(label, return_inverse=True)
+        of = np.unique(label, return_inverse=True)[1]
 
         def sums(rows):
             cluster, total = None, None
@@ -352,11 +351,25 @@ class Coincidences:
             if cluster is not None:
                 yield from ((cluster, b, float(total[b])) for b in np.flatnonzero(total).tolist())
 
-        w = self.run(np.flatnonzero(self.degree), of, sums, {"_a": "int", "_b": "int", "w": "double"}).groupBy("_a", "_b").agg(F.sum("w").alias("w"))
+        return self.run(np.flatnonzero(self.degree), of, sums, {"_a": "int", "_b": "int", "w": "double"})
+
+    def links(self, label) -> DataFrame:
+        """cluster_links() of this graph."""
+        import numpy as np
+        import pyarrow as pa
+
+        names = np.unique(label)
+        w = self.weights(label).groupBy("_a", "_b").agg(F.sum("w").alias("w"))
         cluster = self.units.take(pa.array(names))
         named = lambda i, c: F.broadcast(self.spark.createDataFrame(pa.table({i: pa.array(np.arange(len(names), dtype=np.int32)), c: cluster})))
         return link_ratios(checkpointed(w.join(named("_a", "a"), "_a").join(named("_b", "b"), "_b").select("a", "b", "w")))
 
+    def modularity(self, label) -> DataFrame:
+        """modularity() of this graph: one row, null without edges. label: any value for each of self.units."""
+        k = self.weights(label).groupBy("_a").agg(F.sum("w").alias("_k"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("w")).otherwise(0.0)).alias("_in"))
+        q = k.agg(F.sum("_in").alias("_in"), F.sum("_k").alias("_t"), F.sum(F.col("_k") * F.col("_k")).alias("_q"))
+        return q.select((F.col("_in") / F.col("_t") - F.col("_q") / (F.col("_t") * F.col("_t"))).alias("modularity"))
+
 
 def merge_tree(links: DataFrame) -> list[tuple[int, int, float]]:
     """O-SRT-12: (kept, joined, ratio) in order: the two clusters with the highest ratio are joined until one is left. Clusters are a bounded table (hundreds)."""
